@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowloom.llm import media, tokens
+from flowloom.llm import decontam, media, mixing, tokens
 from flowloom.llm.common import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -16,12 +17,32 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontam.build_index(table(spark, sf_dir, "documents"))
+    found = decontam.match_phrases(index, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.taken_words(mixed).withColumnRenamed("id", "doc_id")
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op7_mixing": op7_mixing,
     "op10_media_columns": op10_media_columns,
 }
 
