@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import decontam, media, mixing, tokens
+from flowloom.llm import decontam, jaccard, media, mixing, tokens
 from flowloom.llm.common import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -35,6 +35,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixed).withColumnRenamed("id", "doc_id")
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.link_documents(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op7_mixing": op7_mixing,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_media_columns": op10_media_columns,
 }
 
