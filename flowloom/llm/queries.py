@@ -5,12 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import decontam, jaccard, media, mixing, tokens
+from flowloom.llm import decontam, jaccard, media, mixing, quality, tokens, toxicity
 from flowloom.llm.common import table
 
+#: The chain's order. The table of ratings has one toxicity category; the quality rating goes before it, as "unfit".
+CATEGORIES = ["unfit", "toxic"]
 TOKENIZER = "piece_bpe_32k.model"
 
 
+def category_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").withColumn("unfit", 1 - F.col("quality"))
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.OrdinalModel:
+    return quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def toxicity_chain(spark: SparkSession, sf_dir: str) -> list[toxicity.Link]:
+    return toxicity.train(table(spark, sf_dir, "documents"), category_labels(spark, sf_dir), CATEGORIES)
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.grade_documents(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,6 +48,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), toxicity_chain(spark, sf_dir), CATEGORIES)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixing.taken_words(mixed).withColumnRenamed("id", "doc_id")
@@ -45,8 +67,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_token_counts": op3_token_counts,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_toxicity": op5_toxicity,
     "op7_mixing": op7_mixing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_media_columns": op10_media_columns,
