@@ -25,7 +25,7 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 1 << 16
 MAX_DRAWS = 2_000_000  # shards times sources
 MAX_SOURCES = 100_000
-BUCKET_DOCS = 20_000
+BUCKET_DOCS = 1_000
 WORD = "[^\\\\x20\\\\x09-\\\\x0D]+"
 
 
@@ -184,7 +184,8 @@ def taken_words(mixed: Mix, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: id, size, source_size, target (of its source) and taken, the words that the mix takes of it."""
     whole = F.col("words") >= block_words
     draws = mixed.slots.groupBy("number", "block").agg(F.sum(F.when(whole, 1).otherwise(0)).alias("times"), F.max(F.when(~whole, F.col("words")).otherwise(0)).alias("part"))
-    parts = mixed.blocks.join(draws, ["number", "block"])
+    # Both sides grow with the input; the planner would take the draws for as small as the table they unfold from.
+    parts = mixed.blocks.join(draws.hint("merge"), ["number", "block"])
     took = F.col("times") * (F.col("hi") - F.col("lo")) + F.greatest(F.lit(0), F.least(F.col("hi"), F.col("part")) - F.col("lo"))
     sums = parts.groupBy("row").agg(F.sum(took).alias("taken"))
     found = mixed.docs.join(sums, "row", "left")
