@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import decontam, jaccard, media, mixing, quality, tokens, toxicity
+from flowloom.llm import decontam, jaccard, media, mixing, quality, tokens, toxicity, urls
 from flowloom.llm.common import table
 
 #: The chain's order. The table of ratings has one toxicity category; the quality rating goes before it, as "unfit".
@@ -52,6 +52,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), toxicity_chain(spark, sf_dir), CATEGORIES)
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.evaluated_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixing.taken_words(mixed).withColumnRenamed("id", "doc_id")
@@ -71,9 +75,12 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_toxicity": op5_toxicity,
+    "op6_url_filters": op6_url_filters,
     "op7_mixing": op7_mixing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_media_columns": op10_media_columns,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_url_filters": urls.SQL,
+}
