@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import decontam, jaccard, media, mixing, quality, tokens, toxicity, urls
+from flowloom.llm import decontam, html, jaccard, media, mixing, quality, tokens, toxicity, urls
 from flowloom.llm.common import table
 
 #: The chain's order. The table of ratings has one toxicity category; the quality rating goes before it, as "unfit".
@@ -25,6 +25,10 @@ def toxicity_chain(spark: SparkSession, sf_dir: str) -> list[toxicity.Link]:
     return toxicity.train(table(spark, sf_dir, "documents"), category_labels(spark, sf_dir), CATEGORIES)
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade_documents(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
 
@@ -71,6 +75,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_token_counts": op3_token_counts,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
