@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import decontam, html, jaccard, media, mixing, quality, tokens, toxicity, urls
+from flowloom.llm import decontam, html, jaccard, licences, media, mixing, quality, tokens, toxicity, urls
 from flowloom.llm.common import table
 
 #: The chain's order. The table of ratings has one toxicity category; the quality rating goes before it, as "unfit".
@@ -65,6 +65,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixed).withColumnRenamed("id", "doc_id")
 
 
+def op8_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licences.scan(docs, licences.train(docs))
+    return found.withColumn("families", F.array_join("families", ",")).drop("hits")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.link_documents(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
@@ -82,6 +88,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_url_filters": op6_url_filters,
     "op7_mixing": op7_mixing,
+    "op8_licence_scans": op8_licence_scans,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_media_columns": op10_media_columns,
 }
