@@ -1,24 +1,54 @@
-"""Trigger declarations: grouping and seed selection."""
+"""Trigger declarations: grouping and seed selection.
+
+``decl`` has a row for each declared trigger: wf_id, trig_ord, event, types (null if none
+are declared), ref_kind (none, include, exclude), patterns, is_entry.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def summary(decl: DataFrame, examples: int = 3) -> DataFrame:
-    """Per event: distinct entry workflows, declarations, typed and filtered ones, first example ids."""
-    ids = F.when(F.col("is_entry"), F.col("wf_id").cast("string"))
-    first = decl.where("is_entry").select("event", F.col("wf_id").cast("string").alias("wf")).distinct()
-    # The examples come from a top-k window over distinct pairs, so no event collects all its ids.
-    from pyspark.sql import Window
+    """Per event: distinct entry workflows, declarations, typed and filtered ones, first example ids.
 
+    The examples come from ranks over distinct pairs, so no event gathers all its ids.
+    """
+    name = F.col("wf_id").cast("string")
     rank = F.row_number().over(Window.partitionBy("event").orderBy("wf"))
-    top = first.withColumn("rank", rank).where(F.col("rank") <= examples).groupBy("event").agg(F.sort_array(F.collect_list("wf")).alias("examples"))
+    first = decl.where("is_entry").select("event", name.alias("wf")).distinct().withColumn("rank", rank).where(F.col("rank") <= examples)
+    top = first.groupBy("event").agg(F.sort_array(F.collect_list("wf")).alias("examples"))
     counts = decl.groupBy("event").agg(
-        F.countDistinct(ids).alias("entry_workflows"),
+        F.countDistinct(F.when(F.col("is_entry"), F.col("wf_id"))).alias("entry_workflows"),
         F.count(F.lit(1)).alias("declarations"),
-        F.count_if("typed").alias("typed"),
-        F.count_if("filtered").alias("filtered"),
+        F.count_if(F.col("types").isNotNull()).alias("typed"),
+        F.count_if(F.col("ref_kind") != "none").alias("filtered"),
     )
     return counts.join(top, "event", "left").orderBy(F.desc("entry_workflows"), "event")
+
+
+def accepts_activity(types: Column, defaults: Column, wanted: list[str]) -> Column:
+    """Declared types must hold one that is wanted; without any the event's default ones must; without those all pass."""
+    known = F.coalesce(types, defaults)
+    return F.coalesce(F.arrays_overlap(known, F.array(*map(F.lit, wanted))), F.size(known).isNull() | known.isNull())
+
+
+def accepts_ref(ref_kind: Column, matched: Column) -> Column:
+    return F.when(ref_kind == "include", matched).when(ref_kind == "exclude", ~matched).otherwise(True)
+
+
+def first_match(decl: DataFrame, condition: Column) -> DataFrame:
+    """Of each workflow, the first declaration in order that meets a condition."""
+    rank = F.row_number().over(Window.partitionBy("wf_id").orderBy("trig_ord"))
+    return decl.where(condition).withColumn("rank", rank).where("rank = 1").drop("rank")
+
+
+def only_called(decl: DataFrame) -> DataFrame:
+    """Workflows with a call-only trigger and no other."""
+    return decl.groupBy("wf_id").agg(F.bool_or("is_entry").alias("entry"), F.bool_or(~F.col("is_entry")).alias("called")).where("called and not entry").select("wf_id")
+
+
+def shown_types(types: Column, defaults: Column) -> Column:
+    """How activity types are shown: declared ones, the event's default ones, or all."""
+    return F.when(types.isNotNull(), F.array_join(types, ", ")).when(defaults.isNotNull(), F.concat(F.lit("default: "), F.array_join(defaults, ", "))).otherwise("all")

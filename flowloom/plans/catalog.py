@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from flowloom.plans import declarations
+from flowloom.plans import declarations, relations
 
-MODULES = (declarations,)
+REGISTRIES = (declarations.on, relations.on)
 
-QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
-ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
+QUERIES = {name: query for registry in REGISTRIES for name, query in registry.queries.items()}
+ORACLE_SQL = {name: sql for registry in REGISTRIES for name, sql in registry.sql.items()}
