@@ -12,10 +12,11 @@ tokens as the smaller m of the two.
 
 A token's list of SMALL_LIST classes or fewer gives all its pairs. A longer list first
 gives a star and a chain, 2 pairs for each class; classes that turn out to be linked need
-no further pair between them, as they are in one component already. What is left of
-the list, pairs between different components, is then paired in full. So groups of
-near copies never are expanded into all pairs, and no link that could join two
-components is left out.
+no further pair between them, as they are in one component already. ROUNDS draws of
+random groups join most of what is left. Pairs between the components that then still
+share a list are taken in full, but for those that a sketch of the sets rules out. So
+groups of near copies never are expanded into all pairs, and no link that could join
+two components is left out.
 
 Work on tokens is done on packed arrays: tasks send blocks of sorted tokens by token
 range, so what is shuffled are a few bytes a token.
@@ -44,6 +45,10 @@ MAX_COMMON = 1_000_000  # tokens whose counts are broadcast; the least count is
 FLUSH_TOKENS = 2_000_000
 PIECE_CHARS = 2_000_000
 MAX_FILTER_BITS = 27
+SKETCH = 8  # words of 64 bits
+SKETCHES = [f"s{k}" for k in range(SKETCH)]
+GROUP = 24
+ROUNDS = 3
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -244,42 +249,68 @@ class Join:
 
         return common.stored(self.postings().groupBy("part").applyInArrow(run, "kind long, a long, b long, n long, need long"), "token-lists")
 
-    def described(self, lists: DataFrame) -> DataFrame:
-        """All documents: id, key, n, cls, and the set of those whose class is in some list, stored.
+    def bitmap(self, classes: DataFrame) -> tuple[int, np.ndarray]:
+        """Which classes are in a column ``c``, as a bitmap of at most 2^MAX_FILTER_BITS bits.
 
-        Which those are goes out as a bitmap of at most 2^MAX_FILTER_BITS bits; it may
-        let some others through, never keep one out.
+        It may let some others through, never keeps one out.
         """
-        classes = lists.where("kind < 2").select(F.explode(F.array("a", "b")).alias("c")).union(lists.where("kind = 2").select("b")).distinct()
         bits = max(16, min(MAX_FILTER_BITS, int(classes.count() * 16).bit_length()))
         place = classes.select(F.expr(f"c & {(1 << bits) - 1}L").alias("p"))
         words = place.groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("m")).toPandas()
-        bitmap = np.zeros(1 << (bits - 6), np.int64)
-        bitmap[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64)
-        sent, shingle = self.spark.sparkContext.broadcast(bitmap), self.shingle
+        out = np.zeros(1 << (bits - 6), np.int64)
+        out[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64)
+        return bits, out
+
+    def described(self, lists: DataFrame) -> DataFrame:
+        """All documents: id, key, n, cls; and of those whose class is in some list the set and its sketch, stored.
+
+        The sketch has a bit for each of 64 * SKETCH buckets of tokens: if the set's tokens in it are odd in number.
+        """
+        classes = lists.where("kind < 2").select(F.explode(F.array("a", "b")).alias("c")).union(lists.where("kind = 2").select("b")).distinct()
+        bits, known = self.bitmap(classes)
+        sent, shingle = self.spark.sparkContext.broadcast(known), self.shingle
         id_type = self.docs.schema["id"].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bitmap, seen = sent.value, set()
+            seen = set()
             for batch, sets in _sets(batches, shingle):
-                classes, blobs = [], []
-                for tokens in sets:
-                    cls = class_of(tokens) if len(tokens) else 0
-                    p = cls & ((1 << bits) - 1)
-                    wanted = len(tokens) and cls not in seen and int(bitmap[p >> 6]) >> (p & 63) & 1
-                    classes.append(cls if len(tokens) else None)
-                    blobs.append(tokens.tobytes() if wanted else None)
-                    if wanted:
-                        seen.add(cls)
-                columns = [batch.column("id"), batch.column("key"), pa.array(map(len, sets), pa.int64()), pa.array(classes, pa.int64()), pa.array(blobs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "key", "n", "cls", "tokens"])
+                classes = np.array([class_of(tokens) if len(tokens) else 0 for tokens in sets], np.int64)
+                wanted = marked(classes, bits, sent.value)
+                blobs, sketches = [], np.zeros((len(sets), SKETCH), np.uint64)
+                for k, tokens in enumerate(sets):
+                    take = len(tokens) and wanted[k] and classes[k] not in seen
+                    blobs.append(tokens.tobytes() if take else None)
+                    if take:
+                        seen.add(classes[k])
+                        odd = np.bincount((tokens & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+                        sketches[k] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+                sizes = np.array([len(t) for t in sets], np.int64)
+                columns = [batch.column("id"), batch.column("key"), pa.array(sizes), pa.array(classes, mask=sizes == 0), pa.array(blobs, pa.binary())]
+                columns += [pa.array(sketches[:, j].view(np.int64)) for j in range(SKETCH)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "key", "n", "cls", "tokens", *SKETCHES])
+
+        kinds = "".join(f", {s} long" for s in SKETCHES)
+        return common.stored(self.docs.mapInArrow(run, f"id {id_type}, key long, n long, cls long, tokens binary{kinds}"), "shingle-sets")
+
+    def verified(self, pairs: DataFrame, rows: DataFrame, sketches: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sets are similar enough, stored.
+
+        Sketches go first: two sets differ in at least as many tokens as their sketches in
+        bits. Only what that leaves open gets whole sets.
+        """
+        percent = self.percent
+        x = sketches.select(F.col("cls").alias("a"), F.col("n").alias("xn"), *[F.col(s).alias(f"x{s}") for s in SKETCHES])
+        y = sketches.select(F.col("cls").alias("b"), F.col("n").alias("yn"), *[F.col(s).alias(f"y{s}") for s in SKETCHES])
+        open_ = common.stored(pairs.join(x, "a").join(y, "b").where(may_link("xn", "x", "yn", "y", percent)).select("a", "b"), "pairs")
+        bits, known = self.bitmap(open_.select(F.explode(F.array("a", "b")).alias("c")).distinct())
+        sent = self.spark.sparkContext.broadcast(known)
 
-        return common.stored(self.docs.mapInArrow(run, f"id {id_type}, key long, n long, cls long, tokens binary"), "shingle-sets")
+        def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(marked(batch.column("cls").to_numpy(zero_copy_only=False).astype(np.int64), bits, sent.value)))
 
-    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets are similar enough, stored."""
-        percent = self.percent
-        right = pairs.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("right")), "b")
+        sets = rows.where("tokens is not null").select("cls", "tokens").mapInArrow(wanted, "cls long, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens"))
+        right = open_.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("right")), "b")
         both = right.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("left")), "a")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,6 +325,42 @@ class Join:
 
         return common.stored(both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), "links")
 
+    def open_lists(self, lists: DataFrame, found: DataFrame) -> DataFrame:
+        """The long lists that hold classes of several components: token, cls, root, stored."""
+        member = lists.where("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("cls"))
+        placed = member.join(found, member["cls"] == found["node"], "left").select("token", "cls", F.coalesce("root", "cls").alias("root"))
+        mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+        return common.stored(placed.join(mixed, "token"), "open-lists")
+
+    def drawn_pairs(self, open_: DataFrame, number: int) -> DataFrame:
+        """Some pairs between components of open lists: each class picks a list, in each list classes meet in
+        random groups of about GROUP. A pick is the list's least hash, so similar classes pick alike."""
+        pick = open_.groupBy("cls", "root").agg(F.min_by("token", F.xxhash64("token", F.lit(number))).alias("token"))
+        sizes = pick.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
+        dealt = pick.join(sizes, "token").withColumn("g", F.pmod(F.xxhash64("cls", F.lit(number)), F.ceil(F.col("size") / GROUP).cast("long")))
+        x, y = (dealt.select("token", "g", F.col("cls").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
+        return x.join(y, ["token", "g"]).where("a < b and a_root <> b_root").select("a", "b")
+
+    def all_pairs(self, open_: DataFrame, sketches: DataFrame) -> DataFrame:
+        """Every pair between components that shares an open list and may link by its sketches, at the least token of both."""
+        tokens = open_.groupBy("cls").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+        rich = open_.join(tokens, "cls").join(sketches, "cls")
+        x, y = rich.alias("x"), rich.alias("y")
+        apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
+        once = F.expr("x.token = array_min(array_intersect(x.tokens, y.tokens))")
+        return x.join(y, apart & may_link("x.n", "x.", "y.n", "y.", self.percent) & once).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+
+
+def marked(classes: np.ndarray, bits: int, bitmap: np.ndarray) -> np.ndarray:
+    place = classes & ((1 << bits) - 1)
+    return (bitmap[place >> 6] >> (place & 63)) & 1 == 1
+
+
+def may_link(xn: str, x: str, yn: str, y: str, percent: int):
+    """If sizes and sketches of two sets allow the similarity: sets that are similar differ in few tokens."""
+    differ = " + ".join(f"bit_count({x}{s} ^ {y}{s})" for s in SKETCHES)
+    return F.expr(f"100 * least({xn}, {yn}) >= {percent} * greatest({xn}, {yn}) and {100 + percent} * ({differ}) <= {100 - percent} * ({xn} + {yn})")
+
 
 def chosen_prefix(tokens: np.ndarray, known: np.ndarray, weights: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
     """The prefix of a set under the global order, and how many of its tokens a partner must share.
@@ -335,7 +402,8 @@ def components(links: DataFrame) -> DataFrame:
         if now == state:
             break
         state = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return common.stored(out, "components")
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -351,27 +419,22 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     join = Join(source, shingle, percent)
     lists = join.lists()
     rows = join.described(lists)
-    sets = rows.where("tokens is not null").groupBy("cls").agg(F.first("tokens").alias("tokens"))
-    short = lists.where("kind = 0").select("a", "b", "n", "need")
-    counted = short.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
+    sketches = rows.where("tokens is not null").groupBy("cls").agg(F.first("n").alias("n"), *[F.first(k).alias(k) for k in SKETCHES])
+    sketches = common.stored(sketches, "sketches")
+    counted = lists.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
     first = counted.where("n >= need").select("a", "b").union(lists.where("kind = 1").select("a", "b")).distinct()
-    links = join.verified(first, sets)
-    found = common.stored(components(links), "components")
-
-    # Long lists whose classes are in one component are done; the others are paired between components.
-    member = lists.where("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("cls"), F.col("n").alias("shape"))
-    placed = member.join(found, member["cls"] == found["node"], "left").select("token", "cls", "shape", F.coalesce("root", "cls").alias("root"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    left = common.stored(placed.join(mixed, "token"), "open-lists")
-    x, y = left.alias("x"), left.alias("y")
-    near = (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
-    ratio = F.expr(f"100 * least(x.shape div {MAX_MATCHES}, y.shape div {MAX_MATCHES}) >= {percent} * greatest(x.shape div {MAX_MATCHES}, y.shape div {MAX_MATCHES})")
-    need = F.expr(f"least(x.shape % {MAX_MATCHES}, y.shape % {MAX_MATCHES}) + 1")
-    crossed = x.join(y, near & ratio).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.lit(1).cast("long").alias("n"), need.alias("need"))
-    again = crossed.union(short).groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
-    more = join.verified(again.join(first, ["a", "b"], "left_anti"), sets)
-    if not more.isEmpty():
-        found = components(links.union(more))
+    found = components(join.verified(first, rows, sketches))
+
+    # Lists whose classes are in one component are done. Draws join most of the others; what they leave open is paired
+    # in full, also pairs that share too few tokens on short lists alone: those share one on a long list as well.
+    for number in range(ROUNDS + 1):
+        open_ = join.open_lists(lists, found)
+        if open_.isEmpty():
+            break
+        pairs = join.drawn_pairs(open_, number) if number < ROUNDS else join.all_pairs(open_, sketches)
+        more = join.verified(pairs, rows, sketches)
+        if not more.isEmpty():
+            found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     ids = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"))
     placed = ids.join(found, ids["cls"] == found["node"], "left").select("cls", "id", F.coalesce("root", "cls").alias("component"))
