@@ -10,11 +10,13 @@ candidates to read plus candidates to verify, falls, as more shared tokens are a
 before a pair is verified. A pair is verified when it shares at least as many prefix
 tokens as the smaller m of the two.
 
-A token's list of SMALL_LIST classes or fewer gives all its pairs. A longer list first
-gives a star and a chain, 2 pairs for each class; classes that turn out to be linked need
-no further pair between them, as they are in one component already. ROUNDS draws of
-random groups join most of what is left. Pairs between the components that then still
-share a list are taken in full, but for those that a sketch of the sets rules out. So
+A token's list of SMALL_LIST classes or fewer gives all its pairs, a longer one the pairs
+with its first class. Of these each class first meets only the one that it shares most
+tokens with; classes that turn out to be linked need no further pair between them, as
+they are in one component already. The other pairs of short lists follow, and ROUNDS
+draws of random groups from long ones, which join most of what is left. Pairs between
+the components that then still share a list are taken in full, but for those that a
+sketch of the sets rules out. So
 groups of near copies never are expanded into all pairs, and no link that could join
 two components is left out.
 
@@ -42,13 +44,14 @@ MAX_MATCHES = 4
 VERIFY_COST = 8.0
 MIN_COUNT = 4  # tokens of fewer documents count as rare alike
 MAX_COMMON = 1_000_000  # tokens whose counts are broadcast; the least count is raised until they fit
-FLUSH_TOKENS = 2_000_000
-PIECE_CHARS = 2_000_000
+FLUSH_TOKENS = 1_000_000
+PIECE_CHARS = 1_000_000
 MAX_FILTER_BITS = 27
 SKETCH = 8  # words of 64 bits
 SKETCHES = [f"s{k}" for k in range(SKETCH)]
-GROUP = 24
-ROUNDS = 3
+GROUP = 48
+ROUNDS = 2
+SET_BYTES = 6  # of each token in a stored set
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -81,6 +84,17 @@ def shingle_sets(texts: list[str | None], shingle: int = SHINGLE) -> list[np.nda
     return found
 
 
+def set_bytes(tokens: np.ndarray) -> bytes:
+    """A sorted set by the upper SET_BYTES bytes of its tokens."""
+    return tokens.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes()
+
+
+def set_of(data) -> np.ndarray:
+    out = np.zeros((len(data) // SET_BYTES, 8), np.uint8)
+    out[:, :SET_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, SET_BYTES)
+    return out.view(">u8").ravel()
+
+
 def class_of(tokens: np.ndarray) -> int:
     """A signed 64-bit hash of a whole set."""
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "big", signed=True)
@@ -205,8 +219,8 @@ class Join:
     def lists(self) -> DataFrame:
         """What token lists of two classes and more give, stored: pairs (a < b) with their shared tokens, or members.
 
-        kind 0: the pairs of short lists; 1: stars and chains of long lists; 2: a long
-        list's member (a: token, b: class, n: shape).
+        kind 0: the pairs of short lists; 1: pairs with the first class of long lists; 2: a
+        long list's member (a: token, b: class, n: shape).
         """
         percent = self.percent
 
@@ -237,7 +251,6 @@ class Join:
             lead = np.repeat(first[long_], size[long_])
             member = lead + np.arange(len(lead)) - np.repeat(np.cumsum(size[long_]) - size[long_], size[long_])
             add(lead[member > lead], member[member > lead], 1)
-            add(member[member > lead + 1] - 1, member[member > lead + 1], 1)
             a, b, kind, need = (np.concatenate(x) for x in (a, b, kind, need))
             order = np.lexsort((b, a, kind))
             a, b, kind, need = a[order], b[order], kind[order], need[order]
@@ -279,7 +292,7 @@ class Join:
                 blobs, sketches = [], np.zeros((len(sets), SKETCH), np.uint64)
                 for k, tokens in enumerate(sets):
                     take = len(tokens) and wanted[k] and classes[k] not in seen
-                    blobs.append(tokens.tobytes() if take else None)
+                    blobs.append(set_bytes(tokens) if take else None)
                     if take:
                         seen.add(classes[k])
                         odd = np.bincount((tokens & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
@@ -317,9 +330,9 @@ class Join:
             for batch in batches:
                 keep = []
                 for x, y in zip(batch.column("left"), batch.column("right")):
-                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                    merged = np.sort(np.concatenate([set_of(x.as_buffer()), set_of(y.as_buffer())]).astype(np.uint64))
+                    both = int((merged[1:] == merged[:-1]).sum())
+                    keep.append(100 * both >= percent * (len(merged) - both))
                 keep = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
@@ -347,6 +360,7 @@ class Join:
         rich = open_.join(tokens, "cls").join(sketches, "cls")
         x, y = rich.alias("x"), rich.alias("y")
         apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
+        # Short lists that both are on may be missing here, so all that is known is that some token is shared.
         once = F.expr("x.token = array_min(array_intersect(x.tokens, y.tokens))")
         return x.join(y, apart & may_link("x.n", "x.", "y.n", "y.", self.percent) & once).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
 
@@ -382,28 +396,37 @@ def chosen_prefix(tokens: np.ndarray, known: np.ndarray, weights: np.ndarray, pe
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Connected components of an edge list (a, b): node, root (the smallest node), by large-star and small-star steps.
+    """Connected components of an edge list (a, b): node, root (the smallest node), stored, by large-star and small-star steps.
 
     Each step takes minima by key with partial sums and joins them back, so a node of very
-    many edges is dealt over tasks. Nodes without edges don't appear.
+    many edges is dealt over tasks. It is over when every node has one edge, to a node
+    without: then all components are stars. Nodes without edges don't appear.
     """
-    spark = links.sparkSession
-    edges = common.stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    state = None
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u")
-        small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         edges = common.stored(small.where("u <> v").distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.expr("cast(xxhash64(u, v) as decimal(20))"))).first()
-        if now == state:
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or out + into > 1").isEmpty():
             break
-        state = now
-    out = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-    return common.stored(out, "components")
+    roots = edges.select(F.col("v").alias("node")).distinct()
+    return common.stored(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root"))), "components")
+
+
+def joined(found: DataFrame, more: DataFrame) -> DataFrame:
+    """Components that new links (a, b) join: only their roots go through ``components`` again."""
+    x, y = (found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
+    rooted = more.join(x, "a", "left").join(y, "b", "left")
+    a, b = F.coalesce("a_root", "a"), F.coalesce("b_root", "b")
+    moved = components(rooted.select(a.alias("a"), b.alias("b")))
+    ups = moved.select(F.col("node").alias("root"), F.col("root").alias("up"))
+    old = found.join(ups, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    new = moved.join(found.select("node"), "node", "left_anti")
+    return common.stored(old.unionByName(new.select("node", "root")), "components")
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -421,20 +444,26 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = join.described(lists)
     sketches = rows.where("tokens is not null").groupBy("cls").agg(F.first("n").alias("n"), *[F.first(k).alias(k) for k in SKETCHES])
     sketches = common.stored(sketches, "sketches")
-    counted = lists.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
-    first = counted.where("n >= need").select("a", "b").union(lists.where("kind = 1").select("a", "b")).distinct()
-    found = components(join.verified(first, rows, sketches))
-
-    # Lists whose classes are in one component are done. Draws join most of the others; what they leave open is paired
-    # in full, also pairs that share too few tokens on short lists alone: those share one on a long list as well.
+    # Each class first meets the one that it shares most tokens with, as far as the pairs at hand tell.
+    pairs = lists.where("kind < 2").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"), F.min("kind").alias("kind"))
+    found = components(join.verified(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), rows, sketches))
+
+    # Pairs inside a component need no look. Those of short lists between components are taken, with some random ones of
+    # long lists; last, all that long lists leave open. Pairs that share too few tokens on short lists alone share one
+    # on a long list as well.
+    short = pairs.where("kind = 0 and n >= need").select("a", "b")
     for number in range(ROUNDS + 1):
         open_ = join.open_lists(lists, found)
-        if open_.isEmpty():
+        drawn = join.drawn_pairs(open_, number) if number < ROUNDS else join.all_pairs(open_, sketches)
+        if number == 0:
+            x, y = (found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
+            apart = short.join(x, "a", "left").join(y, "b", "left").where("not coalesce(a_root = b_root, false)")
+            drawn = drawn.union(apart.select("a", "b")).distinct()
+        elif open_.isEmpty():
             break
-        pairs = join.drawn_pairs(open_, number) if number < ROUNDS else join.all_pairs(open_, sketches)
-        more = join.verified(pairs, rows, sketches)
+        more = join.verified(drawn, rows, sketches)
         if not more.isEmpty():
-            found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+            found = joined(found, more)
 
     ids = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"))
     placed = ids.join(found, ids["cls"] == found["node"], "left").select("cls", "id", F.coalesce("root", "cls").alias("component"))
