@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -44,12 +46,16 @@ def slots_of(word: str) -> tuple[int, int, int]:
 
 def hashed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of a whole text, ascending, and their counts; no features without words."""
-    counts = Counter(text.split()) if text else None
-    if not counts:
+    words = text.split() if text else None
+    if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    counts, n = Counter(words), len(words)
     slots = np.array([slots_of(w) for w in counts], np.int64)
-    times = np.repeat(np.fromiter(counts.values(), np.float64, len(counts)), 3)
-    numbers, place = np.unique(slots.ravel(), return_inverse=True)
+    # Of the text as a whole: how often a word follows itself, and how many of the words differ.
+    repeats = sum(map(operator.eq, words, words[1:])) / n
+    whole = [_slot("r", str(min(9, math.ceil(repeats * 20)))), _slot("d", str(len(counts) * 10 // n if n >= 30 else -1))]
+    times = np.append(np.repeat(np.fromiter(counts.values(), np.float64, len(counts)), 3), [n, n])
+    numbers, place = np.unique(np.append(slots.ravel(), whole), return_inverse=True)
     return numbers.astype(np.int32), np.bincount(place, times).astype(np.float32)
 
 
