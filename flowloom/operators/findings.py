@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # Severities by rank, and the tools whose names are brought to one form.
 SEVERITIES = ("info", "low", "medium", "high", "error")
-SOURCES = ("zizmor", "actionlint", "scorecard", "poutine")
+SOURCES = ("zizmor", "actionlint", "flowloom")
 
 
 def rank_of(severity: Column) -> Column:

@@ -9,7 +9,7 @@ from flowloom.operators import graph
 
 # The scopes of a token.
 SCOPES = (
-    "actions artifact-metadata attestations checks contents deployments discussions id-token issues models packages pages pull-requests repository-projects security-events statuses workflows"
+    "actions artifact-metadata attestations checks contents deployments discussions id-token issues models packages pages pull-requests repository-projects security-events statuses vulnerability-alerts"
 ).split()
 
 
