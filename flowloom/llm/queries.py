@@ -93,6 +93,35 @@ QUERIES = {
     "op10_media_columns": op10_media_columns,
 }
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Occurrences by comparing the next ten words at each position with all test phrases.
+OP4_SQL = rf"""WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+p AS (SELECT DISTINCT item, w[s:s + 9] AS phrase, len(w[s:s + 9]) AS n FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS s FROM i WHERE len(w) > 0)),
+words AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+ahead AS (SELECT rid, pos, list(word) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS l FROM words),
+hits AS (SELECT DISTINCT rid, pos, p.n, item FROM (SELECT rid, pos, n, l[1:n] AS phrase FROM ahead, (SELECT DISTINCT n FROM p) WHERE len(l) >= n) a JOIN p USING (phrase)),
+n_hits AS (SELECT rid, count(DISTINCT x) AS n_hit FROM (SELECT rid, unnest(range(pos, pos + n)) AS x FROM hits) GROUP BY rid),
+items AS (SELECT rid, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+ coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n_hits USING (rid) LEFT JOIN items USING (rid)"""
+
+#: Links by counting the shared shingles of all pairs that share one.
+OP9_SQL = rf"""WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d WHERE len(w) >= 5),
+ahead AS (SELECT rid, list(word) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS l FROM words),
+sh AS (SELECT DISTINCT rid, array_to_string(l, ' ') AS s FROM ahead WHERE len(l) = 5 UNION ALL SELECT rid, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
+links AS (SELECT a, b FROM (SELECT x.rid AS a, y.rid AS b, count(*) AS shared FROM sh x JOIN sh y ON x.s = y.s AND x.rid < y.rid GROUP BY ALL) JOIN n na ON na.rid = a JOIN n nb ON nb.rid = b
+ WHERE 100 * shared >= 80 * (na.n + nb.n - shared)),
+e AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+r AS (SELECT rid AS node, rid AS other FROM d UNION SELECT node, b FROM r JOIN e ON a = other),
+low AS (SELECT node, min(doc_id) AS component_id FROM r JOIN d ON rid = other GROUP BY node)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (rid) JOIN low ON node = rid"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_benchmark_decontamination": OP4_SQL,
+    "op9_ngram_jaccard_join": OP9_SQL,
     "op6_url_filters": urls.SQL,
 }
