@@ -70,7 +70,7 @@ class Rows(NamedTuple):
     def of(cls, rows: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
         sizes = [len(n) for n, _ in rows]
         flat = lambda k, kind: np.concatenate([r[k] for r in rows]).astype(kind) if rows else np.zeros(0, kind)
-        return cls(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), flat(0, np.int64), flat(1, np.float64))
+        return cls(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), flat(0, np.int32), flat(1, np.float32))
 
     def times(self, weights: np.ndarray) -> np.ndarray:
         sums = np.concatenate([[0.0], np.cumsum(self.values * weights[self.numbers])])

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from flowloom.llm import common, features
 
-MAX_LABELLED = 6_000  # rated rows that the fit reads, the only bound here
+MAX_LABELLED = 4_000  # rated rows that the fit reads, the only bound here
 KEEP_PROBABILITY = 0.5
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from flowloom.llm import common, features
 
-MAX_LABELLED = 6_000  # labelled rows that the fit reads, the only bound here
+MAX_LABELLED = 4_000  # labelled rows that the fit reads, the only bound here
 FOLDS = 3
 THRESHOLD = 0.5
 
