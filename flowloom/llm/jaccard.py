@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm import common
@@ -479,15 +479,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Of repeated rows (equal ids and sets) one stays; rows without words all stay.
     """
     found = common.stored(link_documents(docs, id_col, text_col), "linked")
-    best = found.where("cls is not null").groupBy("component").agg(F.min(F.struct("id", "cls", "key")).alias("best")).select("best.*")
+    best = found.where("cls is not null").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "cls", "key")).alias("best")).select("best.id", "best.cls", "best.key")
     wordless = found.where("cls is null").select("id", F.lit(None).cast("long").alias("cls"), "key")
-    stay = best.union(wordless).select("id", "key").distinct()
-    id_, key, copy = (common.fresh(docs, s) for s in ("stay_id", "text_key", "copy"))
-    stay = stay.select(F.col("id").alias(id_), F.col("key").alias(f"{key}_stay"))
-    keyed = docs.withColumn(key, F.xxhash64(common.text_of(text_col)))
-    kept = keyed.join(stay, (keyed[key] == stay[f"{key}_stay"]) & keyed[id_col].eqNullSafe(stay[id_]), "left_semi")
+    name = lambda id_, key: F.xxhash64(F.coalesce(id_.cast("string"), F.lit("null")), key)  # noqa: E731  one key for both steps below
+    stay = best.union(wordless).select(name(F.col("id"), F.col("key")).alias("stay")).distinct()
+    row, copy = common.fresh(docs, "row"), common.fresh(docs, "copy")
+    keyed = docs.withColumn(row, name(docs[id_col], F.xxhash64(common.text_of(text_col))))
+    kept = keyed.join(stay, keyed[row] == stay["stay"], "left_semi")
     words = F.expr(f"`{text_col}` rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    from pyspark.sql import Window
-
-    order = F.row_number().over(Window.partitionBy(id_col, key).orderBy(key))
-    return kept.withColumn(copy, order).where((F.col(copy) == 1) | ~F.coalesce(words, F.lit(False))).drop(key, copy)
+    order = F.row_number().over(Window.partitionBy(row).orderBy(row))
+    return kept.withColumn(copy, order).where((F.col(copy) == 1) | ~F.coalesce(words, F.lit(False))).drop(row, copy)
