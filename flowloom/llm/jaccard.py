@@ -50,8 +50,8 @@ MAX_FILTER_BITS = 27
 SKETCH = 8  # words of 64 bits
 SKETCHES = [f"s{k}" for k in range(SKETCH)]
 GROUP = 48
-ROUNDS = 2
-SET_BYTES = 6  # of each token in a stored set
+ROUNDS = 1
+SET_BYTES = 5  # of each token in a stored set
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -314,7 +314,7 @@ class Join:
         percent = self.percent
         x = sketches.select(F.col("cls").alias("a"), F.col("n").alias("xn"), *[F.col(s).alias(f"x{s}") for s in SKETCHES])
         y = sketches.select(F.col("cls").alias("b"), F.col("n").alias("yn"), *[F.col(s).alias(f"y{s}") for s in SKETCHES])
-        open_ = common.stored(pairs.join(x, "a").join(y, "b").where(may_link("xn", "x", "yn", "y", percent)).select("a", "b"), "pairs")
+        open_ = common.stored(pairs.join(by_shuffle(x), "a").join(by_shuffle(y), "b").where(may_link("xn", "x", "yn", "y", percent)).select("a", "b"), "pairs")
         bits, known = self.bitmap(open_.select(F.explode(F.array("a", "b")).alias("c")).distinct())
         sent = self.spark.sparkContext.broadcast(known)
 
@@ -323,8 +323,8 @@ class Join:
                 yield batch.filter(pa.array(marked(batch.column("cls").to_numpy(zero_copy_only=False).astype(np.int64), bits, sent.value)))
 
         sets = rows.where("tokens is not null").select("cls", "tokens").mapInArrow(wanted, "cls long, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens"))
-        right = open_.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("right")), "b")
-        both = right.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("left")), "a")
+        right = open_.join(by_shuffle(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("right"))), "b")
+        both = right.join(by_shuffle(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("left"))), "a")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -341,28 +341,33 @@ class Join:
     def open_lists(self, lists: DataFrame, found: DataFrame) -> DataFrame:
         """The long lists that hold classes of several components: token, cls, root, stored."""
         member = lists.where("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("cls"))
-        placed = member.join(found, member["cls"] == found["node"], "left").select("token", "cls", F.coalesce("root", "cls").alias("root"))
+        placed = member.join(by_shuffle(found), member["cls"] == found["node"], "left").select("token", "cls", F.coalesce("root", "cls").alias("root"))
         mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-        return common.stored(placed.join(mixed, "token"), "open-lists")
+        return common.stored(placed.join(by_shuffle(mixed), "token"), "open-lists")
 
     def drawn_pairs(self, open_: DataFrame, number: int) -> DataFrame:
         """Some pairs between components of open lists: each class picks a list, in each list classes meet in
         random groups of about GROUP. A pick is the list's least hash, so similar classes pick alike."""
         pick = open_.groupBy("cls", "root").agg(F.min_by("token", F.xxhash64("token", F.lit(number))).alias("token"))
         sizes = pick.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
-        dealt = pick.join(sizes, "token").withColumn("g", F.pmod(F.xxhash64("cls", F.lit(number)), F.ceil(F.col("size") / GROUP).cast("long")))
+        dealt = pick.join(by_shuffle(sizes), "token").withColumn("g", F.pmod(F.xxhash64("cls", F.lit(number)), F.ceil(F.col("size") / GROUP).cast("long")))
         x, y = (dealt.select("token", "g", F.col("cls").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
-        return x.join(y, ["token", "g"]).where("a < b and a_root <> b_root").select("a", "b")
+        return x.join(by_shuffle(y), ["token", "g"]).where("a < b and a_root <> b_root").select("a", "b")
 
     def all_pairs(self, open_: DataFrame, sketches: DataFrame) -> DataFrame:
         """Every pair between components that shares an open list and may link by its sketches, at the least token of both."""
         tokens = open_.groupBy("cls").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-        rich = open_.join(tokens, "cls").join(sketches, "cls")
+        rich = open_.join(by_shuffle(tokens), "cls").join(by_shuffle(sketches), "cls")
         x, y = rich.alias("x"), rich.alias("y")
         apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
         # Short lists that both are on may be missing here, so all that is known is that some token is shared.
         once = F.expr("x.token = array_min(array_intersect(x.tokens, y.tokens))")
-        return x.join(y, apart & may_link("x.n", "x.", "y.n", "y.", self.percent) & once).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+        return x.join(by_shuffle(y), apart & may_link("x.n", "x.", "y.n", "y.", self.percent) & once).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+
+
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: the planner takes packed files for smaller than they are and would broadcast them."""
+    return df.hint("merge")
 
 
 def marked(classes: np.ndarray, bits: int, bitmap: np.ndarray) -> np.ndarray:
@@ -404,13 +409,13 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = common.stored(both.where("v > u").join(by_shuffle(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = common.stored(small.where("u <> v").distinct(), "edges")
-        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("v", F.lit(0), F.lit(1)))
+        moved = large.join(by_shuffle(least), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
+        edges = common.stored(moved.select("e.u", "e.v").where("u <> v").distinct(), "small-star")
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))).alias("e")).select("e.*")
         if ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or out + into > 1").isEmpty():
             break
     roots = edges.select(F.col("v").alias("node")).distinct()
@@ -420,12 +425,12 @@ def components(links: DataFrame) -> DataFrame:
 def joined(found: DataFrame, more: DataFrame) -> DataFrame:
     """Components that new links (a, b) join: only their roots go through ``components`` again."""
     x, y = (found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
-    rooted = more.join(x, "a", "left").join(y, "b", "left")
+    rooted = more.join(by_shuffle(x), "a", "left").join(by_shuffle(y), "b", "left")
     a, b = F.coalesce("a_root", "a"), F.coalesce("b_root", "b")
     moved = components(rooted.select(a.alias("a"), b.alias("b")))
     ups = moved.select(F.col("node").alias("root"), F.col("root").alias("up"))
-    old = found.join(ups, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-    new = moved.join(found.select("node"), "node", "left_anti")
+    old = found.join(by_shuffle(ups), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    new = moved.join(by_shuffle(found.select("node")), "node", "left_anti")
     return common.stored(old.unionByName(new.select("node", "root")), "components")
 
 
@@ -457,7 +462,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         drawn = join.drawn_pairs(open_, number) if number < ROUNDS else join.all_pairs(open_, sketches)
         if number == 0:
             x, y = (found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
-            apart = short.join(x, "a", "left").join(y, "b", "left").where("not coalesce(a_root = b_root, false)")
+            apart = short.join(by_shuffle(x), "a", "left").join(by_shuffle(y), "b", "left").where("not coalesce(a_root = b_root, false)")
             drawn = drawn.union(apart.select("a", "b")).distinct()
         elif open_.isEmpty():
             break
@@ -466,10 +471,10 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             found = joined(found, more)
 
     ids = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"))
-    placed = ids.join(found, ids["cls"] == found["node"], "left").select("cls", "id", F.coalesce("root", "cls").alias("component"))
+    placed = ids.join(by_shuffle(found), ids["cls"] == found["node"], "left").select("cls", "id", F.coalesce("root", "cls").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("id").alias("component_id"))
-    labels = placed.select("cls", "component").join(smallest, "component")
-    result = rows.select("id", "key", F.col("n").alias("n_shingles"), "cls").join(labels, "cls", "left")
+    labels = placed.select("cls", "component").join(by_shuffle(smallest), "component")
+    result = rows.select("id", "key", F.col("n").alias("n_shingles"), "cls").join(by_shuffle(labels), "cls", "left")
     return result.select("id", "key", "n_shingles", F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "cls", "component")
 
 
@@ -485,7 +490,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stay = best.union(wordless).select(name(F.col("id"), F.col("key")).alias("stay")).distinct()
     row, copy = common.fresh(docs, "row"), common.fresh(docs, "copy")
     keyed = docs.withColumn(row, name(docs[id_col], F.xxhash64(common.text_of(text_col))))
-    kept = keyed.join(stay, keyed[row] == stay["stay"], "left_semi")
+    kept = keyed.join(by_shuffle(stay), keyed[row] == stay["stay"], "left_semi")
     words = F.expr(f"`{text_col}` rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     order = F.row_number().over(Window.partitionBy(row).orderBy(row))
     return kept.withColumn(copy, order).where((F.col(copy) == 1) | ~F.coalesce(words, F.lit(False))).drop(row, copy)
