@@ -6,16 +6,20 @@ source is drawn from a multinomial distribution. The draws are conditioned on th
 sources' totals (shard after shard without replacement), as free draws miss the target
 of a small source by a good part of it. A source's slots are numbered through all
 shards, and slot numbers go through a pseudorandom permutation of the source's block
-indexes, one permutation for each pass over the source. Blocks then are joined by index.
+indexes, one permutation for each pass over the source. Blocks then are joined by index:
+first without their words, which gives each document the list of what is taken of it; each
+text then is cut once, and its pieces are dealt to the shards and written there.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +30,12 @@ SHARD_SLOTS = 1 << 16
 MAX_DRAWS = 2_000_000  # shards times sources
 MAX_SOURCES = 100_000
 BUCKET_DOCS = 1_000
+MAX_TASKS = 20_000  # that write shards
+CUT_ROWS = 20_000  # pieces that a task hands on at once
 WORD = "[^\\\\x20\\\\x09-\\\\x0D]+"
 
+_spaced = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")  # a word and the space after it
+
 
 def targets_of(sizes: list[int], weights: list[float], share: float = 1.5, cap: float = 2.0) -> list[float]:
     """Targets by weight that sum to ``share`` of all sizes; none is over ``cap`` times its source's size.
@@ -114,18 +122,22 @@ def plan_source(name: str | None, size: int, target: float, number: int, block_w
 class Mix(NamedTuple):
     docs: DataFrame  # row, id, source, number, size: a stored row for each document
     sources: DataFrame  # number, source_size, target
-    blocks: DataFrame  # number, block, row, lo, hi: the words of a document inside a block
+    blocks: DataFrame  # number, block, row, key, hash, lo, hi, first: the place of a document's words inside a block, and the first one's in the document
     slots: DataFrame  # shard, number, slot, block, words: what the mix draws
+    shards: DataFrame  # number, slot, words, pieces (row, words, text), shard: the mix as written, a folder for each shard
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, block_words: int = BLOCK_WORDS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
-    """Plan the mix of all rows of ``docs``; sources by code point (null last) take ``weights`` in turn.
+    """Write the mix of all rows of ``docs``; sources by code point (null last) take ``weights`` in turn.
 
     Null and empty texts have size 0 and are never drawn; null is a source of its own;
     repeated rows are documents of their own; an empty table gives an empty mix. The
     order inside a source is by hash bucket, id and text hash, whatever the partitions
     are, so reruns agree. The driver holds one row for each source (at most MAX_SOURCES)
-    and the drawn counts of the shards (at most MAX_DRAWS).
+    and the drawn counts of the shards (at most MAX_DRAWS). ``docs`` is read twice.
+
+    The shards are Parquet in the shared folder. A row is a slot, in an order that is
+    drawn for the shard; its pieces are parts of documents with the space between their words.
     """
     spark = docs.sparkSession
     size = F.expr(f"cast(regexp_count(text, '{WORD}') as bigint)")
@@ -150,15 +162,56 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     bases = bases.select("number", "bucket", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     placed = dealt.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases, ["number", "bucket"])
     start, words = F.col("start") + F.col("base"), F.lit(block_words)
-    spans = placed.select("number", "row", start.alias("a"), (start + F.col("size")).alias("b"))
+    spans = placed.select("number", "row", "key", F.xxhash64("id", "key").alias("hash"), start.alias("a"), (start + F.col("size")).alias("b"))
     spans = spans.select("*", F.explode(F.expr(f"sequence(a div {block_words}, (b - 1) div {block_words})")).alias("block"))
-    blocks = spans.select("number", "block", "row", F.greatest(F.col("a") - F.col("block") * words, F.lit(0)).alias("lo"), F.least(F.col("b") - F.col("block") * words, words).alias("hi"))
-    return Mix(rows, sources.drop("source"), blocks, _slots(docs, plans, block_words, seed))
+    begin = F.col("block") * words
+    blocks = spans.select("number", "block", "row", "key", "hash", F.greatest(F.col("a") - begin, F.lit(0)).alias("lo"), F.least(F.col("b") - begin, words).alias("hi"), F.greatest(begin - F.col("a"), F.lit(0)).alias("first"))
+    slots = _slots(docs, plans, block_words, seed)
+    texts = read.join(F.broadcast(sources), read["source"].eqNullSafe(sources["source"])).select("number", "id", "text")
+    return Mix(rows, sources.drop("source"), blocks, slots, _written(texts, blocks, slots, _shards(plans), seed))
+
+
+def _shards(plans: list[SourcePlan]) -> int:
+    return max(1, min(-(-sum(p.slots for p in plans) // SHARD_SLOTS), MAX_DRAWS // max(1, len(plans))))
+
+
+def _written(texts: DataFrame, blocks: DataFrame, slots: DataFrame, shards: int, seed: int) -> DataFrame:
+    # Both sides grow with the input; the planner would take the draws for as small as the table they unfold from.
+    drawn = blocks.join(slots.hint("merge"), ["number", "block"]).where("lo < words")
+    take = F.struct("row", "shard", "slot", "lo", "first", (F.least("hi", "words") - F.col("lo")).alias("n"))
+    takes = drawn.groupBy("number", "hash", "key").agg(F.collect_list(take).alias("takes"))
+    keyed = texts.withColumn("key", F.xxhash64("text")).withColumn("hash", F.xxhash64("id", "key"))
+    each = keyed.groupBy("number", "hash", "key").agg(F.first("text").alias("text"))  # repeated rows have one text
+    both = each.join(takes.hint("merge"), ["number", "hash", "key"]).select("number", "text", "takes")
+    names = ["shard", "number", "slot", "lo", "row", "words", "text"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for batch in batches:
+            for number, text, takes in zip(*batch.columns):
+                number, words = number.as_py(), _spaced.findall(text.as_py())
+                for t in takes.as_py():
+                    out.append((t["shard"], number, t["slot"], t["lo"], t["row"], t["n"], "".join(words[t["first"] : t["first"] + t["n"]])))
+                    if len(out) == CUT_ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                        out.clear()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    pieces = both.mapInArrow(cut, "shard long, number int, slot long, lo long, row long, words long, text string")
+    dealt = pieces.repartition(min(MAX_TASKS, 2 * shards), "shard").groupBy("shard", "number", "slot")
+    whole = dealt.agg(F.sum("words").alias("words"), F.sort_array(F.collect_list(F.struct("lo", "row", "words", "text"))).alias("pieces"))
+    whole = whole.withColumn("pieces", F.expr("transform(pieces, p -> struct(p.row as row, p.words as words, p.text as text))"))
+    whole = whole.select("number", "slot", "words", "pieces", "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "number", "slot"), "number", "slot")
+    path = common.shared_dir(texts.sparkSession, "mix-shards")
+    whole.write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    return texts.sparkSession.read.schema(whole.schema).parquet(path)
 
 
 def _slots(docs: DataFrame, plans: list[SourcePlan], block_words: int, seed: int) -> DataFrame:
     left = np.array([p.slots for p in plans], np.int64)
-    shards = max(1, min(-(-int(left.sum()) // SHARD_SLOTS), MAX_DRAWS // max(1, len(plans))))
+    shards = _shards(plans)
     edges = np.linspace(0, int(left.sum()), shards + 1).astype(np.int64)
     chance, drawn, first = np.random.default_rng(seed), [], np.zeros(len(plans), np.int64)
     for shard in range(shards):
@@ -181,12 +234,11 @@ def _slots(docs: DataFrame, plans: list[SourcePlan], block_words: int, seed: int
 
 
 def taken_words(mixed: Mix, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: id, size, source_size, target (of its source) and taken, the words that the mix takes of it."""
-    whole = F.col("words") >= block_words
-    draws = mixed.slots.groupBy("number", "block").agg(F.sum(F.when(whole, 1).otherwise(0)).alias("times"), F.max(F.when(~whole, F.col("words")).otherwise(0)).alias("part"))
-    # Both sides grow with the input; the planner would take the draws for as small as the table they unfold from.
-    parts = mixed.blocks.join(draws.hint("merge"), ["number", "block"])
-    took = F.col("times") * (F.col("hi") - F.col("lo")) + F.greatest(F.lit(0), F.least(F.col("hi"), F.col("part")) - F.col("lo"))
-    sums = parts.groupBy("row").agg(F.sum(took).alias("taken"))
+    """Per document: id, size, source_size, target (of its source) and taken, the words of it in the shards as written.
+
+    Any ``block_words`` gives the same: the pieces are counted.
+    """
+    pieces = mixed.shards.select(F.explode("pieces").alias("p"))
+    sums = pieces.groupBy(F.col("p.row").alias("row")).agg(F.sum(F.expr(f"regexp_count(p.text, '{WORD}')")).alias("taken"))
     found = mixed.docs.join(sums, "row", "left")
     return found.select("id", F.col("source").alias("source"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

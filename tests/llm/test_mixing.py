@@ -47,3 +47,32 @@ def test_permutation_is_one_to_one_and_inverts():
         p = mixing.permuted(np.arange(n), n, passes, 5, 1)
         assert sorted(p) == list(range(n))
         assert (mixing.permuted(p, n, passes, 5, 1, inverse=True) == np.arange(n)).all()
+
+
+@pytest.mark.parametrize("block_words", [3, 64])
+def test_shards_hold_the_drawn_words(spark, odd, block_words):
+    for docs in (spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60), odd):
+        mixed = mixing.mix(docs, block_words=block_words)
+        spaced = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+        of_id, got, ids = defaultdict(list), defaultdict(list), {r["row"]: r["id"] for r in mixed.docs.collect()}
+        for r in docs.collect():
+            of_id[r["doc_id"]].append(r["text"] or "")
+        drawn = {(r["shard"], r["number"], r["slot"]): (r["words"], r["block"]) for r in mixed.slots.collect()}
+        stored = mixed.shards.collect()
+        assert len(stored) == len(drawn) == len({(r["number"], r["slot"]) for r in stored})
+        n_blocks = dict(mixed.blocks.selectExpr("number", "block + 1 as n").groupBy("number").max("n").collect())
+        for r in stored:
+            words, block = drawn[r["shard"], r["number"], r["slot"]]
+            last = block == n_blocks[r["number"]] - 1
+            assert sum(p["words"] for p in r["pieces"]) == r["words"] and (r["words"] == words or (last and r["words"] < words))
+            for p in r["pieces"]:
+                assert len(spaced.findall(p["text"])) == p["words"] > 0
+                assert any(p["text"] in t for t in of_id[ids[p["row"]]])
+                if r["slot"] < n_blocks[r["number"]]:  # the first pass over the source
+                    got[r["number"], p["row"]].append((block, p["text"]))
+        full = {r["number"] for r in mixed.slots.selectExpr("number", "slot").groupBy("number").count().collect() if r["count"] >= n_blocks[r["number"]] + 1}
+        assert full
+        for (number, row), parts in got.items():
+            if number in full:  # one whole pass gives every document back, word by word and space by space
+                assert "".join(t for _, t in sorted(parts, key=lambda p: p[0])) in {"".join(spaced.findall(t)) for t in of_id[ids[row]]}
+        assert {(r["id"], r["taken"]) for r in mixing.taken_words(mixed).collect()} >= {(ids[row], sum(p["words"] for r in stored for p in r["pieces"] if p["row"] == row)) for row in list(ids)[:9]}
