@@ -36,6 +36,14 @@ def ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.where("p_size % 3 = 0").crossJoin(F.broadcast(n)).select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7 + 3) % F.col("n")).alias("dst"))
 
 
+def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts as a graph with cycles: part p calls part (7 p + 3) mod N and part p div 2."""
+    part = read(spark, sf_dir, "part")
+    n = part.agg((F.max("p_partkey") + 1).alias("n"))
+    called = F.array((F.col("p_partkey") * 7 + 3) % F.col("n"), F.expr("p_partkey div 2"))
+    return part.crossJoin(F.broadcast(n)).select(F.col("p_partkey").alias("src"), F.explode(called).alias("dst"))
+
+
 HEAP = "heap AS (SELECT (o_orderkey - 10) // 5 AS src, o_orderkey AS dst, o_orderstatus, o_orderpriority, o_custkey FROM orders WHERE o_orderkey >= 10 AND o_orderstatus <> 'P')"
 RING = "ring AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % (SELECT max(p_partkey) + 1 FROM part) AS dst FROM part WHERE p_size % 3 = 0)"
 SEEDS = "SELECT o_orderkey AS node FROM orders WHERE o_totalprice > 400000"
@@ -104,6 +112,12 @@ def bidirectional_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.both_ways(ring(spark, sf_dir), chosen)
 
 
+@on.query()
+def bidirectional_closure_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = read(spark, sf_dir, "part").where("p_size = 50").select(F.col("p_partkey").alias("node"))
+    return graph.both_ways(cycles(spark, sf_dir), chosen)
+
+
 @on.query(f"WITH RECURSIVE {HEAP}, r AS ({RISKY} UNION SELECT dst FROM r JOIN heap ON src = node) SELECT node FROM r")
 def event_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nodes that an event's entries run."""
@@ -124,6 +138,11 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(ring(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
+@on.query()
+def connected_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.components(cycles(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
 # Traces: calls in heap order, and from orders of low priority a call back to their caller.
 STEPS = """steps AS (SELECT src, dst, dst AS ord, CASE WHEN o_orderpriority = '1-URGENT' THEN 'urgent' END AS job_if, CASE WHEN o_orderstatus = 'F' THEN 'final' END AS step_if FROM heap
  UNION ALL SELECT dst, src, -1, NULL, NULL FROM heap WHERE o_orderpriority = '5-LOW' AND o_orderstatus = 'F')"""
