@@ -20,6 +20,7 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +30,7 @@ from flowloom.llm import common
 
 SALTS = 16
 MAX_GROUP = 4  # elements of a repeated group
+SPARED = "!"  # mark of an element that holds a whole page
 
 _token = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title|select|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
@@ -52,11 +54,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 DROPPED = frozenset("head nav footer aside form menu dialog button fieldset".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 DROPPED_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|adslot|adbox|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|foot|header|masthead|topbar"
+    r"ads?|advert\w*|adslot|adbox|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|foot|header|masthead|topbar"
     r"|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|comments?|commentlist"
-    r"|replies|reply|disqus|respond|pagination|pager|skip|toolbar|widget|copyright|legal|disclaimer|tags|meta|byline)(?:$|[-_\s\d])",
+    r"|replies|reply|disqus|respond|pagination|pager|skip|toolbar|widget|copyright|legal|disclaimer|tags|meta|byline",
     re.I,
 )
+# What a name of such parts may hold besides.
+BESIDES = frozenset("site page main post posts entry article story content top bottom left right primary secondary global wrapper wrap container inner outer area box bar block section list links buttons form link to by".split())
+WHOLE = frozenset("html body main article".split())  # elements that no name drops
+ENCLOSING = frozenset("form fieldset".split())  # elements that may hold a whole page
 MAIN_NAMES = re.compile(r"(?:^|[-_\s])(?:article|post|entry|story|content|main|maincontent|body-text|prose|text)(?:$|[-_\s])", re.I)
 
 
@@ -144,6 +150,7 @@ def parse(page: str | None) -> Node:
         elif raw:
             parts.append(" ")
     flush()
+    _spare(root)
     return root
 
 
@@ -218,10 +225,46 @@ def wrapper_of(page: Node) -> Node:
     return node
 
 
+@lru_cache(100_000)
+def _named_dropped(token: str) -> bool:
+    """If a class or id as a whole says that it isn't main text: all its parts do, or may stand beside one that does."""
+    parts = [p for p in re.split(r"[-_\d]+", token) if p]
+    return any(DROPPED_NAMES.fullmatch(p) for p in parts) and all(p in BESIDES or DROPPED_NAMES.fullmatch(p) for p in parts)
+
+
+@lru_cache(100_000)
 def _dropped(label: str) -> bool:
     name, _, marks = label.partition(".")
     parts = marks.split(".") if marks else []
-    return name in DROPPED or any(p[1:] in DROPPED_ROLES if p.startswith("@") else bool(DROPPED_NAMES.search(p)) for p in parts)
+    if any(p[1:] in DROPPED_ROLES for p in parts if p.startswith("@")):
+        return True
+    if parts and parts[-1] == SPARED:
+        return False
+    return name in DROPPED or (name not in WHOLE and any(_named_dropped(t) for p in parts if not p.startswith("@") for t in p.split()))
+
+
+def _spare(root: Node) -> None:
+    """Mark elements that hold nearly all of a page's text outside links, so that neither a name nor an enclosing form drops them."""
+
+    def kept(node: Node) -> int:
+        if node.label == "#":
+            return node.chars - node.links
+        return 0 if _dropped(node.label) else sum(map(kept, node.items))
+
+    node, outside, half = root, 0, (root.full() - root.linked()) / 2
+    while True:
+        item = next((i for i in node.items if i.label != "#" and i.full() - i.linked() > half), None)
+        if item is None:
+            return
+        outside += sum(kept(i) for i in node.items if i is not item)
+        if _dropped(item.label):
+            name = item.label.partition(".")[0]
+            if (name in DROPPED and name not in ENCLOSING) or 10 * outside >= item.full() - item.linked():
+                return
+            item.label += f".{SPARED}"
+            if _dropped(item.label):  # by a role
+                return
+        node = item
 
 
 def choose(wrapper: Node) -> None:

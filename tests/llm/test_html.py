@@ -91,3 +91,22 @@ def test_patterns_show_options_and_repeats(spark):
     rows = [(1, "http://h.x/1", "<body><h1>a</h1><p>b<p>c<ul><li>1<li>2</ul></body>"), (2, "http://h.x/2", "<body><h1>z</h1><div class=note>n</div><p>b</body>")]
     pattern = html.infer_wrappers(spark.createDataFrame(rows, "page_id long, url string, html string")).first()["pattern"]
     assert pattern in ("root(body(h1(#) div.note(#)? p(#)+ ul(li(#)+)?))",)
+
+
+@pytest.mark.parametrize(
+    "opening, closing",
+    [
+        ("<body class='page right-sidebar'><main>", "</main></body>"),
+        ("<body><main class='has-sidebar'>", "</main></body>"),
+        ("<body><article class='post tags-news'>", "</article></body>"),
+        ("<body><div id=page class='site login'><div>", "</div></div></body>"),
+        ("<body><form id=aspnet><div class=login><article>", "</article></div></form></body>"),
+        ("<body><div class='has-sidebar'><div class=content>", "</div></div></body>"),
+    ],
+)
+def test_names_and_forms_around_a_page_drop_nothing_of_it(spark, opening, closing):
+    chance = random.Random(7)
+    paras = [[say(chance) for _ in range(3)] for _ in range(5)]
+    rows = [(k, f"http://w.example/{k}", f"<html>{opening}{''.join(f'<p>{p}</p>' for p in ps)}<div class=sidebar>{say(chance, 5)}</div><div class=site-footer>{say(chance, 5)}</div>{closing}</html>") for k, ps in enumerate(paras)]
+    got = {r["page_id"]: r["text"] for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: "\n".join(ps) for k, ps in enumerate(paras)}
