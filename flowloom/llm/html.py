@@ -7,8 +7,9 @@ is inferred step by step: inside a page, neighbouring runs of equal elements fol
 repeated group; two pages, or two wrappers, are aligned element by element along their
 longest common subsequence, and what only one side has becomes optional. Slots gather
 how much text they hold, how much of it in links, and whether it ever differs. On the
-finished wrapper the elements that hold the main text are chosen, once for each host;
-each page then is matched against the wrapper and its text is read from those elements.
+finished wrapper the elements that hold the main text are chosen, on levels from articles
+down to the heaviest element; each page then is matched against the wrapper and its text is
+read from the elements of the first level that it has, as a host may have pages of several layouts.
 
 Inference is associative, so it runs as partial wrappers in each task, then over salted
 groups, then over hosts; a host of very many pages is spread like any other.
@@ -30,6 +31,7 @@ from flowloom.llm import common
 
 SALTS = 16
 MAX_GROUP = 4  # elements of a repeated group
+LEVELS = 4  # of main elements
 SPARED = "!"  # mark of an element that holds a whole page
 
 _token = re.compile(
@@ -268,56 +270,61 @@ def _spare(root: Node) -> None:
 
 
 def choose(wrapper: Node) -> None:
-    """Mark the slots of main text (``pages`` becomes 1 for them, 0 for others).
+    """Mark the slots and elements of main text: ``pages`` becomes the sum of their levels' bits, 0 for others.
 
-    The main element is an article or main element, or one named like it, outside
-    everything that is dropped; without any, the smallest element that holds most of the
-    text outside links that isn't the same on all pages.
+    Level by level, a page's main element is an article inside a main element, an article
+    or main element, or one named like it, outside everything that is dropped; without any,
+    the smallest element that holds most of the text outside links that isn't the same on
+    all pages. The first level has the lowest bit.
     """
-    regions: list[Node] = []
 
-    def find(node: Node, strong: bool) -> None:
+    def find(node: Node, strong: bool) -> list[Node]:
+        found: list[Node] = []
         for item in node.items:
             if item.label == "#" or _dropped(item.label):
                 continue
             name, _, marks = item.label.partition(".")
             named = name in ("article", "main") or "@main" in marks.split(".") or "@article" in marks.split(".")
             if named if strong else any(MAIN_NAMES.search(p) for p in marks.split(".") if p):
-                regions.append(item)
+                found.append(item)
             else:
-                find(item, strong)
+                found += find(item, strong)
+        return found
 
     def weight(node: Node) -> float:
         if node.label == "#":
             return 0.0 if node.text is not None and node.pages >= 3 else node.chars - 2.0 * node.links
-        return 0.0 if _dropped(node.label) or node.label.startswith("header") else sum(weight(i) for i in node.items)
+        return 0.0 if id(node) in taken or _dropped(node.label) or node.label.startswith("header") else sum(weight(i) for i in node.items)
 
-    def mark(node: Node, inside: bool, headed: bool) -> None:
+    def mark(node: Node, bit: int, headed: bool) -> None:
         for item in node.items:
             header = item.label.partition(".")[0] == "header"
-            keep = inside and (headed if header else item.label == "#" or not _dropped(item.label))
-            item.pages = int(keep)
-            mark(item, keep, headed)
-
-    find(wrapper, True)
-    if not regions or not any(weight(r) > 0 for r in regions):
-        regions.clear()
-        find(wrapper, False)
-    if regions:
-        inner = [i for r in regions for i in _articles(r)]
-        regions = inner or regions
-    else:
-        node = wrapper
-        while True:
-            best = max((i for i in node.items if i.label.partition(".")[0] in CONTAINERS), key=weight, default=None)
-            if best is None or weight(best) < 0.6 * max(weight(node), 1.0):
-                break
-            node = best
-        regions = [node]
-    mark(wrapper, False, False)
-    for region in regions:
-        region.pages = 1
-        mark(region, True, region.label.partition(".")[0] in ("article", "main"))  # their headers hold the title
+            if headed if header else item.label == "#" or not _dropped(item.label):
+                item.pages |= bit
+                mark(item, bit, headed)
+
+    def clear(node: Node) -> None:
+        node.pages = 0
+        for item in node.items:
+            clear(item)
+
+    taken: set[int] = set()
+    strong = find(wrapper, True)
+    if not any(weight(r) > 0 for r in strong):
+        strong = []
+    levels = [[i for r in strong for i in _articles(r)], strong, find(wrapper, False)]
+    taken |= {id(r) for regions in levels for r in regions}  # pages of the last level have none of these
+    node = wrapper
+    while True:
+        best = max((i for i in node.items if i.label.partition(".")[0] in CONTAINERS), key=weight, default=None)
+        if best is None or weight(best) < 0.6 * max(weight(node), 1.0):
+            break
+        node = best
+    clear(wrapper)
+    for level, regions in enumerate([*levels, [node]]):
+        for region in regions:
+            region.pages |= 1 << level
+            mark(region, 1 << level, region.label.partition(".")[0] in ("article", "main"))  # their headers hold the title
 
 
 def _articles(node: Node) -> list[Node]:
@@ -328,10 +335,15 @@ def _articles(node: Node) -> list[Node]:
 
 
 def read(page: Node, wrapper: Node) -> list[str]:
-    """The blocks of a page's main text: its elements are matched in order against a wrapper that ``choose`` marked."""
-    out: list[str] = []
+    """The blocks of a page's main text: its elements are matched in order against a wrapper that ``choose`` marked.
+
+    Of the levels whose elements the page has, the first one counts; the last one every page has.
+    """
+    out: list[tuple[int, str]] = []
+    met = 1 << LEVELS - 1
 
     def walk(items: list[Node], against: list[Node]) -> None:
+        nonlocal met
         flat = [g for w in against for g in (w.items if w.label == "()" else [w])]
         at = 0
         for item in items:
@@ -343,12 +355,13 @@ def read(page: Node, wrapper: Node) -> list[str]:
             at = k
             if item.label == "#":
                 if flat[k].pages:
-                    out.append(item.text)
+                    out.append((flat[k].pages, item.text))
             else:
+                met |= flat[k].pages
                 walk(item.items, flat[k].items)
 
     walk(page.items, wrapper.items)
-    return out
+    return [text for pages, text in out if pages & met & -met]
 
 
 def _packed(node: Node) -> str:

@@ -110,3 +110,16 @@ def test_names_and_forms_around_a_page_drop_nothing_of_it(spark, opening, closin
     rows = [(k, f"http://w.example/{k}", f"<html>{opening}{''.join(f'<p>{p}</p>' for p in ps)}<div class=sidebar>{say(chance, 5)}</div><div class=site-footer>{say(chance, 5)}</div>{closing}</html>") for k, ps in enumerate(paras)]
     got = {r["page_id"]: r["text"] for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {k: "\n".join(ps) for k, ps in enumerate(paras)}
+
+
+def test_layouts_of_one_host_and_pages_without_a_host(spark):
+    chance, rows, want = random.Random(11), [], {}
+    layouts = ["<main><article>{}</article></main>", "<main><div>{}</div></main>", "<div class=post>{}</div>", "<div id=c1>{}</div>"]
+    for k in range(40):
+        paras = [say(chance, 40) for _ in range(3)]
+        page = f"<html><body><nav><a href=/>Home</a></nav>{layouts[k % 4].format(''.join(f'<p>{p}</p>' for p in paras))}<footer>foot {k}</footer></body></html>"
+        for at, url in ((k, f"http://mixed.example/{k}"), (100 + k, "no url")):
+            rows.append((at, url, page))
+            want[at] = "\n".join(paras)
+    got = html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want
