@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from flowloom.llm import jaccard
@@ -73,6 +74,45 @@ def test_hot_groups_and_chains(spark, seed, monkeypatch):
     assert answer(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)) == brute(docs)
 
 
+@pytest.mark.parametrize("hot, block, common", [(5, 3, 1_000_000), (20, 7, 50)])
+def test_dealt_lists(spark, monkeypatch, hot, block, common):
+    """Lists over several groups and blocks, and few known counts."""
+    for name, value in (("HOT", hot), ("BLOCK", block), ("MAX_COMMON", common)):
+        monkeypatch.setattr(jaccard, name, value)
+    chance = random.Random(hot)
+    shared = [f"s{k}" for k in range(40)]
+    docs = [(k, " ".join(shared[: chance.randint(25, 40)] + [f"t{chance.randint(0, 3)}" for _ in range(chance.randint(0, 9))])) for k in range(200)]
+    assert answer(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)) == brute(docs)
+
+
+def test_numbers_that_clash(spark, monkeypatch):
+    """Different sets of one number are told apart by the check."""
+    monkeypatch.setattr(jaccard.Join, "counted", lambda self: jaccard.Common(np.zeros(0, np.uint32), np.zeros(0, np.float32), 1.0, frozenset([number])))
+    texts = ["a b c d e f g h", "a b c d e f g h", "k l m n o p q r"]
+    number, check = jaccard.class_of(jaccard.shingle_sets(texts[:1])[0])
+    assert jaccard.class_of(jaccard.shingle_sets(texts[:1])[0], frozenset([number])) == (check, number)
+    docs = list(enumerate(texts))
+    assert answer(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
+
+
+def test_clashes_are_found(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "class_of", lambda tokens, clashes=frozenset(): (7, int(tokens[0] >> np.uint64(2))))
+    docs = spark.createDataFrame([(1, 1, "a b c d e f"), (2, 2, "x y z u v w")], "id long, key long, text string")
+    assert jaccard.Join(docs.coalesce(1), 5, 80).common.value.clashes == {7}
+    assert jaccard.Join(docs.repartition(2, "id"), 5, 80).common.value.clashes == {7}
+
+
+@pytest.mark.parametrize("n", [1, 900, 5_000, 70_000])
+def test_stored_sets(n):
+    chance = np.random.default_rng(n)
+    x = np.unique(chance.integers(0, 2**64, n, np.uint64))
+    y = np.unique(np.concatenate([x[: n * 9 // 10], chance.integers(0, 2**64, n // 7, np.uint64)]))
+    assert jaccard.shared_tokens(jaccard.set_bytes(x), len(x), jaccard.set_bytes(y), len(y)) == n * 9 // 10
+    differ = len(np.setxor1d(x, y))
+    assert jaccard.differ_at_least(jaccard.long_sketch(x), jaccard.long_sketch(y)) <= differ
+    assert (jaccard.width_of(1_024), jaccard.width_of(1_025), jaccard.width_of(1 << 22)) == (5, 6, 8)
+
+
 def test_one_of_each(odd):
     kept = jaccard.one_of_each(odd)
     assert kept.columns == odd.columns
