@@ -1,19 +1,19 @@
 """Mixing sources to target weights.
 
 Each source's texts form a stream of words that is packed into blocks of fixed length.
-The mix is a row of output shards of as many slots; how many slots of a shard go to each
-source is drawn from a multinomial distribution. The draws are conditioned on the
-sources' totals (shard after shard without replacement), as free draws miss the target
-of a small source by a good part of it. A source's slots are numbered through all
-shards, and slot numbers go through a pseudorandom permutation of the source's block
-indexes, one permutation for each pass over the source. Blocks then are joined by index:
-first without their words, which gives each document the list of what is taken of it; each
-text then is cut once, and its pieces are dealt to the shards and written there.
+The mix is a row of output shards. How a source's slots fall to the shards is drawn from a
+multinomial distribution, given how many slots the source has in all: free draws miss the
+target of a small source by a good part of it. The draws split a range of shards in two,
+again and again, each split by a generator of its own, so any task can draw its shards. A
+source's slots are numbered through all shards, and slot numbers go through a pseudorandom
+permutation of the source's block indexes, one permutation for each pass over the source.
+Blocks then are joined by index: texts and drawn slots meet by parts of the source's stream,
+each part's blocks are joined with its slots by their index, each text is cut once, and the
+pieces are dealt to the shards and written there. Texts and pieces travel in compressed packs.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -26,36 +26,39 @@ from pyspark.sql import functions as F
 from flowloom.llm import common
 
 BLOCK_WORDS = 64
-SHARD_SLOTS = 1 << 16
-MAX_DRAWS = 2_000_000  # shards times sources
-MAX_SOURCES = 100_000
+SHARD_SLOTS = 1 << 16  # on average
+DRAWN_SLOTS = 1 << 20  # of a source that a task draws at once
 BUCKET_DOCS = 1_000
-MAX_TASKS = 20_000  # that write shards
-CUT_ROWS = 20_000  # pieces that a task hands on at once
+BUCKETS = 1_000  # of a source that are summed first
+PART_WORDS = 6_000_000  # of the texts that a task cuts at once
+PACK_BYTES = 32 << 20
+NEAR = 4_096  # blocks that look up their part together
 WORD = "[^\\\\x20\\\\x09-\\\\x0D]+"
 
-_spaced = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")  # a word and the space after it
 
+def targets_of(sources: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """``sources`` (size, weight, ...) with a target by weight; all sum to ``share`` of all sizes, none is over ``cap`` times its size.
 
-def targets_of(sizes: list[int], weights: list[float], share: float = 1.5, cap: float = 2.0) -> list[float]:
-    """Targets by weight that sum to ``share`` of all sizes; none is over ``cap`` times its source's size.
-
-    What a cap cuts off is shared anew, by weight, among the sources below theirs.
+    What a cap cuts off is shared anew, by weight, among the sources below theirs: a
+    source is capped if its size by weight is under a level, which rises until it holds.
     """
-    limits = [cap * s for s in sizes]
-    rest, targets, open_ = share * sum(sizes), [0.0] * len(sizes), [k for k in range(len(sizes)) if sizes[k]]
-    while open_:
-        whole = sum(weights[k] for k in open_)
-        over = [k for k in open_ if rest * weights[k] / whole >= limits[k]]
-        if not over:
-            for k in open_:
-                targets[k] = rest * weights[k] / whole
-            break
-        for k in over:
-            targets[k] = limits[k]
-        rest -= sum(limits[k] for k in over)
-        open_ = [k for k in open_ if k not in set(over)]
-    return targets
+    per, level, open_ = F.col("size") / F.col("weight"), 0.0, -1
+    total = sources.agg(F.sum("size")).first()[0] or 0
+    while True:
+        over = per > level
+        n, whole, limits = sources.agg(F.count(F.when(over, 1)), F.sum(F.when(over, F.col("weight"))), F.sum(F.when(~over, cap * F.col("size")))).first()
+        rest = share * total - (limits or 0.0)
+        if n in (0, open_):
+            return sources.withColumn("target", F.when(over, F.lit(rest) * F.col("weight") / F.lit(whole or 1.0)).otherwise(cap * F.col("size")).cast("double"))
+        level, open_ = rest / (cap * whole), n
+
+
+def _packed(data) -> bytes:
+    return pa.Codec("zstd", compression_level=5).compress(np.ascontiguousarray(data) if isinstance(data, np.ndarray) else data, asbytes=True)
+
+
+def _unpacked(data: bytes, size: int) -> pa.Buffer:
+    return pa.decompress(data, size, codec="zstd")
 
 
 def _keys(seed: int, source: int, passes: np.ndarray, rounds: int) -> list[np.ndarray]:
@@ -120,11 +123,10 @@ def plan_source(name: str | None, size: int, target: float, number: int, block_w
 
 
 class Mix(NamedTuple):
-    docs: DataFrame  # row, id, source, number, size: a stored row for each document
-    sources: DataFrame  # number, source_size, target
-    blocks: DataFrame  # number, block, row, key, hash, lo, hi, first: the place of a document's words inside a block, and the first one's in the document
+    docs: DataFrame  # id, source, number, size, source_size, target, start: where a document's words begin in its source's stream (null without words)
+    sources: DataFrame  # number, source, source_size, target, blocks, slots, last_words
     slots: DataFrame  # shard, number, slot, block, words: what the mix draws
-    shards: DataFrame  # number, slot, words, pieces (row, words, text), shard: the mix as written, a folder for each shard
+    shards: DataFrame  # number, slot, words, pieces (start of the document, words, text), shard: the mix as written, a folder for each shard
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, block_words: int = BLOCK_WORDS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
@@ -133,104 +135,208 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     Null and empty texts have size 0 and are never drawn; null is a source of its own;
     repeated rows are documents of their own; an empty table gives an empty mix. The
     order inside a source is by hash bucket, id and text hash, whatever the partitions
-    are, so reruns agree. The driver holds one row for each source (at most MAX_SOURCES)
-    and the drawn counts of the shards (at most MAX_DRAWS). ``docs`` is read twice.
+    are, so reruns agree. Sources, draws and texts all stay on the executors. ``docs`` is read twice.
 
     The shards are Parquet in the shared folder. A row is a slot, in an order that is
     drawn for the shard; its pieces are parts of documents with the space between their words.
     """
-    spark = docs.sparkSession
     size = F.expr(f"cast(regexp_count(text, '{WORD}') as bigint)")
     read = docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), common.text_of(text_col).alias("text"))
     rows = read.select("id", "source", size.alias("size"), F.xxhash64("text").alias("key"))
     rows = common.stored(rows.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
-    found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    targets = targets_of([r["size"] for r in found], [weights[k % len(weights)] for k in range(len(found))], share, cap)
-    plans = [plan_source(r["source"], r["size"], t, k, block_words, seed) for k, (r, t) in enumerate(zip(found, targets))]
-    sources = spark.createDataFrame([(k, p.name, p.size, float(p.target)) for k, p in enumerate(plans)], "number int, source string, source_size long, target double")
-    rows = rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-
-    # Where each document begins in its source's stream: sums inside hash buckets, then over the buckets.
-    buckets = max(1, sum(r["n"] for r in found) // BUCKET_DOCS)
-    dealt = rows.where("size > 0").withColumn("bucket", F.pmod(F.xxhash64("id", "key"), F.lit(buckets)))
-    inside = Window.partitionBy("number", "bucket").orderBy("id", "key", "row").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy("number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = dealt.groupBy("number", "bucket").agg(F.sum("size").alias("total"))
-    bases = bases.select("number", "bucket", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    placed = dealt.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases, ["number", "bucket"])
-    start, words = F.col("start") + F.col("base"), F.lit(block_words)
-    spans = placed.select("number", "row", "key", F.xxhash64("id", "key").alias("hash"), start.alias("a"), (start + F.col("size")).alias("b"))
-    spans = spans.select("*", F.explode(F.expr(f"sequence(a div {block_words}, (b - 1) div {block_words})")).alias("block"))
-    begin = F.col("block") * words
-    blocks = spans.select("number", "block", "row", "key", "hash", F.greatest(F.col("a") - begin, F.lit(0)).alias("lo"), F.least(F.col("b") - begin, words).alias("hi"), F.greatest(begin - F.col("a"), F.lit(0)).alias("first"))
-    slots = _slots(docs, plans, block_words, seed)
-    texts = read.join(F.broadcast(sources), read["source"].eqNullSafe(sources["source"])).select("number", "id", "text")
-    return Mix(rows, sources.drop("source"), blocks, slots, _written(texts, blocks, slots, _shards(plans), seed))
-
-
-def _shards(plans: list[SourcePlan]) -> int:
-    return max(1, min(-(-sum(p.slots for p in plans) // SHARD_SLOTS), MAX_DRAWS // max(1, len(plans))))
-
-
-def _written(texts: DataFrame, blocks: DataFrame, slots: DataFrame, shards: int, seed: int) -> DataFrame:
-    # Both sides grow with the input; the planner would take the draws for as small as the table they unfold from.
-    drawn = blocks.join(slots.hint("merge"), ["number", "block"]).where("lo < words")
-    take = F.struct("row", "shard", "slot", "lo", "first", (F.least("hi", "words") - F.col("lo")).alias("n"))
-    takes = drawn.groupBy("number", "hash", "key").agg(F.collect_list(take).alias("takes"))
-    keyed = texts.withColumn("key", F.xxhash64("text")).withColumn("hash", F.xxhash64("id", "key"))
-    each = keyed.groupBy("number", "hash", "key").agg(F.first("text").alias("text"))  # repeated rows have one text
-    both = each.join(takes.hint("merge"), ["number", "hash", "key"]).select("number", "text", "takes")
-    names = ["shard", "number", "slot", "lo", "row", "words", "text"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for batch in batches:
-            for number, text, takes in zip(*batch.columns):
-                number, words = number.as_py(), _spaced.findall(text.as_py())
-                for t in takes.as_py():
-                    out.append((t["shard"], number, t["slot"], t["lo"], t["row"], t["n"], "".join(words[t["first"] : t["first"] + t["n"]])))
-                    if len(out) == CUT_ROWS:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
-                        out.clear()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
-
-    pieces = both.mapInArrow(cut, "shard long, number int, slot long, lo long, row long, words long, text string")
-    dealt = pieces.repartition(min(MAX_TASKS, 2 * shards), "shard").groupBy("shard", "number", "slot")
-    whole = dealt.agg(F.sum("words").alias("words"), F.sort_array(F.collect_list(F.struct("lo", "row", "words", "text"))).alias("pieces"))
-    whole = whole.withColumn("pieces", F.expr("transform(pieces, p -> struct(p.row as row, p.words as words, p.text as text))"))
-    whole = whole.select("number", "slot", "words", "pieces", "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "number", "slot"), "number", "slot")
-    path = common.shared_dir(texts.sparkSession, "mix-shards")
-    whole.write.partitionBy("shard").option("compression", "zstd").parquet(path)
-    return texts.sparkSession.read.schema(whole.schema).parquet(path)
+    sources = planned_sources(rows, weights, share, cap, block_words, seed)
+    total = sources.agg(F.sum("slots").alias("slots"), F.sum("source_size").alias("words"), F.sum("n").alias("n")).first()
+    # Documents of a source are dealt to hash buckets, and neighbouring buckets to parts of some PART_WORDS words.
+    buckets = max(1, (total["n"] or 0) // BUCKET_DOCS)
+    parts = F.expr(f"least({buckets}L, source_size div {PART_WORDS} + 1)").alias("parts")
+    named = sources.select("number", F.col("source").alias("name"), "source_size", "target", parts)
+    hash_ = F.xxhash64("id", "key")
+    bucket = F.pmod(F.col("hash"), F.lit(buckets)).alias("bucket")
+    part = F.expr(f"bucket * parts div {buckets}L").alias("part")
+    rows = rows.join(named, rows["source"].eqNullSafe(named["name"])).drop("name").withColumn("hash", hash_).select("*", bucket).select("*", part)
+
+    # Where each document begins in its source's stream: sums inside buckets, over buckets, over groups of buckets.
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda column, window: F.coalesce(F.sum(column).over(window), F.lit(0))
+    sums = rows.groupBy("number", "bucket", "part").agg(F.sum("size").alias("total")).withColumn("group", F.expr(f"bucket div {BUCKETS}"))
+    groups = sums.groupBy("number", "group").agg(F.sum("total").alias("all")).select("number", "group", upto("all", before("number").orderBy("group")).alias("low"))
+    bases = sums.withColumn("base", upto("total", before("number", "group").orderBy("bucket"))).join(groups, ["number", "group"])
+    bases = common.stored(bases.select("number", "bucket", "part", "total", (F.col("base") + F.col("low")).alias("base")), "bases")
+    inside = upto("size", before("number", "bucket").orderBy("hash", "key"))
+    placed = rows.withColumn("inside", inside).join(bases.select("number", "bucket", "base"), ["number", "bucket"])
+    placed = placed.select("id", "source", "number", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("inside") + F.col("base")).alias("start"))
+
+    slots = drawn_slots(sources, max(1, -(-(total["slots"] or 0) // SHARD_SLOTS)), total["slots"] or 0, block_words, seed)
+    spans = bases.groupBy("number", "part").agg(F.min("base").alias("base"), F.sum("total").alias("total")).where("total > 0")
+    keyed = read.withColumn("key", F.xxhash64("text")).withColumn("hash", hash_)
+    texts = keyed.join(named, keyed["source"].eqNullSafe(named["name"])).select("number", "parts", "hash", "key", "text", bucket).select("*", part)
+    return Mix(placed, sources, slots, _written(texts, spans, slots, block_words, seed))
+
+
+def planned_sources(rows: DataFrame, weights: tuple[float, ...], share: float, cap: float, block_words: int, seed: int) -> DataFrame:
+    """The sources by code point, null last, with their targets, blocks and slots, stored."""
+    order = F.col("source").asc_nulls_last()
+    found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).orderBy(order)
+    found = common.stored(found.withColumn("part", F.spark_partition_id()), "sources")
+    # Numbered inside the sorted parts; the parts, as many as shuffle partitions at most, are counted in one task.
+    parts = found.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    parts = parts.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("low"))
+    number = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1 + F.col("low")
+    numbered = found.join(parts, "part").withColumn("number", number)
+    turn = F.element_at(F.array(*map(F.lit, weights)), (F.col("number") % len(weights) + 1).cast("int"))
+    aimed = targets_of(common.stored(numbered.select("number", "source", "size", "n", turn.alias("weight")), "numbered-sources"), share, cap)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            plans = [plan_source(None, int(s), t, int(k), block_words, seed) for k, s, t in zip(frame["number"], frame["size"], frame["target"])]
+            yield frame.rename(columns={"size": "source_size"}).assign(**{c: np.array([getattr(p, c) for p in plans], np.int64) for c in ("blocks", "slots", "last_words")})
+
+    kinds = "number long, source string, source_size long, n long, target double, blocks long, slots long, last_words long"
+    return common.stored(aimed.select("number", "source", "size", "n", "target").mapInPandas(run, kinds), "planned-sources")
 
 
-def _slots(docs: DataFrame, plans: list[SourcePlan], block_words: int, seed: int) -> DataFrame:
-    left = np.array([p.slots for p in plans], np.int64)
-    shards = _shards(plans)
-    edges = np.linspace(0, int(left.sum()), shards + 1).astype(np.int64)
-    chance, drawn, first = np.random.default_rng(seed), [], np.zeros(len(plans), np.int64)
-    for shard in range(shards):
-        counts = chance.multivariate_hypergeometric(left, int(edges[shard + 1] - edges[shard])) if left.sum() else left
-        drawn += [(shard, int(k), int(first[k]), int(counts[k])) for k in np.flatnonzero(counts)]
-        left, first = left - counts, first + counts
-    table = docs.sparkSession.createDataFrame(pd.DataFrame(drawn, columns=["shard", "number", "first", "n"], dtype="int64"), "shard long, number long, first long, n long")
-    shapes = [(p.blocks, p.slots, p.last_words) for p in plans]
+def shard_counts(n: int, shards: int, low: int, high: int, seed: int, number: int) -> Iterator[tuple[int, int, int]]:
+    """Of n slots of a source, dealt to ``shards`` by a multinomial draw, those of the shards in [low, high): shard, first slot, count.
+
+    A draw splits a range of shards in two; any range is drawn alike by all who ask.
+    """
+    todo = [(0, shards, n, 0)]
+    while todo:
+        a, b, n, first = todo.pop()
+        if not n or b <= low or a >= high:
+            continue
+        if b - a == 1:
+            yield a, first, n
+            continue
+        middle = (a + b) // 2
+        left = int(np.random.default_rng([seed, number, a, b]).binomial(n, (middle - a) / (b - a)))
+        todo += [(middle, b, n - left, first + left), (a, middle, left, first)]
+
+
+def drawn_slots(sources: DataFrame, shards: int, total: int, block_words: int, seed: int) -> DataFrame:
+    """The slots of all shards: shard, number, slot, block (by the source's permutation), words."""
+    parts = F.expr(f"greatest(1L, least({shards}L, slots div {DRAWN_SLOTS} + 1))")
+    ranges = sources.where("slots > 0").withColumn("parts", parts).withColumn("range", F.explode(F.expr("sequence(0L, parts - 1)")))
+    ranges = ranges.select("number", "blocks", "slots", "last_words", F.expr(f"range * {shards} div parts").alias("low"), F.expr(f"(range + 1) * {shards} div parts").alias("high"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for shard, number, first, n in frame.itertuples(index=False):
-                blocks, slots, last = shapes[number]
-                slot = np.arange(first, first + n)
-                passes = slot // blocks
-                block = permuted(slot % blocks, blocks, passes, seed, number)
-                yield pd.DataFrame({"shard": shard, "number": np.int32(number), "slot": slot, "block": block, "words": np.where(slot == slots - 1, last, block_words)})
+            for number, blocks, slots, last, low, high in frame.itertuples(index=False):
+                for shard, first, n in shard_counts(slots, shards, low, high, seed, number):
+                    slot = np.arange(first, first + n)
+                    passes = slot // blocks
+                    block = permuted(slot % blocks, blocks, passes, seed, number)
+                    yield pd.DataFrame({"shard": shard, "number": number, "slot": slot, "block": block, "words": np.where(slot == slots - 1, last, block_words)})
+
+    tasks = int(min(20_000, total // DRAWN_SLOTS + 8))
+    return ranges.repartition(tasks, "number", "low").mapInPandas(run, "shard long, number long, slot long, block long, words long")
+
+
+def _written(texts: DataFrame, spans: DataFrame, slots: DataFrame, block_words: int, seed: int) -> DataFrame:
+    heads = ["number", "part", "bucket", "hash", "key"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts by source and part, a pack for each and PACK_BYTES."""
+        rows, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            rows.sort(key=lambda r: r[:2])
+            edges = [0, *(k for k in range(1, len(rows)) if rows[k][:2] != rows[k - 1][:2]), len(rows)]
+            out = []
+            for a, b in zip(edges, edges[1:]):
+                head = np.array([(*r[2:5], len(r[5])) for r in rows[a:b]], np.int64)
+                out.append((*rows[a][:2], b - a, _packed(head.T), int(head[:, 3].sum()), _packed(b"".join(r[5] for r in rows[a:b]))))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()))], ["number", "part", "n", "head", "size", "text"])
+
+        for batch in batches:
+            for *head, text in zip(*(batch.column(c).to_pylist() for c in heads), batch.column("text")):
+                rows.append((*head, text.as_py().encode("utf-8", "surrogatepass")))
+                size += len(rows[-1][-1])
+                if size >= PACK_BYTES:
+                    yield flush()
+                    rows, size = [], 0
+        if rows:
+            yield flush()
+
+    def cut(packs: pa.Table, drawn: pa.Table) -> pa.Table:
+        """A part's blocks, joined by index with the slots that draw them: the pieces of its texts, a pack for each shard."""
+        docs: list[tuple] = []
+        for row in packs.to_pylist() if drawn.num_rows else ():
+            head = np.frombuffer(_unpacked(row["head"], 32 * row["n"]), np.int64).reshape(4, -1)
+            text, ends = memoryview(_unpacked(row["text"], row["size"])), np.cumsum(head[3]).tolist()
+            docs += zip(*head[:3].tolist(), (text[a:b] for a, b in zip([0, *ends], ends)))
+        docs.sort(key=lambda d: d[:3])
+        starts = [word_starts(np.frombuffer(d[3], np.uint8)) for d in docs]
+        sizes = np.array([len(s) for s in starts], np.int64)
+        block, slot, shard, words = (drawn.column(c).to_numpy() for c in ("block", "slot", "shard", "words"))
+        order = np.lexsort((slot, block))
+        block, slot, shard, words = block[order], slot[order], shard[order], words[order]
+        end = np.cumsum(sizes) + (drawn.column("base")[0].as_py() if drawn.num_rows else 0)
+        begin = end - sizes
+        n_blocks = np.where(sizes > 0, (end - 1) // block_words - begin // block_words + 1, 0)
+        doc = np.repeat(np.arange(len(docs)), n_blocks)
+        at = begin[doc] // block_words + np.arange(len(doc)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
+        low, high = np.searchsorted(block, at), np.searchsorted(block, at, "right")
+        times = high - low
+        doc, at = np.repeat(doc, times), np.repeat(at, times)
+        draw = np.repeat(low, times) + np.arange(len(doc)) - np.repeat(np.cumsum(times) - times, times)
+        lo, hi = np.maximum(begin[doc] - at * block_words, 0), np.minimum(np.minimum(end[doc] - at * block_words, block_words), words[draw])
+        first = np.maximum(at * block_words - begin[doc], 0)
+        taken = hi > lo
+        doc, draw, lo, n, first = doc[taken], draw[taken], lo[taken], (hi - lo)[taken], first[taken]
+        pieces: list[bytes] = []
+        for d, a, b in zip(doc.tolist(), first.tolist(), (first + n).tolist()):
+            text, at_ = docs[d][3], starts[d]
+            pieces.append(bytes(text[at_[a] : at_[b] if b < len(at_) else len(text)]))
+        number = np.full(len(doc), packs.column("number")[0].as_py() if len(docs) else 0, np.int64)
+        shard, head = shard[draw], np.column_stack([number, slot[draw], lo, begin[doc], n, np.array([len(p) for p in pieces], np.int64)])
+        by_shard = np.argsort(shard, kind="stable")
+        shard, head = shard[by_shard], head[by_shard]
+        edges = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])).tolist() if len(shard) else []
+        spans = list(zip(edges, [*edges[1:], len(shard)]))
+        columns = {
+            "shard": pa.array([int(shard[a]) for a, _ in spans], pa.int64()),
+            "n": pa.array([b - a for a, b in spans], pa.int64()),
+            "head": pa.array([_packed(head[a:b].T) for a, b in spans], pa.binary()),
+            "size": pa.array([int(head[a:b, 5].sum()) for a, b in spans], pa.int64()),
+            "text": pa.array([_packed(b"".join(pieces[k] for k in by_shard[a:b])) for a, b in spans], pa.binary()),
+        }
+        return pa.table(columns)
+
+    def assembled(packs: pa.Table) -> pa.Table:
+        """A shard's slots in their drawn order, put together from all packs."""
+        heads = np.concatenate([np.frombuffer(_unpacked(h, 48 * n), np.int64).reshape(6, -1) for h, n in zip(packs.column("head").to_pylist(), packs.column("n").to_pylist())], axis=1)
+        data = b"".join(_unpacked(t, s) for t, s in zip(packs.column("text").to_pylist(), packs.column("size").to_pylist()))
+        ends = np.append(0, np.cumsum(heads[5]))
+        texts = pa.Array.from_buffers(pa.large_string(), heads.shape[1], [None, pa.py_buffer(ends), pa.py_buffer(data)])
+        number, slot, lo, start, n, _ = heads
+        drawn = _mixed(_mixed(number.astype(np.uint64) + np.uint64(seed)) + slot.astype(np.uint64))
+        order = np.lexsort((lo, slot, number, drawn))
+        number, slot, start, n = number[order], slot[order], start[order], n[order]
+        new = np.flatnonzero(np.append(True, (slot[1:] != slot[:-1]) | (number[1:] != number[:-1])))
+        inner = pa.StructArray.from_arrays([pa.array(start), pa.array(n), texts.take(pa.array(order)).cast(pa.string())], ["start", "words", "text"])
+        pieces = pa.ListArray.from_arrays(pa.array(np.append(new, len(n)).astype(np.int32)), inner)
+        shard = np.full(len(new), packs.column("shard")[0].as_py(), np.int64)
+        return pa.table({"number": number[new], "slot": slot[new], "words": np.add.reduceat(n, new), "pieces": pieces, "shard": shard})
+
+    # A slot's part: its block is among those of the part, at either end perhaps together with the next part.
+    ends = spans.select("number", "part", "base", F.expr(f"base div {block_words}").alias("low"), F.expr(f"(base + total - 1) div {block_words}").alias("high"))
+    ends = ends.withColumn("near", F.explode(F.expr(f"sequence(low div {NEAR}, high div {NEAR})")))
+    routed = slots.withColumn("near", F.expr(f"block div {NEAR}")).join(ends, ["number", "near"]).where("block between low and high")
+    routed = routed.select("number", "part", "base", "block", "slot", "shard", "words")
+    packs = texts.select(*heads, "text").mapInArrow(pack, "number long, part long, n long, head binary, size long, text binary")
+    pieces = packs.groupBy("number", "part").cogroup(routed.groupBy("number", "part")).applyInArrow(cut, "shard long, n long, head binary, size long, text binary")
+    shape = "number long, slot long, words long, pieces array<struct<start:bigint,words:bigint,text:string>>, shard long"
+    whole = pieces.groupBy("shard").applyInArrow(assembled, shape)
+    path = common.shared_dir(texts.sparkSession, "mix-shards")
+    whole.write.partitionBy("shard").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").option("parquet.page.size", str(4 << 20)).parquet(path)
+    return texts.sparkSession.read.schema(whole.schema).parquet(path)
+
 
-    return table.repartition(min(200, max(1, shards)), "shard").mapInPandas(run, "shard long, number int, slot long, block long, words long")
+def word_starts(text: np.ndarray) -> np.ndarray:
+    """Where the words of a text (UTF-8 bytes) begin."""
+    word = (text != 32) & ((text < 9) | (text > 13))
+    return np.flatnonzero(word & np.append(True, ~word[:-1])) if len(text) else np.zeros(0, np.int64)
 
 
 def taken_words(mixed: Mix, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -238,7 +344,7 @@ def taken_words(mixed: Mix, block_words: int = BLOCK_WORDS) -> DataFrame:
 
     Any ``block_words`` gives the same: the pieces are counted.
     """
-    pieces = mixed.shards.select(F.explode("pieces").alias("p"))
-    sums = pieces.groupBy(F.col("p.row").alias("row")).agg(F.sum(F.expr(f"regexp_count(p.text, '{WORD}')")).alias("taken"))
-    found = mixed.docs.join(sums, "row", "left")
-    return found.select("id", F.col("source").alias("source"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    pieces = mixed.shards.select("number", F.explode("pieces").alias("p"))
+    sums = pieces.groupBy("number", F.col("p.start").alias("start")).agg(F.sum(F.expr(f"regexp_count(p.text, '{WORD}')")).alias("taken"))
+    found = mixed.docs.join(sums, ["number", "start"], "left")
+    return found.select("id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

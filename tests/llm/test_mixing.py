@@ -36,9 +36,23 @@ def test_odd_rows(odd, empty):
     assert checked(empty) == []
 
 
-def test_targets_reshare_what_caps_cut_off():
-    assert mixing.targets_of([10, 100, 100], [3, 1, 2]) == [20.0, pytest.approx(295 / 3), pytest.approx(590 / 3)]
-    assert mixing.targets_of([], []) == []
+def test_targets_reshare_what_caps_cut_off(spark):
+    def targets(sizes, weights):
+        table = spark.createDataFrame([(k, s, float(w)) for k, (s, w) in enumerate(zip(sizes, weights))], "number long, size long, weight double")
+        return [r["target"] for r in mixing.targets_of(table).orderBy("number").collect()]
+
+    assert targets([10, 100, 100], [3, 1, 2]) == [20.0, pytest.approx(295 / 3), pytest.approx(590 / 3)]
+    assert targets([10, 30, 0, 1000], [3, 3, 2, 1]) == [20.0, 60.0, 0.0, pytest.approx(1480)]
+    assert targets([], []) == []
+
+
+def test_draws_agree_in_any_range_and_follow_the_multinomial():
+    whole = list(mixing.shard_counts(100_000, 37, 0, 37, 17, 3))
+    assert sum(n for *_, n in whole) == 100_000 and [s for s, *_ in whole] == list(range(37))
+    assert all(first == sum(n for *_, n in whole[:k]) for k, (_, first, _) in enumerate(whole))
+    assert whole[10:20] == list(mixing.shard_counts(100_000, 37, 10, 20, 17, 3))
+    expected = 100_000 / 37
+    assert sum((n - expected) ** 2 / expected for *_, n in whole) < 80  # chi-square with 36 degrees of freedom
 
 
 def test_permutation_is_one_to_one_and_inverts():
@@ -49,30 +63,33 @@ def test_permutation_is_one_to_one_and_inverts():
         assert (mixing.permuted(p, n, passes, 5, 1, inverse=True) == np.arange(n)).all()
 
 
-@pytest.mark.parametrize("block_words", [3, 64])
-def test_shards_hold_the_drawn_words(spark, odd, block_words):
+@pytest.mark.parametrize("block_words, part_words", [(3, 200), (64, 6_000_000)])
+def test_shards_hold_the_drawn_words(spark, odd, monkeypatch, block_words, part_words):
+    """Each slot holds the words of its block of the stream, in order and with their space, as a plain walk cuts them."""
+    monkeypatch.setattr(mixing, "PART_WORDS", part_words)
+    monkeypatch.setattr(mixing, "BUCKET_DOCS", 7)
+    spaced = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
     for docs in (spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60), odd):
         mixed = mixing.mix(docs, block_words=block_words)
-        spaced = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
-        of_id, got, ids = defaultdict(list), defaultdict(list), {r["row"]: r["id"] for r in mixed.docs.collect()}
+        texts = defaultdict(list)
         for r in docs.collect():
-            of_id[r["doc_id"]].append(r["text"] or "")
-        drawn = {(r["shard"], r["number"], r["slot"]): (r["words"], r["block"]) for r in mixed.slots.collect()}
-        stored = mixed.shards.collect()
-        assert len(stored) == len(drawn) == len({(r["number"], r["slot"]) for r in stored})
-        n_blocks = dict(mixed.blocks.selectExpr("number", "block + 1 as n").groupBy("number").max("n").collect())
-        for r in stored:
-            words, block = drawn[r["shard"], r["number"], r["slot"]]
-            last = block == n_blocks[r["number"]] - 1
-            assert sum(p["words"] for p in r["pieces"]) == r["words"] and (r["words"] == words or (last and r["words"] < words))
-            for p in r["pieces"]:
-                assert len(spaced.findall(p["text"])) == p["words"] > 0
-                assert any(p["text"] in t for t in of_id[ids[p["row"]]])
-                if r["slot"] < n_blocks[r["number"]]:  # the first pass over the source
-                    got[r["number"], p["row"]].append((block, p["text"]))
-        full = {r["number"] for r in mixed.slots.selectExpr("number", "slot").groupBy("number").count().collect() if r["count"] >= n_blocks[r["number"]] + 1}
-        assert full
-        for (number, row), parts in got.items():
-            if number in full:  # one whole pass gives every document back, word by word and space by space
-                assert "".join(t for _, t in sorted(parts, key=lambda p: p[0])) in {"".join(spaced.findall(t)) for t in of_id[ids[row]]}
-        assert {(r["id"], r["taken"]) for r in mixing.taken_words(mixed).collect()} >= {(ids[row], sum(p["words"] for r in stored for p in r["pieces"] if p["row"] == row)) for row in list(ids)[:9]}
+            texts[r["doc_id"]].append(spaced.findall(r["text"] or ""))
+        stream, rows = defaultdict(dict), mixed.docs.collect()
+        for r in rows:
+            if r["start"] is not None:
+                words = next(w for w in texts[r["id"]] if len(w) == r["size"])
+                for k, w in enumerate(words):
+                    assert r["start"] + k not in stream[r["number"]]
+                    stream[r["number"]][r["start"] + k] = w
+        slots = mixed.slots.collect()
+        stored = {(r["number"], r["slot"]): r for r in mixed.shards.collect()}
+        assert len(stored) == len(slots) == len({(r["number"], r["slot"]) for r in slots})
+        taken = defaultdict(int)
+        for s in slots:
+            got, at = stored[s["number"], s["slot"]], s["block"] * block_words
+            want = [stream[s["number"]][k] for k in range(at, min(at + s["words"], len(stream[s["number"]])))]
+            assert got["shard"] == s["shard"] and got["words"] == len(want)
+            assert "".join(p["text"] for p in got["pieces"]) == "".join(want)
+            for p in got["pieces"]:
+                taken[s["number"], p["start"]] += p["words"]
+        assert sorted(((r["id"], r["taken"]) for r in mixing.taken_words(mixed).collect()), key=str) == sorted(((r["id"], taken[r["number"], r["start"]]) for r in rows), key=str)
