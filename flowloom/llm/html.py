@@ -5,7 +5,10 @@ and text slots. The wrapper of a host is a union-free regular expression over su
 sequences of elements, where an element may be optional or repeated, and text slots. It
 is inferred step by step: inside a page, neighbouring runs of equal elements fold into a
 repeated group; two pages, or two wrappers, are aligned element by element along their
-longest common subsequence, and what only one side has becomes optional. Slots gather
+longest common subsequence (found between labels that each side has once, where the
+sequences are long), and what only one side has becomes optional. A level that would get
+more than MAX_ITEMS elements, as class names are made up for each page, is generalised: its
+elements then are told apart by tag alone. Slots gather
 how much text they hold, how much of it in links, and whether it ever differs. On the
 finished wrapper the elements that hold the main text are chosen, on levels from articles
 down to the heaviest element; each page then is matched against the wrapper and its text is
@@ -20,7 +23,9 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -31,15 +36,21 @@ from flowloom.llm import common
 
 SALTS = 16
 MAX_GROUP = 4  # elements of a repeated group
+MAX_ITEMS = 400  # elements of a level of a wrapper, before they are generalised
+MAX_CELLS = 100_000  # of the table of a longest common subsequence
+DEPTH = 200  # elements nested deeper lie side by side at this depth, as they do in browsers (at 512)
+ANY = ".*"  # ends the label of a generalised element
 LEVELS = 4  # of main elements
 SPARED = "!"  # mark of an element that holds a whole page
 
-_token = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title|select|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)",
-    re.S | re.I,
-)
-_marks = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_opening = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag. A quote only opens a value behind an equals sign; nothing is tried twice.
+_rest = re.compile(r"((?>[^>=\"']+|=\s*+(?>\"[^\"]*\"|'[^']*')|=|[\"'])*+)>")
+_attributes = re.compile(r"(?<![^\s\"'/>])([^\s\"'>/=]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]++))")
+# Elements whose inside is no text; those of the first kind run to the end if they aren't closed.
+UNREAD = frozenset("script style noscript textarea iframe title".split())
+SKIPPED = UNREAD | frozenset("template svg select object".split())
+_ends = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in SKIPPED}
 _digits = re.compile(r"\d+")
 _space = re.compile(r"\s+")
 
@@ -50,6 +61,8 @@ BLOCKS = frozenset(
 )
 ENDS_P = BLOCKS - {"html", "head", "body"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
+P_HOLDERS = frozenset("table td th div article section li".split())
+LIST_HOLDERS = frozenset("ul ol dl table".split())
 CONTAINERS = frozenset("html body div section center table tbody tr td details figure".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements, roles and name parts that are not main text.
@@ -98,10 +111,65 @@ class Node:
         return self.links + sum(i.linked() for i in self.items)
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """The tokens of a page, in one pass: ("text", "", text), ("open", name, attributes), ("close", name, "") and ("skip", name, "")."""
+    at, last, broken, unclosed = 0, page.rfind(">"), False, set()
+    while at < len(page):
+        lt = page.find("<", at)
+        if lt < 0 or (lt > last and not page.startswith("<!--", lt)):
+            yield "text", "", page[at:]
+            return
+        if lt > at:
+            yield "text", "", page[at:lt]
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 2)
+            if end < 0:
+                return
+            at = end + 3
+            continue
+        m = _opening.match(page, lt)
+        if m is None:
+            if page[lt + 1] in "!?/":
+                at = page.index(">", lt) + 1
+            else:
+                yield "text", "", "<"
+                at = lt + 1
+            continue
+        rest = None if broken else _rest.match(page, m.end())
+        if rest is None:  # the page ends inside a value: from here on, tags end at the next mark
+            broken, end = True, page.index(">", m.end())
+            attributes, at = page[m.end() : end], end + 1
+        else:
+            attributes, at = rest[1], rest.end()
+        name = m[2].lower()
+        if m[1]:
+            yield "close", name, ""
+        elif name in SKIPPED and name not in unclosed:
+            if end := _ends[name].search(page, at):
+                at = page.find(">", end.end()) + 1 or len(page)
+                yield "skip", name, ""
+            elif name in UNREAD:
+                return
+            else:
+                unclosed.add(name)
+        else:
+            yield "open", name, attributes
+
+
+def label_of(name: str, attributes: str) -> str:
+    """A tag with its class, id and role; numbers in class names don't matter."""
+    marks = []
+    for key, *values in _attributes.findall(attributes):
+        if (key := key.lower()) in ("class", "id", "role"):
+            value = entities.unescape("".join(values)).lower()
+            marks.append(f"@{value}" if key == "role" else _digits.sub("0", " ".join(value.split())))
+    return f"{name}.{'.'.join(marks)}" if marks else name
+
+
 def parse(page: str | None) -> Node:
     """The element tree of a page: block elements, and text slots with their whole text."""
     root = Node("root")
-    stack, parts, links, in_link = [("", root)], [], 0, 0
+    stack, places, parts, links, in_link = [("", root)], defaultdict(list), [], 0, 0
 
     def flush() -> None:
         nonlocal links
@@ -112,45 +180,43 @@ def parse(page: str | None) -> Node:
                 stack[-1][1].items.append(Node("#", text=text, chars=len(text), links=min(links, len(text))))
             links = 0
 
-    def close(names: set[str] | frozenset[str], until: frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                flush()
-                del stack[k:]
-                return
-            if stack[k][0] in until:
-                return
-
-    for m in _token.finditer(page or ""):
-        raw, closing, name, attributes, text = m.groups()
-        if text is not None:
-            parts.append(text)
-            links += len(text.strip()) if in_link else 0
-        elif name:
-            name = name.lower()
-            if name == "a":
-                in_link = 0 if closing else 1
-            elif name == "br":
-                parts.append(" ")
-            elif name in BLOCKS:
-                if closing:
-                    if any(n == name for n, _ in stack):
-                        close({name}, frozenset())
-                    continue
-                flush()
-                if name in ENDS_P:
-                    close({"p"}, frozenset({"table", "td", "th", "div", "article", "section", "li"}))
-                if name in CLOSED_BY:
-                    close(CLOSED_BY[name], frozenset({"ul", "ol", "dl", "table"}))
-                if name in ("body", "html") and any(n == name for n, _ in stack):
-                    continue
-                marks = ".".join(_digits.sub("0", " ".join((v or w or x or "").lower().split())) if k.lower() != "role" else "@" + (v or w or x or "").lower() for k, v, w, x in _marks.findall(attributes or ""))
-                node = Node(f"{name}.{marks}" if marks else name)
-                stack[-1][1].items.append(node)
-                if name not in VOID:
-                    stack.append((name, node))
-        elif raw:
+    def close(names: Iterable[str], until: Iterable[str] = ()) -> None:
+        """Close the last open element of the names, unless one of ``until`` is open inside it."""
+        inner = max((places[n][-1] for n in names if places[n]), default=0)
+        if inner and inner > max((places[n][-1] for n in until if places[n]), default=0):
+            flush()
+            for name, _ in stack[inner:]:
+                places[name].pop()
+            del stack[inner:]
+
+    for kind, name, more in tokens(page or ""):
+        if kind == "text":
+            parts.append(more)
+            links += len(more.strip()) if in_link else 0
+        elif kind == "skip":
+            parts.append(" ")
+        elif name == "a":
+            in_link = int(kind == "open")
+        elif name == "br":
             parts.append(" ")
+        elif name in BLOCKS:
+            if kind == "close":
+                close((name,))
+                continue
+            flush()
+            if name in ENDS_P:
+                close(("p",), P_HOLDERS)
+            if name in CLOSED_BY:
+                close(CLOSED_BY[name], LIST_HOLDERS)
+            if name in ("body", "html") and places[name]:
+                continue
+            node = stack[-1][1]
+            if len(stack) <= DEPTH:
+                node = Node(label_of(name, more))
+                stack[-1][1].items.append(node)
+            if name not in VOID:
+                places[name].append(len(stack))
+                stack.append((name, node))
     flush()
     _spare(root)
     return root
@@ -165,28 +231,107 @@ def absorb(a: Node, b: Node) -> Node:
 
 
 def align(a: list[Node], b: list[Node]) -> list[Node]:
-    """Two sequences as one, along a longest common subsequence of labels; the rest becomes optional."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head].label == b[head].label:
-        head += 1
-    x, y = a[head:], b[head:]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i].label == y[j].label else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [absorb(p, q) for p, q in zip(a[:head], b[:head])], 0, 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i].label == y[j].label:
-            out.append(absorb(x[i], y[j]))
+    """Two sequences as one, along a common subsequence of labels; the rest becomes optional."""
+    if any(i.label.endswith(ANY) for i in (*a, *b)):
+        return generalised([*a, *b])
+    out: list[Node] = []
+    i = j = 0
+    for p, q in (*matches([n.label for n in a], [n.label for n in b]), (len(a), len(b))):
+        for node in (*a[i:p], *b[j:q]):
+            node.optional = True
+            out.append(node)
+        if p < len(a):
+            out.append(absorb(a[p], b[q]))
+        i, j = p + 1, q + 1
+    out = fold(out)
+    return out if len(out) <= MAX_ITEMS else generalised(out)
+
+
+def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """The places of a common subsequence: the longest one where the table for it is small; else labels that are
+    once on either side are matched first, in their longest common order, and the parts between them after that."""
+    found: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and a[i] == b[j]:
+            found.append((i, j))
             i, j = i + 1, j + 1
+        while i < n and j < m and a[n - 1] == b[m - 1]:
+            n, m = n - 1, m - 1
+            found.append((n, m))
+        if i == n or j == m:
             continue
-        if j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
-            node, i = x[i], i + 1
+        if (n - i) * (m - j) <= MAX_CELLS:
+            found += _longest(a, i, n, b, j, m)
+            continue
+        once_a, once_b = Counter(a[i:n]), Counter(b[j:m])
+        place = {b[k]: k for k in range(j, m) if once_b[b[k]] == 1}
+        anchors = _rising([(k, place[a[k]]) for k in range(i, n) if once_a[a[k]] == 1 and a[k] in place])
+        if not anchors:  # each label meets its next one on the other side
+            nexts: dict[str, list[int]] = defaultdict(list)
+            for k in range(m - 1, j - 1, -1):
+                nexts[b[k]].append(k)
+            at = j - 1
+            for k in range(i, n):
+                rest = nexts[a[k]]
+                while rest and rest[-1] <= at:
+                    rest.pop()
+                if rest:
+                    at = rest.pop()
+                    found.append((k, at))
+            continue
+        edges = [(i - 1, j - 1), *anchors, (n, m)]
+        found += anchors
+        todo += [(p + 1, r, q + 1, s) for (p, q), (r, s) in zip(edges, edges[1:])]
+    return sorted(found)
+
+
+def _longest(a: list[str], i: int, n: int, b: list[str], j: int, m: int) -> list[tuple[int, int]]:
+    """A longest common subsequence of a[i:n] and b[j:m], by places."""
+    x, y = a[i:n], b[j:m]
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for k in range(len(x) - 1, -1, -1):
+        for h in range(len(y) - 1, -1, -1):
+            best[k][h] = best[k + 1][h + 1] + 1 if x[k] == y[h] else max(best[k + 1][h], best[k][h + 1])
+    out, k, h = [], 0, 0
+    while k < len(x) and h < len(y):
+        if x[k] == y[h]:
+            out.append((i + k, j + h))
+            k, h = k + 1, h + 1
+        elif best[k + 1][h] >= best[k][h + 1]:
+            k += 1
         else:
-            node, j = y[j], j + 1
-        node.optional = True
-        out.append(node)
-    return fold(out)
+            h += 1
+    return out
+
+
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest part of pairs, ascending in the first place, that is ascending in the second one too."""
+    tails: list[int] = []
+    ends: list[int] = []
+    before: list[int] = []
+    for k, (_, q) in enumerate(pairs):
+        at = bisect_left(tails, q)
+        before.append(ends[at - 1] if at else -1)
+        tails[at : at + 1], ends[at : at + 1] = [q], [k]
+    out, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
+def generalised(items: list[Node]) -> list[Node]:
+    """A level whose elements are told apart by tag alone, each optional and repeated."""
+    found: dict[str, Node] = {}
+    for node in (n for i in items for n in (i.items if i.label == "()" else (i,))):
+        if node.label != "#":
+            node.label = node.label.partition(".")[0] + ANY
+        found[node.label] = absorb(found[node.label], node) if node.label in found else node
+    for node in found.values():
+        node.optional = node.repeated = True
+    return list(found.values())
 
 
 def fold(items: list[Node]) -> list[Node]:
@@ -195,7 +340,7 @@ def fold(items: list[Node]) -> list[Node]:
     for node in items:
         if node.label == "()":
             out.append(node)
-        elif out and out[-1].label == node.label and node.label != "#":
+        elif out and out[-1].label == node.label:
             out[-1] = absorb(out[-1], node)
             out[-1].repeated = True
         elif out and out[-1].label == "()" and (one := _inside(out[-1], node)):
@@ -345,13 +490,17 @@ def read(page: Node, wrapper: Node) -> list[str]:
     def walk(items: list[Node], against: list[Node]) -> None:
         nonlocal met
         flat = [g for w in against for g in (w.items if w.label == "()" else [w])]
+        by_label: dict[str, list[int]] = {}
+        for k, node in enumerate(flat):
+            by_label.setdefault(node.label, []).append(k)
         at = 0
         for item in items:
-            k = next((k for k in range(at, len(flat)) if flat[k].label == item.label), None)
-            if k is None:  # a run goes round again
-                k = next((k for k in range(len(flat)) if flat[k].label == item.label), None)
-            if k is None:
+            places = by_label.get(item.label)
+            if places is None and item.label != "#" and not _dropped(item.label):
+                places = by_label.get(item.label.partition(".")[0] + ANY)
+            if places is None:
                 continue
+            k = places[bisect_left(places, at) % len(places)]  # a run goes round again
             at = k
             if item.label == "#":
                 if flat[k].pages:
@@ -404,9 +553,10 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
         return pa.table({"host": one.column("host"), "wrapper": pa.array([_packed(node)], pa.string()), "pattern": pa.array([pattern], pa.string())})
 
     parts = source.mapInArrow(partial, "host string, wrapper string")
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).groupBy("host", "salt")
-    halves = salted.applyInArrow(merged, "host string, wrapper string")
-    return common.stored(halves.groupBy("host").applyInArrow(finished, "host string, wrapper string, pattern string"), "wrappers")
+    for salts in (SALTS * SALTS, SALTS):  # a host's partial wrappers meet in steps
+        salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts))).groupBy("host", "salt")
+        parts = salted.applyInArrow(merged, "host string, wrapper string")
+    return common.stored(parts.groupBy("host").applyInArrow(finished, "host string, wrapper string, pattern string"), "wrappers")
 
 
 def hash_of(text: str) -> int:
@@ -427,7 +577,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     Null and empty pages give an empty text; pages without a host share one wrapper;
     repeated rows and null ids keep a row each; an empty table gives an empty result;
-    other columns are left out. Pages meet their host's wrapper by a join that Spark
+    other columns are left out. Broken pages lose no text: a tag that never ends, ends at
+    the next mark; only an unclosed comment, script or the like takes what follows. Pages meet their host's wrapper by a join that Spark
     may broadcast, when the wrappers' size allows it, or else splits at hosts of many pages.
     """
     wrappers = infer_wrappers(pages, url_col, html_col).select("host", "wrapper")

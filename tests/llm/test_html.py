@@ -1,6 +1,7 @@
 import html as entities
 import random
 import re
+import time
 
 import pytest
 
@@ -123,3 +124,54 @@ def test_layouts_of_one_host_and_pages_without_a_host(spark):
             want[at] = "\n".join(paras)
     got = html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
     assert {r["page_id"]: r["text"] for r in got} == want
+
+
+def text_of(page):
+    wrapper = html.wrapper_of(html.parse(page))
+    html.choose(wrapper)
+    return html.read(html.parse(page), wrapper)
+
+
+def test_quotes_only_open_values():
+    assert text_of("<p title=it's>x</p><p>don't</p>") == ["x", "don't"]
+    assert text_of("<p title=\"a>b\" data-id='sidebar'>x</p><p a = 'c>d'>y</p>") == ["x", "y"]
+    assert text_of("<p>one</p><a href='x>two</a><p>three</p>") == ["one", "two", "three"]
+    assert text_of("a < b and <c") == ["a < b and <c"]
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    began = time.time()
+    for n in (1_000, 100_000):
+        assert text_of("<div>" * n + "deep" + "</div>" * n + "<p>after</p>") == ["deep", "after"]
+    assert text_of("<li><ul>" + "<div>" * 20_000 + "<li>x</li>" * 20_000)[0] == "x"
+    for page in ("<a 'x " * 200_000, "<a x=\">\" " * 200_000, "<" * 1_000_000, "<!" * 500_000, "<select>" * 100_000, "<a x='" * 200_000, "<p " + "x" * 1_000_000 + ">y"):
+        html.parse(page)
+    assert time.time() - began < 60
+
+
+def test_long_levels_are_generalised():
+    pages = ["<body>" + "".join(f"<div class='k{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}x{s}'>text {k} {s}</div>" for k in range(3_000)) + "</body>" for s in "abc"]
+    began = time.time()
+    wrapper = html.wrapper_of(html.parse(pages[0]))
+    for page in pages[1:]:
+        wrapper = html.absorb(wrapper, html.wrapper_of(html.parse(page)))
+    assert len(html._packed(wrapper)) < 5_000
+    html.choose(wrapper)
+    assert len(html.read(html.parse(pages[2]), wrapper)) == 3_000
+    assert time.time() - began < 20
+
+
+def test_matches_of_long_sequences():
+    chance = random.Random(3)
+    for size in (30, 900):
+        a = [f"t{chance.randint(0, size)}" for _ in range(size)]
+        b = [x for x in a if chance.random() > 0.2]
+        found = html.matches(a, b)
+        assert all(a[p] == b[q] for p, q in found) and all(p < r and q < s for (p, q), (r, s) in zip(found, found[1:]))
+        assert len(found) > 0.8 * len(b)
+
+
+def test_a_page_of_many_megabytes():
+    page = "<main>" + "".join(f"<p class='a{k % 7}'>paragraph {k} of this long page</p>" for k in range(150_000)) + "</main><footer>end</footer>"
+    got = text_of(page)
+    assert len(got) == 150_000 and got[-1] == "paragraph 149999 of this long page"
