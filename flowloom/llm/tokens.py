@@ -11,9 +11,12 @@ determinised automaton, and the table is dropped when it outgrows its bound.
 
 A piece never holds a word mark behind another character, and never a line feed, so
 the machine is back in its start state at each such place. The state map of a chunk
-therefore is short: what its open head adds to a given state, the count of its
-inside, and the open tail. Maps compose associatively; a document's chunks are
-reduced by a parallel prefix scan.
+therefore is short: its head, up to the first such place, is what an entering state still
+has to read; behind it, the count and the state in which the machine leaves are the same
+for all. Maps compose associatively: the state in which one leaves enters the next. A
+document's chunks are composed in pairs, as the first half of a parallel prefix scan does
+it; a count only needs the last prefix. A text without any such place is all head, and is
+read once.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ MAX_STATES = 120_000
 MAX_MEMO = 250_000
 MEMO_CHARS = 48
 CHUNK_CHARS = 1 << 16
+STRETCH = 4_096  # characters between two looks at the table's size
 
 
 def read_vocabulary(path: str) -> dict[str, float]:
@@ -51,12 +55,12 @@ def read_vocabulary(path: str) -> dict[str, float]:
 
 
 class StateMap(NamedTuple):
-    """What a chunk does to any state: head joins the open segment before it, inner
-    tokens are fixed, tail stays open. Without a boundary inside, tail is None."""
+    """A chunk as a function from states to states and counts: an entering state reads the
+    heads; if there is an exit, it then counts ``inner`` and leaves in the exit state."""
 
-    head: str
+    heads: tuple[str, ...]
     inner: int
-    tail: str | None
+    exit: _State | None
 
 
 class _State:
@@ -193,36 +197,42 @@ class TokenTransducer:
         except KeyError:
             return sum(map(self.count_segment, segments))
 
+    def run(self, state: _State, texts: tuple[str, ...]) -> tuple[_State, int]:
+        """The state after reading texts, and the tokens counted on the way."""
+        n = 0
+        for text in texts:
+            for k in range(0, len(text), STRETCH):
+                for char in text[k : k + STRETCH]:
+                    state, delta = state.moves.get(char) or self._move(state, char)
+                    n += delta
+                if len(self.states) > MAX_STATES:
+                    self._restart()
+                    state = _bare(state)
+        return state, n
+
     def chunk_map(self, chunk: str) -> StateMap:
         found = self.segments(chunk)
         if len(found) < 2:
-            return StateMap(chunk, 0, None)
-        return StateMap(found[0], self._sum(found[1:-1]), found[-1])
+            return StateMap((chunk,), 0, None)
+        state, n = self.run(self.start, (found[-1],))
+        return StateMap((found[0],), self._sum(found[1:-1]) + n, _bare(state))
 
     def compose(self, a: StateMap, b: StateMap) -> StateMap:
         """The map of two neighbouring chunks; associative."""
-        joined = self.segments((a.head if a.tail is None else a.tail) + b.head)
-        if a.tail is None:
-            if not joined or (len(joined) == 1 and b.tail is None):
-                return StateMap(a.head + b.head, b.inner, b.tail)
-            if b.tail is None:
-                return StateMap(joined[0], self._sum(joined[1:-1]), joined[-1])
-            return StateMap(joined[0], self._sum(joined[1:]) + b.inner, b.tail)
-        if b.tail is None:
-            return StateMap(a.head, a.inner + self._sum(joined[:-1]), joined[-1] if joined else "")
-        return StateMap(a.head, a.inner + self._sum(joined) + b.inner, b.tail)
-
-    def scan(self, maps: list[StateMap]) -> list[StateMap]:
-        """All prefix compositions, in a logarithmic number of parallel steps."""
-        step = 1
-        while step < len(maps):
-            maps = maps[:step] + [self.compose(maps[k - step], maps[k]) for k in range(step, len(maps))]
-            step *= 2
-        return maps
+        if a.exit is None:
+            return StateMap(a.heads + b.heads, b.inner, b.exit)
+        state, n = self.run(a.exit, b.heads)
+        return StateMap(a.heads, a.inner + n + b.inner, _bare(state) if b.exit is None else b.exit)
+
+    def composed(self, maps: list[StateMap]) -> StateMap:
+        """The map of all chunks, in a logarithmic number of parallel steps."""
+        while len(maps) > 1:
+            maps = [self.compose(maps[k], maps[k + 1]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
+        return maps[0]
 
     def finish(self, whole: StateMap) -> int:
         """The count of a text from the map of all of it, applied to the start state."""
-        return self._sum(self.segments(whole.head)) + whole.inner + self._sum(self.segments(whole.tail or ""))
+        return self.run(self.start, whole.heads)[1] + whole.inner
 
     def count(self, text: str | None, chunk_chars: int = CHUNK_CHARS) -> int:
         if not text:
@@ -231,7 +241,12 @@ class TokenTransducer:
         if len(marked) <= chunk_chars:
             return self._sum(self.segments(marked))
         maps = [self.chunk_map(marked[k : k + chunk_chars]) for k in range(0, len(marked), chunk_chars)]
-        return self.finish(self.scan(maps)[-1])
+        return self.finish(self.composed(maps))
+
+
+def _bare(state: _State) -> _State:
+    """The same state without the transitions made so far, so that it doesn't keep a dropped table."""
+    return _State(state.suffix, state.last, state.rel)
 
 
 _compiled: dict[str, TokenTransducer] = {}

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -52,6 +53,19 @@ def test_maps_compose_associatively(machine):
         assert machine.finish(left) == machine.finish(right)
 
 
+def test_unbroken_texts_in_bounded_memory(library, machine):
+    chance = random.Random(5)
+    text = "".join(chance.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(400_000))
+    assert machine.count(text, 1 << 12) == machine.count(text) == sum(len(library.encode(text)) for _ in range(1))
+    tracemalloc.start()
+    try:
+        n = machine.count("ab" * 8_000_000)
+        assert tracemalloc.get_traced_memory()[1] < 150e6
+    finally:
+        tracemalloc.stop()
+    assert n == machine.count("ab" * 8_000_000, 1 << 20)
+
+
 def test_odd_rows(odd, empty, library):
     got = sorted((str(r["doc_id"]), r["n_tokens"]) for r in tokens.count_tokens(odd, PATH).collect())
     assert got == sorted((str(r["doc_id"]), len(library.encode(r["text"] or ""))) for r in odd.collect())
