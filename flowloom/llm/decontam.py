@@ -6,8 +6,9 @@ its occurrences. No posting list outgrows its segment however common its term is
 building takes no shuffle. A phrase is found by taking the list of its rarest term in
 the segment, shifted by the term's place in the phrase, and keeping the starts at which
 each further term, from rare to common, has a posting at its own shift. Test phrases
-are held against every segment in blocks of MAX_PHRASES phrases, which bounds what is
-broadcast.
+are made and told apart on the executors and held against every segment in blocks of
+MAX_PHRASES phrases, which bounds what is broadcast; inside a segment, phrases are taken
+in slices of MAX_STARTS postings of their rarest terms.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from flowloom.llm import common
 
 SEGMENT_WORDS = 1_000_000
 MAX_PHRASES = 200_000
+MAX_STARTS = 2_000_000
 WINDOW = 10
 
 _words = re.compile(rb"[0-9a-z\x80-\xff]+").findall
@@ -112,6 +114,17 @@ class Segment:
         order = np.argsort(length[phrase], axis=1, kind="stable")  # from the rarest term
         rarest = terms[phrase, order[:, 0]]
         n = self.count[rarest]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        ends, low = np.cumsum(n), 0
+        while low < len(phrase):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + MAX_STARTS, "right")))
+            found.append(self._starts(terms, phrase[low:high], order[low:high], rarest[low:high], n[low:high]))
+            low = high
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([p for p, _ in found]), np.concatenate([s for _, s in found])
+
+    def _starts(self, terms: np.ndarray, phrase: np.ndarray, order: np.ndarray, rarest: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         row = np.repeat(np.arange(len(phrase)), n)
         at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[rarest], n)
         start = self.lists[at] - order[row, 0]
@@ -129,20 +142,24 @@ class Segment:
     def doc_of(self, position: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, position, side="right") - 1
 
-    def near(self, within: int) -> dict[int, int]:
-        """Documents with all terms inside some run of ``within`` words, and the first word of the first such run."""
-        if not len(self.count) or (self.count == 0).any():
-            return {}
-        order = np.argsort(self.lists, kind="stable")
-        position, term = self.lists[order], (self.keys >> 40)[order]
-        docs = self.doc_of(position)
-        last, found = {}, {}
-        for p, t, d in zip(position.tolist(), term.tolist(), docs.tolist()):
+    def near(self, terms: list[int], within: int) -> list[tuple[int, int, int]]:
+        """The shortest runs of at most ``within`` words that hold all of some terms: document, first and last word.
+
+        A run that holds another one is left out.
+        """
+        if not terms or (self.count[terms] == 0).any():
+            return []
+        position = np.concatenate([self.lists[self.first[t] : self.first[t + 1]] for t in terms])
+        term = np.repeat(np.arange(len(terms)), self.count[terms])
+        order = np.argsort(position, kind="stable")
+        last, found, doc, begun = {}, [], -1, -1
+        for p, t, d in zip(position[order].tolist(), term[order].tolist(), self.doc_of(position[order]).tolist()):
+            if d != doc:
+                last, doc, begun = {}, d, -1
             last[t] = p
-            if len(last) == len(self.count) and d not in found:
-                low = min(last.values())
-                if p - low < within and low >= self.starts[d]:
-                    found[d] = int(low - self.starts[d])
+            if len(last) == len(terms) and (low := min(last.values())) > begun and p - low < within:
+                begun = low
+                found.append((d, int(low - self.starts[d]), int(p - self.starts[d])))
         return found
 
 
@@ -152,17 +169,29 @@ def windows_of(text: str | None, window: int = WINDOW) -> list[tuple[bytes, ...]
     return [tuple(words[k : k + window]) for k in range(max(1, len(words) - window + 1))] if words else []
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[dict[tuple[bytes, ...], list[str]]]:
-    """The test phrases with the ids of their items, in blocks of bounded size."""
-    block: dict[tuple[bytes, ...], set[str]] = {}
-    for item in items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col).cast("string")).toLocalIterator(prefetchPartitions=True):
-        for phrase in windows_of(item[1], window):
-            block.setdefault(phrase, set()).add(item[0])
-        if len(block) >= MAX_PHRASES:
-            yield block
-            block = {}
-    if block:
-        yield block
+def _by_item(items: DataFrame, id_col: str, text_col: str, parts, name: str) -> DataFrame:
+    """Rows (item, words joined by spaces) of what ``parts`` makes of each item's text."""
+    source = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text")):
+                made = parts(text.as_py())
+                for k in range(0, len(made), 10_000):
+                    some = [b" ".join(p) for p in made[k : k + 10_000]]
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(some), pa.string()), pa.array(some, pa.binary())], ["item", "words"])
+
+    grouped = source.mapInArrow(run, "item string, words binary").groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return common.stored(grouped, name)
+
+
+def _blocks(phrases: DataFrame) -> Iterator[tuple[list[list[bytes]], list[list[str]]]]:
+    """Stored phrases and the ids of their items, in blocks of some MAX_PHRASES phrases."""
+    blocks = -(-phrases.count() // MAX_PHRASES)
+    for k in range(blocks):
+        rows = phrases.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).toArrow()
+        if rows.num_rows:
+            yield [w.split(b" ") for w in rows.column("words").to_pylist()], rows.column("items").to_pylist()
 
 
 def match_phrases(index: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -174,15 +203,15 @@ def match_phrases(index: DataFrame, items: DataFrame, item_id: str = "item_id",
     count once each; an empty index or item table gives no hits.
     """
     spark = index.sparkSession
-    id_type = index.schema["ids"].dataType.elementType.simpleString()
-    schema = f"segment string, row int, id {id_type}, key bigint, n_words long, items array<string>, spans array<struct<lo:int,hi:int>>"
+    schema = "segment string, row int, items array<string>, spans array<struct<lo:int,hi:int>>"
 
-    def searched(block: dict) -> DataFrame:
-        vocabulary = sorted({w for phrase in block for w in phrase})
+    def searched(phrases: list[list[bytes]], owners: list[list[str]]) -> DataFrame:
+        """The documents that hold phrases of a block, stored."""
+        vocabulary = sorted({w for phrase in phrases for w in phrase})
         number = {w: k for k, w in enumerate(vocabulary)}
-        width = max([window, *map(len, block)])
-        terms = np.array([[number[w] for w in phrase] + [-1] * (width - len(phrase)) for phrase in block], np.int64).reshape(-1, width)
-        sent = spark.sparkContext.broadcast((vocabulary, terms, [sorted(ids) for ids in block.values()]))
+        width = max(map(len, phrases))
+        terms = np.array([[number[w] for w in phrase] + [-1] * (width - len(phrase)) for phrase in phrases], np.int64)
+        sent = spark.sparkContext.broadcast((vocabulary, terms, owners))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vocabulary, terms, owners = sent.value
@@ -201,54 +230,62 @@ def match_phrases(index: DataFrame, items: DataFrame, item_id: str = "item_id",
                             mine[-1][1] = max(mine[-1][1], end)
                         else:
                             mine.append([s, end])
-                    n = len(row["ids"])
-                    out = {"segment": [row["segment"]] * n, "row": range(n), "id": row["ids"], "key": row["keys"], "n_words": row["lengths"]}
-                    out["items"] = [sorted(items.get(d, ())) for d in range(n)]
-                    out["spans"] = [[{"lo": a, "hi": b} for a, b in spans.get(d, ())] for d in range(n)]
+                    rows = sorted(spans)
+                    out = {"segment": [row["segment"]] * len(rows), "row": rows, "items": [sorted(items[d]) for d in rows], "spans": [[{"lo": a, "hi": b} for a, b in spans[d]] for d in rows]}
                     yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
-        return index.mapInArrow(run, schema)
+        found = common.stored(index.mapInArrow(run, schema), "hits")
+        sent.destroy()
+        return found
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    found = None
-    for block in _blocks(items, item_id, item_text, window):
-        part = searched(block)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = searched({})
+    found = spark.createDataFrame([], schema)
+    for phrases, owners in _blocks(_by_item(items, item_id, item_text, lambda text: windows_of(text, window), "test-phrases")):
+        found = found.unionByName(searched(phrases, owners))
     # A document meets each block once; its items and spans of all blocks are put together.
-    whole = found.groupBy("segment", "row").agg(
-        F.first("id").alias("id"),
-        F.first("key").alias("key"),
-        F.first("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-    )
+    hits = found.groupBy("segment", "row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    each = F.posexplode(F.arrays_zip("ids", "keys", "lengths")).alias("row", "d")
+    docs = index.select("segment", each).select("segment", "row", F.col("d.ids").alias("id"), F.col("d.keys").alias("key"), F.col("d.lengths").cast("long").alias("n_words"))
+    none = lambda column, kind: F.coalesce(column, F.array().cast(kind))
+    whole = docs.join(hits, ["segment", "row"], "left").select("id", "key", "n_words", none("items", "array<string>").alias("items"), none("spans", "array<struct<lo:int,hi:int>>").alias("spans"))
     merged = F.expr("""aggregate(spans, named_struct('hi', 0, 'n', 0L), (a, s) -> named_struct(
         'hi', greatest(a.hi, s.hi), 'n', a.n + greatest(0, s.hi - greatest(a.hi, s.lo))), a -> a.n)""")
     return whole.select("id", "key", "n_words", merged.alias("n_hit"), "items", "spans")
 
 
-def near(index: DataFrame, terms: list[str], within: int) -> DataFrame:
-    """Documents that hold all terms inside a run of ``within`` words: id, first_word."""
-    wanted = sorted({w for t in terms for w in words_of(t)})
-    id_type = index.schema["ids"].dataType.elementType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                found = Segment(row, pa.array(wanted, pa.binary())).near(within)
-                yield pa.RecordBatch.from_pandas(pd.DataFrame({"id": [row["ids"][d] for d in found], "first_word": list(found.values())}), schema=arrow)
+def near(index: DataFrame, items: DataFrame, within: int, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Where documents hold all words of a test item close together: id, key, items (with these words), first_word, last_word.
 
+    A row for each of the shortest runs of at most ``within`` words; runs that hold another
+    one are left out. Items without words are nowhere; null ids of items count as ''; items
+    of the same set of words share their rows; an empty index or item table gives no rows.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema = StructType.fromDDL(f"id {id_type}, first_word int")
-    arrow = to_arrow_schema(schema)
-    return index.mapInArrow(run, schema)
+    id_type = index.schema["ids"].dataType.elementType.simpleString()
+    schema = f"id {id_type}, key bigint, items array<string>, first_word int, last_word int"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    found = index.sparkSession.createDataFrame([], schema)
+    for terms, owners in _blocks(_by_item(items, item_id, item_text, lambda text: [sorted(set(words_of(text)))] if words_of(text) else [], "test-terms")):
+        vocabulary = sorted({w for words in terms for w in words})
+        number = {w: k for k, w in enumerate(vocabulary)}
+        sent = index.sparkSession.sparkContext.broadcast((vocabulary, [[number[w] for w in words] for words in terms], owners))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            vocabulary, terms, owners = sent.value
+            for batch in batches:
+                for row in batch.to_pylist():
+                    segment = Segment(row, pa.array(vocabulary, pa.binary()))
+                    hits = [(d, own, a, b) for words, own in zip(terms, owners) for d, a, b in segment.near(words, within)]
+                    yield pa.RecordBatch.from_pydict({"id": [row["ids"][d] for d, *_ in hits], "key": [row["keys"][d] for d, *_ in hits], "items": [h[1] for h in hits], "first_word": [h[2] for h in hits], "last_word": [h[3] for h in hits]}, schema=arrow)
+
+        found = found.unionByName(common.stored(index.mapInArrow(run, schema), "near"))
+        sent.destroy()
+    return found
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
