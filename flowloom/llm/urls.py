@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 
 ALLOW = "allow"
+SALTS = 16
 
 
 def host_of(url):
@@ -50,23 +51,27 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
     comma-joined), deciding_key (the most specific active key, null if none) and blocked.
 
     A capture without URL, host or day has no active entries and is not blocked; repeated
-    rows keep a row each; other columns are left out. A key that many captures share
-    (their host) is joined by a sort-merge join that Spark can split by the captures' side;
-    its entries are few, however many captures it has.
+    rows keep a row each; other columns are left out. Keys meet their entries once for each
+    day; the captures of a key that very many share (their host) are dealt over SALTS
+    tasks for each day.
     """
     read = captures.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(day_col).cast("int").alias("day"))
     rows = read.select("id", "day", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("row", F.monotonically_increasing_id())
     keyed = rows.select("row", "id", "day", "host", F.explode_outer(keys_of("host", "path")).alias("key"))
     valid = intervals(entries)
-    active = (keyed["key"] == valid["key"]) & (valid["valid_from"] <= keyed["day"]) & (valid["valid_to"].isNull() | (keyed["day"] < valid["valid_to"]))
-    found = keyed.join(valid.hint("merge"), active, "left").select("row", "id", "day", "host", valid["list"], valid["key"].alias("hit"))
-    best = F.max(F.when(F.col("hit").isNotNull(), F.struct(F.length("hit").alias("n"), (F.col("list") == ALLOW).cast("int").alias("allow"), F.col("hit").alias("key"))))
+    # Each key and day is looked up once, however many captures share them, and comes back to them over salts.
+    asked = keyed.select("key", "day").where("key is not null and day is not null").distinct()
+    active = (asked["key"] == valid["key"]) & (valid["valid_from"] <= asked["day"]) & (valid["valid_to"].isNull() | (asked["day"] < valid["valid_to"]))
+    held = asked.join(valid.hint("merge"), active).groupBy(asked["key"], "day").agg(F.count(F.lit(1)).alias("n"), F.collect_set("list").alias("held"), F.max((F.col("list") == ALLOW).cast("int")).alias("allow"))
+    held = held.withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})"))).withColumn("hit", F.col("key"))
+    found = keyed.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(held.hint("merge"), ["key", "day", "salt"], "left")
+    best = F.max(F.when(F.col("hit").isNotNull(), F.struct(F.length("hit").alias("n"), "allow", F.col("hit").alias("key"))))
     verdict = found.groupBy("row").agg(
         F.first("id").alias(id_col),
         F.first("host").alias("host"),
         F.first("day").alias(day_col),
-        F.count("hit").alias("n_active"),
-        F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"),
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_active"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("held")))), ",").alias("lists"),
         best.alias("best"),
     )
     return verdict.select(id_col, "host", day_col, "n_active", "lists", F.col("best.key").alias("deciding_key"), F.coalesce(F.col("best.allow") == 0, F.lit(False)).alias("blocked"))
