@@ -76,8 +76,8 @@ class Rows(NamedTuple):
         sums = np.concatenate([[0.0], np.cumsum(self.values * weights[self.numbers])])
         return sums[self.starts[1:]] - sums[self.starts[:-1]]
 
-    def back(self, errors: np.ndarray) -> np.ndarray:
-        return np.bincount(self.numbers, self.values * np.repeat(errors, np.diff(self.starts)), minlength=1 << BITS)
+    def back(self, errors: np.ndarray, size: int = 1 << BITS) -> np.ndarray:
+        return np.bincount(self.numbers, self.values * np.repeat(errors, np.diff(self.starts)), minlength=size)
 
     def take(self, keep: np.ndarray) -> Rows:
         where = np.flatnonzero(keep)
@@ -103,16 +103,32 @@ def scaled(rows: Rows, scale: np.ndarray) -> Rows:
     return Rows(ends[rows.starts], rows.numbers[kept], values[kept])
 
 
+def numbered(rows: Rows) -> tuple[Rows, np.ndarray]:
+    """Rows with only the features that occur, numbered anew; and their old numbers."""
+    used, numbers = np.unique(rows.numbers, return_inverse=True)
+    return Rows(rows.starts, numbers.astype(np.int32), rows.values), used
+
+
+def spread(weights: np.ndarray, used: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Weights of features numbered anew as weights of all, by their scales."""
+    out = np.zeros(len(scale))
+    out[used] = weights * scale[used]
+    return out
+
+
 def labelled(docs: DataFrame, labels: DataFrame, columns: list[str], id_col: str, text_col: str, bound: int, share: bool) -> tuple[Rows, np.ndarray]:
     """Features and labels of at most ``bound`` labelled rows (the smallest hashes of id and labels), for the driver.
 
-    Rows with a null among their labels are left out. Texts stay on the executors; the
-    driver gets their features.
+    Rows with a null among their labels are left out; of several texts of an id the one
+    with the least hash counts. Texts stay on the executors; the driver gets their features,
+    ordered by a hash of id and labels, so partitions don't matter.
     """
     known = labels.select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(f"y{k}") for k, c in enumerate(columns)]).dropna()
     known = known.orderBy(F.xxhash64("id", *[f"y{k}" for k in range(len(columns))])).limit(bound)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    both = texts.join(F.broadcast(known), "id").select("text", *[f"y{k}" for k in range(len(columns))])
+    ys = [f"y{k}" for k in range(len(columns))]
+    both = texts.join(F.broadcast(known), "id").groupBy("id", *ys).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    both = both.select("text", F.xxhash64("id", *ys).alias("place"), *ys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,8 +136,8 @@ def labelled(docs: DataFrame, labels: DataFrame, columns: list[str], id_col: str
             numbers, counts = pa.array([n for n, _ in rows], pa.list_(pa.int32())), pa.array([c for _, c in rows], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([numbers, counts, *batch.columns[1:]], ["numbers", "counts", *batch.schema.names[1:]])
 
-    kinds = ", ".join(f"y{k} double" for k in range(len(columns)))
-    found = both.mapInArrow(run, f"numbers array<int>, counts array<float>, {kinds}").limit(2 * bound).toArrow().combine_chunks()
+    kinds = ", ".join(f"{y} double" for y in ys)
+    found = both.mapInArrow(run, f"numbers array<int>, counts array<float>, place long, {kinds}").toArrow().sort_by([(c, "ascending") for c in ("place", *ys)]).combine_chunks()
     values = share_values if share else presence_values
     rows = [(np.asarray(n.values), values(np.asarray(c.values))) for n, c in zip(found.column("numbers"), found.column("counts"))]
     y = np.array([found.column(f"y{k}").to_numpy() for k in range(len(columns))]).T.reshape(-1, len(columns))

@@ -43,13 +43,13 @@ class OrdinalModel(NamedTuple):
 
 def fit(rows: features.Rows, ratings: np.ndarray, l2: float = 1e-4, steps: int = 150) -> OrdinalModel:
     """Fit by maximum likelihood. Without two different grades the model is constant."""
-    size = 1 << features.BITS
     grades = np.unique(ratings)
     if len(grades) < 2:
-        return OrdinalModel(grades if len(grades) else np.array([0.0]), np.zeros(size), np.zeros(0))
+        return OrdinalModel(grades if len(grades) else np.array([0.0]), np.zeros(1 << features.BITS), np.zeros(0))
     level, cuts = np.searchsorted(grades, ratings), len(grades) - 1
     scale = features.telling(rows, level > (cuts - 1) // 2)
-    x, n = features.scaled(rows, scale), len(ratings)
+    x, used = features.numbered(features.scaled(rows, scale))
+    size, n = len(used), len(ratings)
 
     def thresholds(p: np.ndarray) -> np.ndarray:
         return p[0] + np.concatenate([[0.0], np.cumsum(np.exp(np.clip(p[1:], -10, 10)))])
@@ -64,10 +64,10 @@ def fit(rows: features.Rows, ratings: np.ndarray, l2: float = 1e-4, steps: int =
         for k in range(cuts):
             by_cut[k] = (-(each[:, k + 1] / chance)[level == k].sum() + (each[:, k + 1] / chance)[level == k + 1].sum()) / n
         steps_ = np.exp(np.clip(p[size + 1 :], -10, 10)) * np.cumsum(by_cut[::-1])[::-1][1:]
-        return np.concatenate([x.back(by_score) / n + l2 * p[:size], [by_cut.sum()], steps_])
+        return np.concatenate([x.back(by_score, size) / n + l2 * p[:size], [by_cut.sum()], steps_])
 
     p = features.minimise(gradient, size + cuts, steps)
-    return OrdinalModel(grades, p[:size] * scale, thresholds(p[size:]))
+    return OrdinalModel(grades, features.spread(p[:size], used, scale), thresholds(p[size:]))
 
 
 def train(docs: DataFrame, labels: DataFrame, rating_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", bound: int = MAX_LABELLED) -> OrdinalModel:
@@ -105,7 +105,11 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id"
 
 
 def select(docs: DataFrame, model: OrdinalModel, text_col: str = "text", keep: float = KEEP_PROBABILITY) -> DataFrame:
-    """The rows of ``docs``, all columns, that are kept."""
+    """The rows of ``docs``, all columns, that are kept.
+
+    Null, empty and wordless texts have no features: the thresholds alone judge them.
+    Repeated rows and null ids are judged each; an empty table stays empty.
+    """
     name, score = common.fresh(docs, "grade"), scorer(docs, model)
     scored: Column = F.col(f"{name}.tail_probability")
     return docs.withColumn(name, score(F.col(text_col).cast("string"))).where(scored >= keep).drop(name)

@@ -36,18 +36,19 @@ class Link(NamedTuple):
 
 def fit_link(rows: features.Rows, y: np.ndarray, before: np.ndarray, l2: float = 1e-4, steps: int = 150) -> Link:
     """Regularised logistic regression; without both labels a constant."""
-    size, n, extra = 1 << features.BITS, len(y), before.shape[1]
+    n, extra = len(y), before.shape[1]
     if len(np.unique(y)) < 2:
-        return Link(np.zeros(size), np.zeros(extra), 20.0 if n and y[0] else -20.0)
+        return Link(np.zeros(1 << features.BITS), np.zeros(extra), 20.0 if n and y[0] else -20.0)
     scale = features.telling(rows, y > 0.5)
-    x = features.scaled(rows, scale)
+    x, used = features.numbered(features.scaled(rows, scale))
+    size = len(used)
 
     def gradient(p: np.ndarray) -> np.ndarray:
         error = features.sigmoid(x.times(p[:size]) + before @ p[size:-1] + p[-1]) - y
-        return np.concatenate([x.back(error) / n + l2 * p[:size], error @ before / n + l2 * p[size:-1], [error.mean()]])
+        return np.concatenate([x.back(error, size) / n + l2 * p[:size], error @ before / n + l2 * p[size:-1], [error.mean()]])
 
     p = features.minimise(gradient, size + extra + 1, steps)
-    return Link(p[:size] * scale, p[size:-1], float(p[-1]))
+    return Link(features.spread(p[:size], used, scale), p[size:-1], float(p[-1]))
 
 
 def fit_chain(rows: features.Rows, labels: np.ndarray, folds: int = FOLDS) -> list[Link]:
@@ -111,6 +112,11 @@ def classify(docs: DataFrame, chain: list[Link], categories: list[str], id_col:
 
 
 def reject(docs: DataFrame, chain: list[Link], categories: list[str], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not toxic."""
+    """The rows of ``docs``, all columns, that are not toxic.
+
+    Null, empty and wordless texts have no features: the constants alone judge them, so
+    they stay as long as toxic texts are the lesser part of the training rows. Repeated rows
+    and null ids are judged each; an empty table stays empty.
+    """
     name, score = common.fresh(docs, "toxicity"), scorer(docs, chain, categories)
     return docs.withColumn(name, score(F.col(text_col).cast("string"))).where(F.col(f"{name}.p_{categories[-1]}") < threshold).drop(name)
