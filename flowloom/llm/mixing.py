@@ -322,7 +322,8 @@ def _written(texts: DataFrame, spans: DataFrame, slots: DataFrame, block_words:
     # A slot's part: its block is among those of the part, at either end perhaps together with the next part.
     ends = spans.select("number", "part", "base", F.expr(f"base div {block_words}").alias("low"), F.expr(f"(base + total - 1) div {block_words}").alias("high"))
     ends = ends.withColumn("near", F.explode(F.expr(f"sequence(low div {NEAR}, high div {NEAR})")))
-    routed = slots.withColumn("near", F.expr(f"block div {NEAR}")).join(ends, ["number", "near"]).where("block between low and high")
+    # The planner would take the draws for as small as the table they unfold from, and broadcast them.
+    routed = slots.withColumn("near", F.expr(f"block div {NEAR}")).hint("merge").join(ends, ["number", "near"]).where("block between low and high")
     routed = routed.select("number", "part", "base", "block", "slot", "shard", "words")
     packs = texts.select(*heads, "text").mapInArrow(pack, "number long, part long, n long, head binary, size long, text binary")
     pieces = packs.groupBy("number", "part").cogroup(routed.groupBy("number", "part")).applyInArrow(cut, "shard long, n long, head binary, size long, text binary")
