@@ -15,10 +15,9 @@ def basename(path: Column) -> Column:
 
 
 def classify_target(path: Column) -> Column:
-    """``workflow`` for YAML files in the workflow folder, else ``action``; a leading ./ or / is ignored."""
-    bare = F.regexp_replace(path, r"^(\./|/)", "")
-    inside = bare.startswith(WORKFLOW_DIR) & bare.rlike(r"\.ya?ml$") & ~F.substring(bare, len(WORKFLOW_DIR) + 1, 1 << 30).contains("/")
-    return F.when(inside, "workflow").otherwise("action")
+    """``workflow`` for YAML files under the workflow folder, else ``action``; leading ./ and trailing slashes are ignored."""
+    bare = F.regexp_replace(path, r"^(?:\./)+|/+$", "")
+    return F.when(bare.startswith(WORKFLOW_DIR) & bare.rlike(r"\.ya?ml\z"), "workflow").otherwise("action")
 
 
 def has_segment(path: Column, segment: str) -> Column:
@@ -52,6 +51,8 @@ def glob_to_regex(glob: str) -> str:
             end = glob.find("]", k + 1)
             if end < 0:
                 raise ValueError(f"unclosed [ in {glob!r}")
+            if end == k + 1:
+                raise ValueError(f"empty list in {glob!r}")
             out.append("[" + re.sub(r"([\[\]\\^&])", r"\\\1", glob[k + 1 : end]) + "]")
             k = end
         elif c == "\\":

@@ -185,7 +185,7 @@ def filter_seq_negation(spark: SparkSession, sf_dir: str) -> DataFrame:
 TARGET = "concat('./.github/workflows/', p_brand, CASE p_size % 4 WHEN 0 THEN '.yml' WHEN 1 THEN '.yaml' WHEN 2 THEN '/x.yml' ELSE '' END)"
 
 
-@on.query(f"""SELECT p_partkey, CASE WHEN p_size % 4 < 2 THEN 'workflow' ELSE 'action' END AS kind, {TARGET} AS target FROM part""")
+@on.query(f"""SELECT p_partkey, CASE WHEN p_size % 4 < 3 THEN 'workflow' ELSE 'action' END AS kind, {TARGET} AS target FROM part""")
 def classify_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", text.classify_target(F.expr(TARGET)).alias("kind"), F.expr(TARGET).alias("target"))
 

@@ -6,6 +6,7 @@ everything else is column work on that JSON.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -57,10 +58,37 @@ def scan(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataF
     first = F.row_number().over(Window.partitionBy(folder_of(F.col("path"))).orderBy("path"))
     one = kept.withColumn("n", first).where("n = 1").drop("n")
     for glob in exclude:
-        one = one.where(~text.matches_glob(F.col("path"), glob))
+        one = one.where(~F.col("path").rlike(file_glob(glob)))
     return flows.unionByName(one.withColumn("kind", F.lit("action")))
 
 
+def file_glob(glob: str) -> str:
+    """An exclude glob as a regular expression: ``*`` and ``?`` also match slashes, ``**/`` any folders or none, ``{a,b}`` either, ``[!a]`` another."""
+    out, k, depth = [], 0, 0
+    while k < len(glob):
+        c, end = glob[k], glob.find("]", k + 2)
+        if glob.startswith("**/", k) and (k == 0 or glob[k - 1] == "/"):
+            out.append("(?:.*/)?")
+            k += 2
+        elif c == "*":
+            out.append(".*")
+        elif c == "?":
+            out.append(".")
+        elif c == "[" and end > 0:
+            body = glob[k + 1 : end]
+            out.append(("[^" if body[0] in "!^" else "[") + re.sub(r"([\[\]\\^&])", r"\\\1", body.lstrip("!^")) + "]")
+            k = end
+        elif c in "{}":
+            depth += 1 if c == "{" else -1
+            out.append("(?:" if c == "{" else ")")
+        else:
+            out.append("|" if c == "," and depth else re.escape(c))
+        k += 1
+    if depth:
+        raise ValueError(f"unbalanced braces in {glob!r}")
+    return "^(?s:" + "".join(out) + ")$"
+
+
 def folder_of(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(".")
 
@@ -90,17 +118,21 @@ def ref_filter(body: str, what: str) -> Column:
 
 
 def classified(uses: Column, job_level: bool = False) -> Column:
-    """What a ``uses`` names: a struct of kind, id and ref. A job only calls workflows; an external one needs a ref."""
-    local = uses.rlike(r"^(\./|\$/|/)")
-    bare = F.regexp_replace(uses, r"^(\./|\$/|/)", "")
-    bare = F.when(bare == "", ".").otherwise(F.regexp_replace(bare, "/+$", ""))
+    """What a ``uses`` names: a struct of kind, id and ref. A job only calls workflows; an external one needs owner, repository and ref.
+
+    Local ones begin with ./ or $/; the root is '.'. White space around it is ignored.
+    """
+    uses = F.trim(uses)
+    local = uses.rlike(r"^(\./|\$/)")
+    bare = F.regexp_replace(F.substring(uses, 3, 1 << 20), "/+$", "")
+    bare = F.when(bare == "", ".").otherwise(bare)
     flow = F.lit(True) if job_level else text.classify_target(bare) == "workflow"
     kind = (
         F.when(uses.isNull(), None)
         .when(uses.startswith("docker://"), "docker")
         .when(local & flow, "local-workflow")
         .when(local, "local-action")
-        .when(~uses.contains("@"), "error")
+        .when(~uses.rlike("^[^@/]*/[^@]*@"), "error")
         .otherwise("external-workflow" if job_level else "external-action")
     )
     target = F.when(local, bare).when(uses.startswith("docker://"), F.substring(uses, 10, 1 << 20)).otherwise(F.substring_index(uses, "@", 1))
@@ -164,7 +196,11 @@ def annotations(docs: DataFrame, jobs: DataFrame, steps: DataFrame, prefix: str)
 
 
 def edges(jobs: DataFrame, steps: DataFrame, notes: DataFrame) -> DataFrame:
-    """All edges in their fixed order: by job, at each its annotations, its call, then its steps with annotations before uses."""
+    """All edges in their fixed order: by job, at each its annotations, its call, then its steps with annotations before uses.
+
+    An annotation in a manifest belongs to the action, the manifest's folder; one whose target
+    isn't a workflow's path is an edge to an ``unresolved`` end.
+    """
     cols = ("src_kind", "src", "job_ord", "step_ord", "tier", "edge_kind", "dst_kind", "dst", "job_if", "step_if")
     null = F.lit(None).cast("string")
     call = jobs.where("call.kind is not null and call.kind <> 'error'").select(
@@ -173,8 +209,9 @@ def edges(jobs: DataFrame, steps: DataFrame, notes: DataFrame) -> DataFrame:
     use = steps.where("target.kind is not null and target.kind <> 'error'").select(
         F.col("owner_kind").alias("src_kind"), F.col("owner_id").alias("src"), "job_ord", "step_ord", F.lit(1).alias("tier"), F.lit("uses").alias("edge_kind"), F.col("target.kind").alias("dst_kind"), F.col("target.id").alias("dst"), "job_if", F.col("if").alias("step_if")
     )
-    note = notes.where("reason is null").select(
-        F.lit("workflow").alias("src_kind"), F.col("owner_id").alias("src"), F.coalesce("job_ord", F.lit(-1)).alias("job_ord"), F.coalesce("step_ord", F.lit(-1)).alias("step_ord"), F.lit(0).alias("tier"), F.col("verb").alias("edge_kind"), F.lit("local-workflow").alias("dst_kind"), F.col("target").alias("dst"), null.alias("job_if"), null.alias("step_if")
+    manifest = F.col("owner_id").rlike(r"(?:^|/)action\.ya?ml$")
+    note = notes.select(
+        F.when(manifest, "action").otherwise("workflow").alias("src_kind"), F.when(manifest, folder_of(F.col("owner_id"))).otherwise(F.col("owner_id")).alias("src"), F.coalesce("job_ord", F.lit(-1)).alias("job_ord"), F.coalesce("step_ord", F.lit(-1)).alias("step_ord"), F.lit(0).alias("tier"), F.col("verb").alias("edge_kind"), F.when(F.col("reason").isNull(), "local-workflow").otherwise("unresolved").alias("dst_kind"), F.col("target").alias("dst"), null.alias("job_if"), null.alias("step_if")
     )
     found = call.unionByName(use).unionByName(note).select(*cols)
     order = F.row_number().over(Window.partitionBy("src_kind", "src").orderBy("job_ord", "step_ord", "tier", "dst"))

@@ -1,3 +1,4 @@
+import re
 import json
 
 import pytest
@@ -98,3 +99,25 @@ def test_renderers(spark):
     assert render.markdown(df).splitlines()[2] == "| a\\|b | 1 |"
     assert render.text_table(df).splitlines()[2] == "漢"
     assert render.tree([(0, "r"), (1, "a"), (2, "b"), (1, "c")]) == "r\n├─ a\n│  └─ b\n└─ c"
+
+
+def test_targets_uses_and_globs(spark):
+    from pyspark.sql import functions as F
+
+    from flowloom.functions import text
+
+    def each(function, values):
+        return [r[0] for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v string").orderBy("k").select(function(F.col("v"))).collect()]
+
+    paths = ["././.github/workflows/a/x.yml", ".github/workflows/b.yaml/", "/.github/workflows/b.yml", ".github/workflows/b.txt", "sub/action"]
+    assert each(text.classify_target, paths) == ["workflow", "workflow", "action", "action", "action"]
+    uses = [" ./.github/workflows/a/x.yml", "$/tools/lint/", "./", "/abs/x@v1", "broken@v1", "owner/repo/sub@v1", "docker://alpine:3", None]
+    assert [(c["kind"], c["id"]) for c in each(estate.classified, uses)] == [
+        ("local-workflow", ".github/workflows/a/x.yml"), ("local-action", "tools/lint"), ("local-action", "."), ("external-action", "/abs/x"),
+        ("error", "broken"), ("external-action", "owner/repo/sub"), ("docker", "alpine:3"), (None, None),
+    ]
+    cases = {"vendor/*": "vendor/a/b/action.yml", "**/old/**": "x/old/y/action.yml", "a?b": "a/b", "{x,y}/[!a]*": "y/b/action.yml", "a,b": "a,b"}
+    assert all(re.search(estate.file_glob(g), p) for g, p in cases.items())
+    assert not re.search(estate.file_glob("vendor/*"), "my/vendor/x") and not re.search(estate.file_glob("{x,y}/[!a]*"), "y/a")
+    with pytest.raises(ValueError):
+        text.glob_to_regex("release[]")
