@@ -115,3 +115,15 @@ def expressions(text: Column) -> Column:
 def input_names(text: Column) -> Column:
     """The distinct names after ``inputs.`` inside expressions, sorted."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.array_join(expressions(text), "\n"), F.lit(r"inputs\.([A-Za-z0-9_-]+)"), F.lit(1))))
+
+
+def output_refs(text: Column, owner: str) -> Column:
+    """The distinct ``<owner>.<id>.outputs.<name>`` inside expressions, ``owner`` being needs or steps: an array of id and output, sorted."""
+    found = F.regexp_extract_all(F.array_join(expressions(text), "\n"), F.lit(rf"({owner}\.[A-Za-z0-9_-]+\.outputs\.[A-Za-z0-9_-]+)"), F.lit(1))
+    parts = lambda ref: F.split(ref, r"\.")
+    return F.array_sort(F.array_distinct(F.transform(found, lambda ref: F.struct(parts(ref)[1].alias("id"), parts(ref)[3].alias("output")))))
+
+
+def is_dynamic(text: Column, owner: str) -> Column:
+    """If an expression indexes inputs, needs or steps by a computed name (``needs[``)."""
+    return F.contains(F.array_join(expressions(text), "\n"), F.lit(f"{owner}["))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.functions.lineage import cut
 from flowloom.operators import graph
 
 # Kinds and weights, in the order in which they are added.
@@ -66,6 +67,18 @@ def clusters(pairs: DataFrame, features: DataFrame) -> DataFrame:
     return both.select(F.col("root").alias("representative"), F.col("node").alias("doc"), similarity("x", "y").alias("similarity"))
 
 
+def numbered(members: DataFrame) -> DataFrame:
+    """Members with ``cluster``, the place of their representative among all, from 0.
+
+    Representatives are dealt over tasks by range; only the sizes of the ranges meet in one task.
+    """
+    ranged = cut(members.select("representative").distinct().repartitionByRange("representative").withColumn("range", F.spark_partition_id()))
+    ahead = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    place = F.col("ahead") + F.row_number().over(Window.partitionBy("range").orderBy("representative")) - 1
+    return members.join(ranged.join(sizes, "range").select("representative", place.alias("cluster")), "representative")
+
+
 def uses_by_cluster(members: DataFrame, features: DataFrame) -> DataFrame:
     """Tokens of ``use`` in a cluster, and if all its documents have them."""
     sizes = members.groupBy("representative").agg(F.count(F.lit(1)).alias("size"))

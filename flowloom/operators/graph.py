@@ -15,7 +15,7 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     seen before, so cycles end and a node is expanded once. Works on ids that occur in
     edges only, too.
     """
-    edges = edges.select("src", F.col("dst").alias("node")).distinct()
+    edges = cut(edges.select("src", F.col("dst").alias("node")).distinct())
     seen = newest = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     while True:
         step = newest.select(F.col("node").alias("src"), "depth").join(edges, "src").groupBy("node").agg((F.first("depth") + 1).alias("depth"))
@@ -25,6 +25,18 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         seen = seen.unionByName(newest)
 
 
+def reached(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of a root (node) and what can be reached from it, itself included: root, node. Each pair is expanded once."""
+    edges = cut(edges.select("src", F.col("dst").alias("node")).distinct())
+    seen = newest = cut(roots.select(F.col("node").alias("root"), "node").distinct())
+    while True:
+        step = newest.withColumnRenamed("node", "src").join(edges, "src").select("root", "node").distinct()
+        newest = cut(step.join(seen, ["root", "node"], "left_anti"))
+        if newest.isEmpty():
+            return seen
+        seen = seen.unionByName(newest)
+
+
 def reversed_(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
@@ -51,6 +63,7 @@ def paths(edges: DataFrame, roots: DataFrame, carry: dict[str, tuple[Column, Col
     """
     carry = carry or {}
     names = list(carry)
+    edges = cut(edges)
     start = roots.select(
         F.col("node").alias("root"), "node", F.lit(0).alias("depth"), F.array("node").alias("path"), F.array(F.col("node").cast("long")).alias("sort_key"), F.lit(False).alias("is_cycle"), *[first.alias(n) for n, (first, _) in carry.items()]
     )

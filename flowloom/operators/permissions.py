@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.operators import graph
+from flowloom.sources.yaml_text import LINE
 
 # The scopes of a token.
 SCOPES = (
@@ -24,13 +25,54 @@ def effective(job: Column, workflow: Column) -> Column:
     return F.coalesce(job, workflow)
 
 
+def declared(declaration: Column) -> tuple[Column, Column]:
+    """The coarse word and the scopes of an estate's declaration (the text, or JSON of the map, of ``permissions``), as ``normalised`` takes them."""
+    is_map = declaration.startswith("{")
+    scopes = F.map_filter(F.from_json(declaration, "map<string,string>"), lambda scope, _: scope != LINE)
+    return F.when(~is_map, declaration), F.when(is_map, scopes)
+
+
+def problems(declaration: Column) -> Column:
+    """What is unknown in an estate's declaration, sorted: the coarse word, scopes, or levels."""
+    coarse, scopes = declared(declaration)
+    known = coarse.isin("read-all", "write-all")
+    name = F.filter(F.map_keys(scopes), lambda scope: ~scope.isin(*SCOPES))
+    level = F.filter(F.map_entries(scopes), lambda e: ~F.coalesce(e["value"].isin("read", "write", "none"), F.lit(False)))
+    odd = F.concat(F.transform(name, lambda scope: F.concat(F.lit("unknown scope "), scope)), F.transform(level, lambda e: F.concat(F.lit("unknown level of "), e["key"])))
+    return F.when(coarse.isNotNull() & ~known, F.array(F.concat(F.lit("unknown permissions "), coarse))).when(scopes.isNotNull(), F.array_sort(odd)).otherwise(F.array().cast("array<string>"))
+
+
+def entry_findings(workflows: DataFrame, jobs: DataFrame, triggers: DataFrame) -> DataFrame:
+    """Findings on an estate's entry workflows: kind, severity, wf_id, job_id (null: the workflow), jobs.
+
+    ``write-all`` on the workflow or a job is too broad; a workflow without a declaration
+    has the implicit default if some of its jobs, listed in their order, have none either.
+    """
+    entry = triggers.where("is_entry").select("wf_id").distinct()
+    flows = workflows.join(entry, "wf_id", "left_semi").select("wf_id", "permissions")
+    work = jobs.join(entry, "wf_id", "left_semi").select("wf_id", "job_ord", "job_id", "permissions")
+    null, none = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    broad = flows.select("wf_id", null.alias("job_id"), "permissions").unionByName(work.select("wf_id", "job_id", "permissions")).where("permissions = 'write-all'")
+    broad = broad.select(F.lit("OverlyBroad").alias("kind"), F.lit("high").alias("severity"), "wf_id", "job_id", none.alias("jobs"))
+    undeclared = work.where("permissions is null").join(flows.where("permissions is null").select("wf_id"), "wf_id", "left_semi")
+    listed = undeclared.groupBy("wf_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("job_ord", "job_id"))), lambda j: j["job_id"]).alias("jobs"))
+    return broad.unionByName(listed.select(F.lit("ImplicitDefault").alias("kind"), F.lit("medium").alias("severity"), "wf_id", null.alias("job_id"), "jobs"))
+
+
+def packed(levels: Column) -> Column:
+    """Levels as bits, 00, 01 or 11 a scope, so that the lower levels of two sets are their AND; null stays null."""
+    bits = lambda level: F.when(level == 2, 3).when(level == 1, 1).otherwise(0).cast("long")
+    return F.aggregate(levels, F.lit(0).cast("long"), lambda all_, level: F.shiftleft(all_, 2).bitwiseOR(bits(level)))
+
+
 def capped(cap: Column, layer: Column) -> Column:
-    """The lower level of each scope; an undeclared layer leaves the cap."""
-    return F.when(layer.isNull(), cap).otherwise(F.zip_with(cap, layer, lambda a, b: F.least(a, b)))
+    """The lower level of each scope of packed sets; an undeclared layer leaves the cap."""
+    return cap.bitwiseAND(F.coalesce(layer, F.lit(-1).cast("long")))
 
 
-def exceeds(declared: Column, cap: Column) -> Column:
-    return F.coalesce(F.exists(F.arrays_zip(declared.alias("d"), cap.alias("c")), lambda z: z["d"] > z["c"]), F.lit(False))
+def exceeds(declaration: Column, cap: Column) -> Column:
+    """If a packed set has a higher level than the cap in some scope."""
+    return F.coalesce(declaration.bitwiseAND(F.bitwise_not(cap)) != 0, F.lit(False))
 
 
 def escalations(calls: DataFrame, entries: DataFrame) -> DataFrame:
@@ -40,7 +82,8 @@ def escalations(calls: DataFrame, entries: DataFrame) -> DataFrame:
     without a known cap are skipped. What is compared is the callee's effective level;
     what is passed on is the lower of both its layers.
     """
-    known = entries.where("cap is not null")
+    known = entries.where("cap is not null").select("node", packed(F.col("cap")).alias("cap"))
+    calls = calls.select("src", "dst", "ord", packed(F.col("wf")).alias("wf"), packed(F.col("job")).alias("job"))
     carried = {
         "cap": (F.col("cap"), capped(capped(F.col("cap"), F.col("wf")), F.col("job"))),
         "violated": (F.lit(False), exceeds(effective(F.col("job"), F.col("wf")), F.col("cap"))),

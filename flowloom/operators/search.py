@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def scored(nodes: DataFrame, query: str) -> DataFrame:
-    """Nodes (id, label, text) in which every word of the query occurs, with a score.
+def scored(nodes: DataFrame, query: str, kind: str | None = None) -> DataFrame:
+    """Nodes (id, label, text; of the ``kind``, if one is given) in which every word of the query occurs, with a score.
 
     Each word gives 256 less the byte offset of its first place, at least 1; a label that
     equals the query gives 1000 more.
     """
     words = query.lower().split()
+    if kind is not None:
+        nodes = nodes.where(F.col("kind") == kind)
     low = nodes.select("id", "label", F.lower("text").alias("low"))
     if not words:
         return low.select("id", "label", F.lit(0).cast("long").alias("score")).limit(0)

@@ -269,7 +269,7 @@ SELECT origin AS node, count(*) - 1 AS callers_above, max(CASE WHEN node < 10 TH
 def enrich_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each finding's node what lies above it, in one pass over all findings."""
     start = found_at(spark, sf_dir)
-    above = graph.paths(graph.reversed_(heap(spark, sf_dir)).withColumn("ord", F.col("dst")), start).where("not is_cycle").select("root", "node").distinct()
+    above = graph.reached(graph.reversed_(heap(spark, sf_dir)), start)
     return above.groupBy(F.col("root").alias("node")).agg((F.count(F.lit(1)) - 1).alias("callers_above"), F.max(F.when(F.col("node") < 10, F.col("node"))).alias("entry"))
 
 

@@ -41,3 +41,14 @@ def tree(rows: Sequence[tuple[int, str]]) -> str:
         more[depth:] = [later]
         out.append(label if not depth else "".join("│  " if m else "   " for m in more[1:depth]) + ("├─ " if later else "└─ ") + label)
     return "\n".join(out)
+
+
+def nested(rows: Iterable[tuple[int, dict]]) -> list[dict]:
+    """(depth, fields) rows in depth-first order as nested objects, each with its ``children``."""
+    top: list[dict] = []
+    open_: list[dict] = []
+    for depth, fields in rows:
+        node = {**fields, "children": []}
+        (open_[depth - 1]["children"] if depth else top).append(node)
+        open_[depth:] = [node]
+    return top

@@ -14,6 +14,11 @@ def stale_files(before: DataFrame, now: DataFrame) -> DataFrame:
     return now.select("file").join(same, "file", "left_anti")
 
 
+def has_deleted(before: DataFrame, now: DataFrame) -> bool:
+    """If some cached file is gone: the cached files are no subset of those of ``now``."""
+    return not before.select("file").join(now.select("file"), "file", "left_anti").isEmpty()
+
+
 def merge(cached: DataFrame, before: DataFrame, now: DataFrame, parse: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Cached rows of unchanged files and freshly parsed rows of stale ones, with their origin; rows of deleted files go."""
     stale = stale_files(before, now)
