@@ -57,15 +57,16 @@ def paths(edges: DataFrame, roots: DataFrame, carry: dict[str, tuple[Column, Col
     """Every path from ``roots`` (node) in depth-first order, an edge that closes a cycle being a leaf.
 
     ``edges``: src, dst, ord and whatever ``carry`` reads. Gives root, node, depth, path, sort_key
-    (arrays compare as depth-first order does), is_cycle, and for each name in ``carry`` a
+    (arrays compare as depth-first order does; nodes that are texts within one root), is_cycle, and for each name in ``carry`` a
     value: its first expression on roots, its second one (over the edge and the value
     before) on each step.
     """
     carry = carry or {}
     names = list(carry)
     edges = cut(edges)
+    first_key = F.lit(0).cast("long") if dict(roots.dtypes)["node"] == "string" else F.col("node").cast("long")
     start = roots.select(
-        F.col("node").alias("root"), "node", F.lit(0).alias("depth"), F.array("node").alias("path"), F.array(F.col("node").cast("long")).alias("sort_key"), F.lit(False).alias("is_cycle"), *[first.alias(n) for n, (first, _) in carry.items()]
+        F.col("node").alias("root"), "node", F.lit(0).alias("depth"), F.array("node").alias("path"), F.array(first_key).alias("sort_key"), F.lit(False).alias("is_cycle"), *[first.alias(n) for n, (first, _) in carry.items()]
     )
     found = level = cut(start)
     while True:

@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from flowloom.operators import graph
 
-HOPS = "array<struct<caller:bigint,mode:string,map:map<string,string>>>"
-
-
-def traced(hops: Column, name: Column) -> Column:
+def traced(hops: Column, name: Column, node_type: str = "bigint") -> Column:
     """Follow a secret from the callee back to the entry over ``hops`` (an array of caller, mode, map; nearest the entry first).
 
     Gives a struct: want (the name last looked for), dropped_at (the caller nearest the
@@ -18,8 +15,8 @@ def traced(hops: Column, name: Column) -> Column:
     name; a map must have it (as declared at the callee, in any case for a followed
     source) and hands on the name it names, or delivers if its value is no single secret.
     """
-    kind = "struct<want:string,exact:boolean,dropped_at:bigint,done:boolean>"
-    start = F.struct(name.alias("want"), F.lit(True).alias("exact"), F.lit(None).cast("bigint").alias("dropped_at"), F.lit(False).alias("done")).cast(kind)
+    kind = f"struct<want:string,exact:boolean,dropped_at:{node_type},done:boolean>"
+    start = F.struct(name.alias("want"), F.lit(True).alias("exact"), F.lit(None).cast(node_type).alias("dropped_at"), F.lit(False).alias("done")).cast(kind)
 
     def step(acc: Column, hop: Column) -> Column:
         value = F.try_element_at(F.filter(F.map_entries(hop["map"]), lambda e: F.when(acc["exact"], e["key"] == acc["want"]).otherwise(F.lower(e["key"]) == F.lower(acc["want"]))), F.lit(1))["value"]
@@ -28,8 +25,8 @@ def traced(hops: Column, name: Column) -> Column:
         new = (
             F.when(acc["done"] | (hop["mode"] == "inherit"), acc)
             .when((hop["mode"] != "explicit") | value.isNull(), F.struct(acc["want"].alias("want"), acc["exact"].alias("exact"), hop["caller"].alias("dropped_at"), F.lit(True).alias("done")))
-            .when(ends, F.struct(acc["want"].alias("want"), acc["exact"].alias("exact"), F.lit(None).cast("bigint").alias("dropped_at"), F.lit(True).alias("done")))
-            .otherwise(F.struct(source.alias("want"), F.lit(False).alias("exact"), F.lit(None).cast("bigint").alias("dropped_at"), F.lit(False).alias("done")))
+            .when(ends, F.struct(acc["want"].alias("want"), acc["exact"].alias("exact"), F.lit(None).cast(node_type).alias("dropped_at"), F.lit(True).alias("done")))
+            .otherwise(F.struct(source.alias("want"), F.lit(False).alias("exact"), F.lit(None).cast(node_type).alias("dropped_at"), F.lit(False).alias("done")))
         )
         return new.cast(kind)
 
@@ -41,9 +38,10 @@ def lost(calls: DataFrame, entries: DataFrame, required: DataFrame) -> DataFrame
 
     ``calls``: src, dst, ord, mode, map; ``required``: node, secret.
     """
-    hop = F.struct(F.element_at("path", -1).cast("bigint").alias("caller"), F.col("mode"), F.col("map"))
-    found = graph.paths(calls, entries, {"hops": (F.array().cast(HOPS), F.concat("hops", F.array(hop)))}).where("depth > 0 and not is_cycle")
-    ended = found.join(required, "node").withColumn("t", traced(F.col("hops"), F.col("secret")))
+    node = calls.schema["src"].dataType.simpleString()
+    hop = F.struct(F.element_at("path", -1).cast(node).alias("caller"), F.col("mode"), F.col("map"))
+    found = graph.paths(calls, entries, {"hops": (F.array().cast(f"array<struct<caller:{node},mode:string,map:map<string,string>>>"), F.concat("hops", F.array(hop)))}).where("depth > 0 and not is_cycle")
+    ended = found.join(required, "node").withColumn("t", traced(F.col("hops"), F.col("secret"), node))
     kind = F.when(F.col("depth") == 1, "MissingSecretPropagation").otherwise("SecretsInheritChainBreak")
     return ended.where("t.dropped_at is not null").select(F.col("root").alias("entry"), F.col("node").alias("callee"), "secret", "depth", F.col("t.dropped_at").alias("dropped_at"), kind.alias("kind")).distinct()
 

@@ -22,12 +22,12 @@ from flowloom.sources.yaml_text import LINE, to_json
 PRUNED = (".git", "target", "node_modules")
 PREFIX = "flowloom"
 
-STEP = f"id string, name string, uses string, run string, `if` string, `with` map<string,string>, env map<string,string>, shell string, `{LINE}` int"
+STEP = f"id string, name string, uses string, run string, `if` string, `with` map<string,string>, env map<string,string>, shell string, `continue-on-error` string, `timeout-minutes` string, `working-directory` string, `{LINE}` int"
 JOB = f"""name string, needs string, `runs-on` string, `if` string, uses string, `with` map<string,string>, secrets string, permissions string, outputs map<string,string>,
- env map<string,string>, environment string, strategy string, `{LINE}` int, steps array<struct<{STEP}>>"""
-BODY = """branches string, `branches-ignore` string, tags string, `tags-ignore` string, paths string, `paths-ignore` string, types string, workflows string, cron string,
+ env map<string,string>, environment string, strategy string, concurrency string, defaults string, container string, services string, `{LINE}` int, steps array<struct<{STEP}>>"""
+BODY = """branches string, `branches-ignore` string, tags string, `tags-ignore` string, paths string, `paths-ignore` string, types string, workflows string,
  inputs map<string,string>, outputs map<string,string>, secrets map<string,string>"""
-WORKFLOW = f"""name string, `run-name` string, permissions string, env map<string,string>, concurrency string, `on` array<struct<event:string,body:string>>,
+WORKFLOW = f"""name string, `run-name` string, permissions string, env map<string,string>, concurrency string, defaults string, `on` array<struct<event:string,body:string>>,
  jobs array<struct<id:string,body:struct<{JOB}>>>, __texts__ array<array<int>>, `{LINE}` int"""
 ACTION = f"name string, inputs map<string,string>, outputs map<string,string>, runs struct<`using`: string, steps: array<struct<{STEP}>>>, __texts__ array<array<int>>, `{LINE}` int"
 
@@ -110,6 +110,11 @@ def strings(json: Column) -> Column:
     return F.when(json.isNull(), None).when(json.startswith("["), listed).otherwise(F.array(json))
 
 
+def plain(mapping: Column) -> Column:
+    """A map of a document without its line number."""
+    return F.map_filter(mapping, lambda name, _: name != LINE)
+
+
 def ref_filter(body: str, what: str) -> Column:
     """What a trigger includes or excludes: a struct of kind and patterns; including comes first."""
     yes, no = strings(F.col(f"{body}.{what}")), strings(F.col(f"{body}.`{what}-ignore`"))
@@ -151,38 +156,42 @@ def load(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), prefix:
     docs = parsed(scan(spark, root, exclude)).cache()
     flows = docs.where("kind = 'workflow' and doc is not null").select("path", F.from_json("doc", WORKFLOW).alias("d"))
     acts = docs.where("kind = 'action' and doc is not null").select("path", F.from_json("doc", ACTION).alias("d"))
-    workflows = flows.select(F.col("path").alias("wf_id"), "d.name", F.col("d.`run-name`").alias("run_name"), "d.permissions", "d.env")
+    workflows = flows.select(F.col("path").alias("wf_id"), "d.name", F.col("d.`run-name`").alias("run_name"), "d.permissions", plain(F.col("d.env")).alias("env"), "d.concurrency", "d.defaults")
     triggers = flows.select(F.col("path").alias("wf_id"), F.posexplode("d.on").alias("trig_ord", "t"))
-    triggers = triggers.select("wf_id", "trig_ord", F.col("t.event").alias("event"), F.from_json("t.body", BODY).alias("b"))
+    triggers = triggers.select("wf_id", "trig_ord", F.col("t.event").alias("event"), F.from_json("t.body", BODY).alias("b"), F.from_json("t.body", "array<struct<cron:string>>")["cron"].alias("crons"))
     triggers = triggers.select(
         "wf_id", "trig_ord", "event", strings(F.col("b.types")).alias("types"), *[ref_filter("b", w).alias(w) for w in ("branches", "tags", "paths")],
-        strings(F.col("b.workflows")).alias("upstream"), "b.inputs", "b.outputs", "b.secrets", (F.col("event") != "workflow_call").alias("is_entry"),
+        strings(F.col("b.workflows")).alias("upstream"), *[plain(F.col(f"b.{w}")).alias(w) for w in ("inputs", "outputs", "secrets")], F.when(F.col("event") == "schedule", F.col("crons")).alias("crons"), (F.col("event") != "workflow_call").alias("is_entry"),
     )
     jobs = flows.select(F.col("path").alias("wf_id"), F.posexplode("d.jobs").alias("job_ord", "j"))
-    jobs = jobs.select("wf_id", "job_ord", F.col("j.id").alias("job_id"), "j.body.*").withColumnRenamed(LINE, "line").withColumn("call", classified(F.col("uses"), job_level=True))
+    jobs = jobs.select("wf_id", "job_ord", F.col("j.id").alias("job_id"), "j.body.*").withColumnRenamed(LINE, "line").withColumns({w: plain(F.col(w)) for w in ("with", "outputs", "env")}).withColumn("call", classified(F.col("uses"), job_level=True))
     in_jobs = jobs.select(F.lit("workflow").alias("owner_kind"), F.col("wf_id").alias("owner_id"), "job_ord", "job_id", F.col("if").alias("job_if"), F.posexplode("steps").alias("step_ord", "s"))
     kind = F.when(F.col("d.runs.using") == "composite", "composite").when(F.col("d.runs.using").startswith("node"), "node").when(F.col("d.runs.using") == "docker", "docker")
-    actions = acts.select(folder_of(F.col("path")).alias("act_id"), F.col("path").alias("file"), "d.name", kind.alias("kind"), "d.inputs", "d.outputs", F.col("d.runs.steps").alias("steps"))
+    actions = acts.select(folder_of(F.col("path")).alias("act_id"), F.col("path").alias("file"), "d.name", kind.alias("kind"), plain(F.col("d.inputs")).alias("inputs"), plain(F.col("d.outputs")).alias("outputs"), F.col("d.runs.steps").alias("steps"))
     composite = actions.where("kind = 'composite'").select(F.lit("action").alias("owner_kind"), F.col("act_id").alias("owner_id"), F.lit(0).alias("job_ord"), F.lit(None).cast("string").alias("job_id"), F.lit(None).cast("string").alias("job_if"), F.posexplode("steps").alias("step_ord", "s"))
-    steps = in_jobs.unionByName(composite).select("owner_kind", "owner_id", "job_ord", "job_id", "job_if", "step_ord", "s.*").withColumnRenamed(LINE, "line").withColumn("target", classified(F.col("uses")))
+    steps = in_jobs.unionByName(composite).select("owner_kind", "owner_id", "job_ord", "job_id", "job_if", "step_ord", "s.*").withColumnRenamed(LINE, "line").withColumns({w: plain(F.col(w)) for w in ("with", "env")}).withColumn("target", classified(F.col("uses")))
     actions = actions.where("kind is not null").drop("steps")
     broken = docs.where("problem is not null").select(F.col("path").alias("file"), F.lit(1).alias("line"), F.col("problem").alias("message"))
     odd = acts.where("d.runs.using is null or not (d.runs.using in ('composite', 'docker') or startswith(d.runs.using, 'node'))")
     odd = odd.select(F.col("path").alias("file"), F.lit(1).alias("line"), F.lit("unknown kind of action").alias("message"))
     bare = jobs.where("`runs-on` is null and uses is null").select(F.col("wf_id").alias("file"), "line", F.concat(F.lit("no runs-on in job "), "job_id").alias("message"))
     wrong = steps.where("target.kind = 'error'").select(F.col("owner_id").alias("file"), "line", F.concat(F.lit("no ref in uses "), "uses").alias("message"))
-    notes = annotations(docs, jobs, steps, prefix)
-    return Estate(workflows, triggers, jobs.drop("steps"), actions, steps, notes, edges(jobs, steps, notes), broken.union(odd).union(bare).union(wrong))
+    notes = annotations(docs, jobs, steps, actions, prefix)
+    late = notes.where("job_ord is null").select(F.col("owner_id").alias("file"), "line", F.lit("no job or step below the annotation").alias("message"))
+    dangling = notes.where("reason is not null").select(F.col("owner_id").alias("file"), "line", F.concat(F.lit("annotation leads nowhere: "), "reason").alias("message"))
+    return Estate(workflows, triggers, jobs.drop("steps"), actions, steps, notes, edges(jobs, steps, notes), broken.union(odd).union(bare).union(wrong).union(late).union(dangling))
 
 
-def annotations(docs: DataFrame, jobs: DataFrame, steps: DataFrame, prefix: str) -> DataFrame:
+def annotations(docs: DataFrame, jobs: DataFrame, steps: DataFrame, actions: DataFrame, prefix: str) -> DataFrame:
     """Comments ``# <prefix>:<verb> <path>`` outside texts, at the next job or step below: file, line, verb, target, reason, job_ord, step_ord."""
     known = docs.where("doc is not null").select("path", "content", F.from_json("doc", "__texts__ array<array<int>>").alias("t"))
     lines = known.select("path", F.posexplode(F.split("content", "\n")).alias("p", "l")).where(F.col("l").rlike(rf"^\s*#\s*{prefix}:\S+"))
-    parts = lines.select("path", (F.col("p") + 1).alias("line"), F.regexp_extract("l", rf"#\s*{prefix}:(\S+)\s*(\S*)", 1).alias("verb"), F.regexp_extract("l", rf"#\s*{prefix}:(\S+)\s*(\S*)", 2).alias("target"))
+    parts = lines.select("path", (F.col("p") + 1).alias("line"), F.regexp_extract("l", rf"#\s*{prefix}:(\S+)\s*(\S*)", 1).alias("verb"), F.regexp_replace(F.regexp_extract("l", rf"#\s*{prefix}:(\S+)\s*(\S*)", 2), "(?<=.)/+$", "").alias("target"))
     ranges = known.select("path", F.explode("t.__texts__").alias("r")).select("path", F.col("r")[0].alias("lo"), F.col("r")[1].alias("hi"))
     free = joins.outside_ranges(parts, ranges, "path", "line", "lo", "hi")
     nodes = jobs.select(F.col("wf_id").alias("path"), "line", "job_ord", F.lit(-1).alias("step_ord")).unionByName(steps.where("owner_kind = 'workflow'").select(F.col("owner_id").alias("path"), "line", "job_ord", "step_ord"))
+    inside = steps.where("owner_kind = 'action'").join(actions.select(F.col("act_id").alias("owner_id"), "file"), "owner_id")
+    nodes = nodes.unionByName(inside.select(F.col("file").alias("path"), "line", "job_ord", "step_ord"))
     nodes = nodes.withColumn("node", F.struct("job_ord", "step_ord"))
     numbered = free.withColumn("note", F.col("line").cast("long"))
     at = joins.asof_forward(numbered, nodes, "path", "line", "note", "node").select("path", "line", "node")
@@ -210,8 +219,9 @@ def edges(jobs: DataFrame, steps: DataFrame, notes: DataFrame) -> DataFrame:
         F.col("owner_kind").alias("src_kind"), F.col("owner_id").alias("src"), "job_ord", "step_ord", F.lit(1).alias("tier"), F.lit("uses").alias("edge_kind"), F.col("target.kind").alias("dst_kind"), F.col("target.id").alias("dst"), "job_if", F.col("if").alias("step_if")
     )
     manifest = F.col("owner_id").rlike(r"(?:^|/)action\.ya?ml$")
-    note = notes.select(
-        F.when(manifest, "action").otherwise("workflow").alias("src_kind"), F.when(manifest, folder_of(F.col("owner_id"))).otherwise(F.col("owner_id")).alias("src"), F.coalesce("job_ord", F.lit(-1)).alias("job_ord"), F.coalesce("step_ord", F.lit(-1)).alias("step_ord"), F.lit(0).alias("tier"), F.col("verb").alias("edge_kind"), F.when(F.col("reason").isNull(), "local-workflow").otherwise("unresolved").alias("dst_kind"), F.col("target").alias("dst"), null.alias("job_if"), null.alias("step_if")
+    guards = steps.where("owner_kind = 'workflow'").select("owner_id", "job_ord", "step_ord", F.col("job_if").alias("note_job_if"), F.col("if").alias("note_if"))
+    note = notes.join(guards, ["owner_id", "job_ord", "step_ord"], "left").select(
+        F.when(manifest, "action").otherwise("workflow").alias("src_kind"), F.when(manifest, folder_of(F.col("owner_id"))).otherwise(F.col("owner_id")).alias("src"), F.coalesce("job_ord", F.lit(-1)).alias("job_ord"), F.coalesce("step_ord", F.lit(-1)).alias("step_ord"), F.lit(0).alias("tier"), F.col("verb").alias("edge_kind"), F.when(F.col("reason").isNull(), "local-workflow").otherwise("unresolved").alias("dst_kind"), F.col("target").alias("dst"), F.col("note_job_if").alias("job_if"), F.col("note_if").alias("step_if")
     )
     found = call.unionByName(use).unionByName(note).select(*cols)
     order = F.row_number().over(Window.partitionBy("src_kind", "src").orderBy("job_ord", "step_ord", "tier", "dst"))

@@ -28,7 +28,7 @@ def _loader():
 
 def to_json(content: str, path: str) -> tuple[str | None, str | None]:
     """(JSON, None), or (None, what is wrong). Mappings carry their line; ``on`` and ``jobs`` become
-    lists, as their order matters: {event, body} and {id, body}. The document also gets ``__texts__``: the
+    lists, as their order matters: {event, body} and {id, body}; a job's line is that of its name. The document also gets ``__texts__``: the
     half-open line ranges of its multi-line texts."""
     yaml, core = _loader()
     try:
@@ -61,6 +61,8 @@ def to_json(content: str, path: str) -> tuple[str | None, str | None]:
     elif triggers is not None:
         out["on"] = [{"event": str(e), "body": None} for e in (triggers if isinstance(triggers, list) else [triggers])]
     if isinstance(out.get("jobs"), dict):
-        out["jobs"] = [{"id": k, "body": v} for k, v in out["jobs"].items() if k != LINE and isinstance(v, dict)]
+        jobs = next(v for k, v in reversed(root.value) if k.value == "jobs")
+        names = {k.value: k.start_mark.line + 1 for k, _ in jobs.value if isinstance(k, yaml.ScalarNode)}
+        out["jobs"] = [{"id": k, "body": v | {LINE: names[k]}} for k, v in out["jobs"].items() if k != LINE and isinstance(v, dict)]
     out["__texts__"] = texts
     return json.dumps(out, ensure_ascii=False, default=str), None
