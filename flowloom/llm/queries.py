@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import decontam, html, jaccard, licences, media, mixing, quality, tokens, toxicity, urls
+from flowloom.llm import decontam, divergence, html, jaccard, licences, media, mixing, quality, tokens, toxicity, urls, warc, whitening
 from flowloom.llm.common import table
 
 #: The chain's order. The table of ratings has one toxicity category; the quality rating goes before it, as "unfit".
@@ -80,6 +80,20 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors)
+    return whitening.components_of(whitening.whiten(vectors, model), model)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality_classifier": op2_quality_classifier,
@@ -91,6 +105,9 @@ QUERIES = {
     "op8_licence_scans": op8_licence_scans,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_media_columns": op10_media_columns,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_warc": op13_warc,
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -120,7 +137,17 @@ r AS (SELECT rid AS node, rid AS other FROM d UNION SELECT node, b FROM r JOIN e
 low AS (SELECT node, min(doc_id) AS component_id FROM r JOIN d ON rid = other GROUP BY node)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (rid) JOIN low ON node = rid"""
 
+#: Five hexadecimal digits of the digest are four base32 ones.
+OP13_SQL = """WITH p AS (SELECT row_number() OVER () AS rid, page_id, coalesce(html, '') AS payload FROM pages),
+s AS (SELECT rid, page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS n, sha1(payload) AS h FROM p),
+b AS (SELECT rid, page_id, n, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+ CAST(1 + ((CAST('0x' || substr(h, CAST(5 * (k // 4) + 1 AS INTEGER), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31) AS INTEGER), 1)), '') AS digest FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY page_id NULLS LAST, rid) AS k, first_value(page_id) OVER (PARTITION BY digest ORDER BY page_id NULLS LAST, rid) AS first FROM b)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN first END AS refers_to FROM r"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_source_divergence": divergence.SQL,
+    "op13_warc": OP13_SQL,
     "op4_benchmark_decontamination": OP4_SQL,
     "op9_ngram_jaccard_join": OP9_SQL,
     "op6_url_filters": urls.SQL,
