@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as pads
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
@@ -29,7 +30,7 @@ from flowloom.llm import common
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 SCALE = 1_000_000_000
 #: Terms and sources that a task holds before it spills them; bytes of a text that are looked through at a time.
-HELD, PIECE = 400_000, 1 << 20
+HELD, PIECE = 600_000, 1 << 20
 #: Ranks of the terms of a group.
 TOP = 200
 
@@ -56,15 +57,22 @@ def stripes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
     kind = pa.list_(pa.struct([("source", pa.string()), ("docs", pa.int64()), ("count", pa.int64())]))
 
     def spilled(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
-        found = defaultdict(list)
-        for (lang, source), (in_docs, counts) in held.items():
-            for term, n in in_docs.items():
-                found[lang, term].append((source, n, counts[term]))
-        keys = list(found)
-        for at in range(0, len(keys), 20_000):
-            part = keys[at : at + 20_000]
-            entries = pa.array([[dict(zip(("source", "docs", "count"), e)) for e in found[k]] for k in part], kind)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part], pa.string()), pa.array([k[1].decode() for k in part], pa.string()), entries], ["lang", "term", "entries"])
+        langs = defaultdict(list)
+        for (lang, source), found in held.items():
+            langs[lang].append((source, *found))
+        for lang, groups in langs.items():
+            ids: dict[bytes, int] = {}
+            term = np.array([ids.setdefault(t, len(ids)) for _, in_docs, _ in groups for t in in_docs])
+            docs = np.array([n for _, in_docs, _ in groups for n in in_docs.values()])
+            count = np.array([counts[t] for _, in_docs, counts in groups for t in in_docs])
+            order = np.argsort(term, kind="stable")
+            source = pa.array([g[0] for g in groups], pa.string()).take(pa.array(np.repeat(np.arange(len(groups)), [len(g[1]) for g in groups])[order]))
+            flat = pa.StructArray.from_arrays([source, pa.array(docs[order], pa.int64()), pa.array(count[order], pa.int64())], fields=list(kind.value_type))
+            ends = np.append(0, np.cumsum(np.bincount(term, minlength=len(ids)))).astype(np.int32)
+            entries = pa.ListArray.from_arrays(pa.array(ends), flat)
+            whole = pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(ids)), pa.array(list(ids), pa.binary()).cast(pa.string()), entries], ["lang", "term", "entries"])
+            for at in range(0, len(ids), 50_000):
+                yield whole.slice(at, 50_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
@@ -145,35 +153,41 @@ def parts_of(merged: DataFrame, totals_path: str, top: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, best = Groups(totals_path), defaultdict(list)
+        groups, best, least = Groups(totals_path), defaultdict(list), defaultdict(int)
         both, levels = defaultdict(int), Counter()
         for batch in batches:
-            langs = defaultdict(list)
-            for row in batch.to_pylist():
-                if row["term"]:
-                    langs[row["lang"]].append(row)
-            for lang, rows in langs.items():
+            langs, texts, lists = batch.column("lang").dictionary_encode(), batch.column("term"), batch.column("entries")
+            flat, row = lists.flatten(), np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            sources, counts = flat.field("source").dictionary_encode(), flat.field("count").to_numpy(zero_copy_only=False)
+            of = np.where(pc.not_equal(texts, "").to_numpy(zero_copy_only=False), langs.indices.to_numpy(zero_copy_only=False), -1)[row]
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
+                mine = of == k
+                if not mine.any():
+                    continue
                 index, names, sizes, n_terms = groups[lang]
-                flat = [(t, index[e["source"]], e["count"]) for t, row in enumerate(rows) for e in row["entries"]]
-                term, source, count = (np.array(c, np.int64) for c in zip(*flat))
+                source = np.array([index.get(s, -1) for s in sources.dictionary.to_pylist()])[sources.indices.to_numpy(zero_copy_only=False)[mine]]
+                rows, term = np.unique(row[mine], return_inverse=True)
+                count = counts[mine]
                 p = share(count, sizes[source])
                 # Terms against the language: the sum of N over sources plus V once.
                 all_counts = np.zeros(len(rows), np.int64)
                 np.add.at(all_counts, term, count)
                 q = share(all_counts, np.int64(int((sizes - n_terms).sum()) + n_terms))[term]
-                f, over = diverge(p, q), np.flatnonzero(p > q)
-                for k in over:
-                    best[lang, int(source[k])].append((-int(f[k]), rows[term[k]]["term"]))
-                for key in {(lang, int(s)) for s in np.unique(source[over])}:
+                f = diverge(p, q)
+                worth = (p > q) & (f >= np.array([least[lang, s] for s in range(len(names))])[source])
+                for e in np.flatnonzero(worth):
+                    best[lang, int(source[e])].append((-int(f[e]), texts[int(rows[term[e]])].as_py()))
+                for key in {(lang, int(s)) for s in np.unique(source[worth])}:
                     if len(best[key]) > 4 * top:
                         best[key] = sorted(best[key])[:top]
+                        least[key] = -best[key][-1][0]
                 # How many terms have which count.
                 pairs, n = np.unique(np.stack([source, count]), axis=1, return_counts=True)
                 for s, c, k in zip(*pairs.tolist(), n.tolist()):
                     levels[lang, s, c] += k
                 # Terms of two sources, terms with equally many sources at a time.
                 none = share(np.zeros(len(sizes), np.int64), sizes)
-                width = np.bincount(term, minlength=len(rows))
+                width = np.bincount(term)
                 starts = np.cumsum(width) - width
                 for w in np.unique(width[width > 1]).tolist():
                     step = max(1, 2_000_000 // (w * w))
