@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions import text
-from flowloom.operators import graph, joins, permissions
+from flowloom.operators import graph, joins, permissions, triggers
 from flowloom.operators import secrets as propagation
 from flowloom.sources.estate import Estate, plain
 
@@ -26,9 +26,10 @@ def named(kind: Column | str, name: Column | str) -> Column:
 def linked(edges: DataFrame) -> DataFrame:
     """All edges with named ends (src, dst), ord and the guard of those from a workflow's calls and steps."""
     kind = F.when(F.col("dst_kind").startswith("local-"), F.substring("dst_kind", 7, 20)).otherwise(F.col("dst_kind"))
+    name = F.concat("dst", F.coalesce(F.concat(F.lit("@"), "dst_ref"), F.lit("")))
     guard = F.when(F.col("src_kind") == "workflow", graph.guard(F.col("job_if"), F.col("step_if")))
     return edges.select(
-        named("src_kind", "src").alias("src"), named(kind, "dst").alias("dst"), F.col("edge_ord").alias("ord"), "edge_kind", guard.alias("guard"), "src_kind", "dst_kind", "job_ord", "step_ord", "tier"
+        named("src_kind", "src").alias("src"), named(kind, name).alias("dst"), F.col("edge_ord").alias("ord"), "edge_kind", guard.alias("guard"), "src_kind", "dst_kind", "job_ord", "step_ord", "tier"
     )
 
 
@@ -93,18 +94,35 @@ def impact(estate: Estate, files: DataFrame, path: str = "path") -> DataFrame:
     return flows.unionByName(acts).join(hit, "node", "left_semi").drop("node")
 
 
-def trace(estate: Estate, event: str | None = None) -> DataFrame:
-    """What the entry workflows of an event (of any, if None) start, depth first: root, pos, depth, node, edge_kind, guard, is_cycle.
+def started(estate: Estate, event: str | None = None, types: list[str] = (), branches: list[str] = (), tags: list[str] = (), paths: list[str] = ()) -> DataFrame:
+    """The entry workflows that an event (any, if None) starts, each by its first trigger that lets it through: node, trig_ord, event, types_kind, types, types_line.
+
+    Of ``types``, ``branches``, ``tags`` and ``paths`` one must pass in each list that isn't
+    empty. Types not declared are the event's default ones; malformed patterns match
+    nothing and are among the diagnostics.
+    """
+    passes = F.col("is_entry") & triggers.accepts_refs(list(branches), list(tags), list(paths))
+    if event is not None:
+        passes = passes & (F.col("event") == event)
+    if types:
+        passes = passes & triggers.accepts_activity(F.col("types"), triggers.default_types(F.col("event")), list(types))
+    first = triggers.first_match(estate.triggers, passes)
+    how = [triggers.types_kind(F.col("types"), F.col("event")).alias("types_kind"), F.coalesce("types", triggers.default_types(F.col("event"))).alias("types"), triggers.types_line(F.col("types"), F.col("event")).alias("types_line")]
+    return first.select(named(F.lit("workflow"), "wf_id").alias("node"), "trig_ord", "event", *how)
+
+
+def trace(estate: Estate, event: str | None = None, types: list[str] = (), branches: list[str] = (), tags: list[str] = (), paths: list[str] = ()) -> DataFrame:
+    """What the entry workflows that ``started`` gives start, depth first: root, pos, depth, node, edge_kind, guard, is_cycle, types_line (on roots).
 
     Nodes that several ways lead to stand at each; what isn't in the estate is a leaf.
     """
-    roots = estate.triggers.where("is_entry" if event is None else F.col("event") == event).select(named(F.lit("workflow"), "wf_id").alias("node")).distinct()
+    roots = started(estate, event, types, branches, tags, paths)
     null = F.lit(None).cast("string")
     edges = linked(estate.edges).select("src", "dst", "ord", F.col("edge_kind").alias("via"), F.col("guard").alias("when"))
-    carry = {"edge_kind": (null, F.col("via")), "guard": (null, F.col("when"))}
+    carry = {"edge_kind": (null, F.col("via")), "guard": (null, F.col("when")), "types_line": (F.col("types_line"), null)}
     found = graph.paths(edges, roots, carry)
     pos = F.row_number().over(Window.partitionBy("root").orderBy("sort_key"))
-    return found.select("root", pos.alias("pos"), "depth", "node", "edge_kind", "guard", "is_cycle")
+    return found.select("root", pos.alias("pos"), "depth", "node", "edge_kind", "guard", "is_cycle", "types_line")
 
 
 def declarations(estate: Estate) -> DataFrame:

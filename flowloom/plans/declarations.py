@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.functions import text
 from flowloom.operators import triggers
 from flowloom.plans.registry import Registry, read
 
@@ -62,19 +61,14 @@ def trace_seed_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decl(spark, sf_dir).where(F.col("is_entry") & triggers.accepts_activity(F.col("types"), F.expr(DEFAULTS_SQL), ["t1", "t2"])).select("wf_id", "trig_ord")
 
 
-def matched(branch: str):
-    """If a branch meets the declaration's patterns."""
-    out = F.lit(False)
-    for number, patterns in PATTERNS.items():
-        out = F.when(F.col("pattern") == number, text.matches_in_turn(F.lit(branch), patterns)).otherwise(out)
-    return out
-
-
 @on.query(WITH + """SELECT wf_id, trig_ord FROM decl WHERE is_entry AND event = 'click'
  AND CASE ref_kind WHEN 'include' THEN pattern IN (1, 2) WHEN 'exclude' THEN pattern NOT IN (1, 2) ELSE true END""")
 def trace_seed_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = decl(spark, sf_dir).where("is_entry and event = 'click'")
-    return seeds.where(triggers.accepts_ref(F.col("ref_kind"), matched("release/v1"))).select("wf_id", "trig_ord")
+    patterns = F.get(F.array(*[F.array(*map(F.lit, PATTERNS[k])) for k in sorted(PATTERNS)]), F.col("pattern").cast("int"))
+    none = F.struct(F.lit("none").alias("kind"), patterns.alias("patterns"))
+    filters = seeds.select("wf_id", "trig_ord", "event", F.struct(F.col("ref_kind").alias("kind"), patterns.alias("patterns")).alias("branches"), none.alias("tags"), none.alias("paths"))
+    return filters.where(triggers.accepts_refs(["release/v1"], [], [])).select("wf_id", "trig_ord")
 
 
 @on.query(WITH + """SELECT wf_id, trig_ord, event, CASE WHEN types IS NOT NULL THEN array_to_string(types, ', ')

@@ -11,11 +11,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowloom.functions import text
-from flowloom.operators import joins
+from flowloom.functions import globs, text
+from flowloom.functions.lineage import cut
+from flowloom.operators import joins, permissions, triggers as events
 from flowloom.sources.yaml_text import LINE, to_json
 
 # Folders that are never searched.
@@ -25,7 +27,7 @@ PREFIX = "flowloom"
 STEP = f"id string, name string, uses string, run string, `if` string, `with` map<string,string>, env map<string,string>, shell string, `continue-on-error` string, `timeout-minutes` string, `working-directory` string, `{LINE}` int"
 JOB = f"""name string, needs string, `runs-on` string, `if` string, uses string, `with` map<string,string>, secrets string, permissions string, outputs map<string,string>,
  env map<string,string>, environment string, strategy string, concurrency string, defaults string, container string, services string, `{LINE}` int, steps array<struct<{STEP}>>"""
-BODY = """branches string, `branches-ignore` string, tags string, `tags-ignore` string, paths string, `paths-ignore` string, types string, workflows string,
+BODY = f"""branches string, `branches-ignore` string, tags string, `tags-ignore` string, paths string, `paths-ignore` string, types string, workflows string, __types_lines__ array<int>, `{LINE}` int,
  inputs map<string,string>, outputs map<string,string>, secrets map<string,string>"""
 WORKFLOW = f"""name string, `run-name` string, permissions string, env map<string,string>, concurrency string, defaults string, `on` array<struct<event:string,body:string>>,
  jobs array<struct<id:string,body:struct<{JOB}>>>, __texts__ array<array<int>>, `{LINE}` int"""
@@ -46,13 +48,22 @@ class Estate:
 
 
 def scan(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """The estate's files: path (from the root), kind, mtime, content. One manifest for each folder: .yaml before .yml."""
+    """The estate's files: path (from the root), kind, mtime, content. One manifest for each folder: .yaml before .yml.
+
+    Without the folder of workflows there are none.
+    """
     read = spark.read.format("binaryFile")
     base = F.lit(root.rstrip("/") + "/")
     path = F.regexp_replace(F.col("path"), "^[a-z]+:/+", "/")
     path = F.replace(path, F.regexp_replace(base, "^[a-z]+:/+", "/"), F.lit(""))
     cols = [path.alias("path"), F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("content")]
-    flows = read.option("pathGlobFilter", "*.y{a,}ml").load(f"{root}/.github/workflows").select(*cols).withColumn("kind", F.lit("workflow"))
+    try:
+        flows = read.option("pathGlobFilter", "*.y{a,}ml").load(f"{root}/.github/workflows").select(*cols)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        flows = spark.createDataFrame([], "path string, mtime timestamp, content string")
+    flows = flows.withColumn("kind", F.lit("workflow"))
     found = read.option("recursiveFileLookup", "true").option("pathGlobFilter", "action.y{a,}ml").load(root).select(*cols)
     kept = found.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, PRUNED))))
     first = F.row_number().over(Window.partitionBy(folder_of(F.col("path"))).orderBy("path"))
@@ -153,7 +164,8 @@ def docker_parts(image: Column) -> Column:
 
 
 def load(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), prefix: str = PREFIX) -> Estate:
-    docs = parsed(scan(spark, root, exclude)).cache()
+    """All tables of the estate under ``root``. The files are read and parsed once, now, into the session's shared folder."""
+    docs = cut(parsed(scan(spark, root, exclude)))
     flows = docs.where("kind = 'workflow' and doc is not null").select("path", F.from_json("doc", WORKFLOW).alias("d"))
     acts = docs.where("kind = 'action' and doc is not null").select("path", F.from_json("doc", ACTION).alias("d"))
     workflows = flows.select(F.col("path").alias("wf_id"), "d.name", F.col("d.`run-name`").alias("run_name"), "d.permissions", plain(F.col("d.env")).alias("env"), "d.concurrency", "d.defaults")
@@ -162,6 +174,7 @@ def load(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), prefix:
     triggers = triggers.select(
         "wf_id", "trig_ord", "event", strings(F.col("b.types")).alias("types"), *[ref_filter("b", w).alias(w) for w in ("branches", "tags", "paths")],
         strings(F.col("b.workflows")).alias("upstream"), *[plain(F.col(f"b.{w}")).alias(w) for w in ("inputs", "outputs", "secrets")], F.when(F.col("event") == "schedule", F.col("crons")).alias("crons"), (F.col("event") != "workflow_call").alias("is_entry"),
+        F.coalesce(F.col(f"b.`{LINE}`"), F.lit(1)).alias("line"), F.col("b.__types_lines__").alias("types_lines"),
     )
     jobs = flows.select(F.col("path").alias("wf_id"), F.posexplode("d.jobs").alias("job_ord", "j"))
     jobs = jobs.select("wf_id", "job_ord", F.col("j.id").alias("job_id"), "j.body.*").withColumnRenamed(LINE, "line").withColumns({w: plain(F.col(w)) for w in ("with", "outputs", "env")}).withColumn("call", classified(F.col("uses"), job_level=True))
@@ -179,14 +192,30 @@ def load(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), prefix:
     notes = annotations(docs, jobs, steps, actions, prefix)
     late = notes.where("job_ord is null").select(F.col("owner_id").alias("file"), "line", F.lit("no job or step below the annotation").alias("message"))
     dangling = notes.where("reason is not null").select(F.col("owner_id").alias("file"), "line", F.concat(F.lit("annotation leads nowhere: "), "reason").alias("message"))
-    return Estate(workflows, triggers, jobs.drop("steps"), actions, steps, notes, edges(jobs, steps, notes), broken.union(odd).union(bare).union(wrong).union(late).union(dangling))
+    found = [broken, odd, bare, wrong, late, dangling, *value_problems(workflows, triggers, jobs)]
+    for more in found[1:]:
+        found[0] = found[0].unionByName(more)
+    return Estate(workflows, triggers.drop("types_lines"), jobs.drop("steps"), actions, steps, notes, edges(jobs, steps, notes), found[0])
+
+
+def value_problems(workflows: DataFrame, triggers: DataFrame, jobs: DataFrame) -> list[DataFrame]:
+    """Values that mean nothing: activity types that the event doesn't have, malformed patterns, unknown permissions; file, line, message."""
+    row = lambda file, line, message: [F.col(file).alias("file"), line.alias("line"), message.alias("message")]
+    typed = triggers.select("wf_id", "event", "line", F.posexplode(F.arrays_zip("types", "types_lines")).alias("k", "t"), events.allowed_types(F.col("event")).alias("allowed"))
+    unknown = typed.where("allowed is not null and not array_contains(allowed, t.types)")
+    unknown = unknown.select(*row("wf_id", F.coalesce("t.types_lines", "line"), F.concat(F.lit("unknown activity type "), "t.types", F.lit(" of "), "event", F.lit("; valid are "), F.array_join("allowed", ", "))))
+    wrong = triggers.select("wf_id", "line", F.explode(F.concat(*[globs.malformed(F.col(f"{w}.patterns")) for w in ("branches", "tags", "paths")])).alias("pattern"))
+    wrong = wrong.select(*row("wf_id", F.col("line"), F.concat(F.lit("malformed pattern "), "pattern")))
+    levels = workflows.select("wf_id", F.lit(1).alias("line"), "permissions").unionByName(jobs.select("wf_id", "line", "permissions"))
+    levels = levels.withColumn("line", F.coalesce(F.get_json_object("permissions", f"$.{LINE}").cast("int"), "line")).select("wf_id", "line", F.explode(permissions.problems(F.col("permissions"))).alias("said"))
+    return [unknown, wrong, levels.select(*row("wf_id", F.col("line"), F.col("said")))]
 
 
 def annotations(docs: DataFrame, jobs: DataFrame, steps: DataFrame, actions: DataFrame, prefix: str) -> DataFrame:
     """Comments ``# <prefix>:<verb> <path>`` outside texts, at the next job or step below: file, line, verb, target, reason, job_ord, step_ord."""
     known = docs.where("doc is not null").select("path", "content", F.from_json("doc", "__texts__ array<array<int>>").alias("t"))
     lines = known.select("path", F.posexplode(F.split("content", "\n")).alias("p", "l")).where(F.col("l").rlike(rf"^\s*#\s*{prefix}:\S+"))
-    parts = lines.select("path", (F.col("p") + 1).alias("line"), F.regexp_extract("l", rf"#\s*{prefix}:(\S+)\s*(\S*)", 1).alias("verb"), F.regexp_replace(F.regexp_extract("l", rf"#\s*{prefix}:(\S+)\s*(\S*)", 2), "(?<=.)/+$", "").alias("target"))
+    parts = lines.select("path", (F.col("p") + 1).alias("line"), F.regexp_extract("l", rf"#\s*{prefix}:(\S+)\s*(\S*)", 1).alias("verb"), F.regexp_replace(F.regexp_extract("l", rf"#\s*{prefix}:(\S+)\s*(\S*)", 2), r"^(?:\./)+|(?<=.)/+$", "").alias("target"))
     ranges = known.select("path", F.explode("t.__texts__").alias("r")).select("path", F.col("r")[0].alias("lo"), F.col("r")[1].alias("hi"))
     free = joins.outside_ranges(parts, ranges, "path", "line", "lo", "hi")
     nodes = jobs.select(F.col("wf_id").alias("path"), "line", "job_ord", F.lit(-1).alias("step_ord")).unionByName(steps.where("owner_kind = 'workflow'").select(F.col("owner_id").alias("path"), "line", "job_ord", "step_ord"))
@@ -205,24 +234,24 @@ def annotations(docs: DataFrame, jobs: DataFrame, steps: DataFrame, actions: Dat
 
 
 def edges(jobs: DataFrame, steps: DataFrame, notes: DataFrame) -> DataFrame:
-    """All edges in their fixed order: by job, at each its annotations, its call, then its steps with annotations before uses.
+    """All edges in their fixed order: by job, at each its annotations in lines' order, its call, then its steps with annotations before uses.
 
     An annotation in a manifest belongs to the action, the manifest's folder; one whose target
     isn't a workflow's path is an edge to an ``unresolved`` end.
     """
-    cols = ("src_kind", "src", "job_ord", "step_ord", "tier", "edge_kind", "dst_kind", "dst", "job_if", "step_if")
+    cols = ("src_kind", "src", "job_ord", "step_ord", "tier", "edge_kind", "dst_kind", "dst", "dst_ref", "job_if", "step_if", "at")
     null = F.lit(None).cast("string")
     call = jobs.where("call.kind is not null and call.kind <> 'error'").select(
-        F.lit("workflow").alias("src_kind"), F.col("wf_id").alias("src"), "job_ord", F.lit(-1).alias("step_ord"), F.lit(1).alias("tier"), F.lit("call").alias("edge_kind"), F.col("call.kind").alias("dst_kind"), F.col("call.id").alias("dst"), F.col("if").alias("job_if"), null.alias("step_if")
+        F.lit("workflow").alias("src_kind"), F.col("wf_id").alias("src"), "job_ord", F.lit(-1).alias("step_ord"), F.lit(1).alias("tier"), F.lit("call").alias("edge_kind"), F.col("call.kind").alias("dst_kind"), F.col("call.id").alias("dst"), F.col("call.ref").alias("dst_ref"), F.col("if").alias("job_if"), null.alias("step_if"), F.lit(0).alias("at")
     )
     use = steps.where("target.kind is not null and target.kind <> 'error'").select(
-        F.col("owner_kind").alias("src_kind"), F.col("owner_id").alias("src"), "job_ord", "step_ord", F.lit(1).alias("tier"), F.lit("uses").alias("edge_kind"), F.col("target.kind").alias("dst_kind"), F.col("target.id").alias("dst"), "job_if", F.col("if").alias("step_if")
+        F.col("owner_kind").alias("src_kind"), F.col("owner_id").alias("src"), "job_ord", "step_ord", F.lit(1).alias("tier"), F.lit("uses").alias("edge_kind"), F.col("target.kind").alias("dst_kind"), F.col("target.id").alias("dst"), F.col("target.ref").alias("dst_ref"), "job_if", F.col("if").alias("step_if"), F.lit(0).alias("at")
     )
     manifest = F.col("owner_id").rlike(r"(?:^|/)action\.ya?ml$")
     guards = steps.where("owner_kind = 'workflow'").select("owner_id", "job_ord", "step_ord", F.col("job_if").alias("note_job_if"), F.col("if").alias("note_if"))
     note = notes.join(guards, ["owner_id", "job_ord", "step_ord"], "left").select(
-        F.when(manifest, "action").otherwise("workflow").alias("src_kind"), F.when(manifest, folder_of(F.col("owner_id"))).otherwise(F.col("owner_id")).alias("src"), F.coalesce("job_ord", F.lit(-1)).alias("job_ord"), F.coalesce("step_ord", F.lit(-1)).alias("step_ord"), F.lit(0).alias("tier"), F.col("verb").alias("edge_kind"), F.when(F.col("reason").isNull(), "local-workflow").otherwise("unresolved").alias("dst_kind"), F.col("target").alias("dst"), F.col("note_job_if").alias("job_if"), F.col("note_if").alias("step_if")
+        F.when(manifest, "action").otherwise("workflow").alias("src_kind"), F.when(manifest, folder_of(F.col("owner_id"))).otherwise(F.col("owner_id")).alias("src"), F.coalesce("job_ord", F.lit(-1)).alias("job_ord"), F.coalesce("step_ord", F.lit(-1)).alias("step_ord"), F.lit(0).alias("tier"), F.col("verb").alias("edge_kind"), F.when(F.col("reason").isNull(), "local-workflow").otherwise("unresolved").alias("dst_kind"), F.col("target").alias("dst"), null.alias("dst_ref"), F.col("note_job_if").alias("job_if"), F.col("note_if").alias("step_if"), F.col("line").alias("at")
     )
     found = call.unionByName(use).unionByName(note).select(*cols)
-    order = F.row_number().over(Window.partitionBy("src_kind", "src").orderBy("job_ord", "step_ord", "tier", "dst"))
-    return found.withColumn("edge_ord", order)
+    order = F.row_number().over(Window.partitionBy("src_kind", "src").orderBy("job_ord", "step_ord", "tier", "at", "dst"))
+    return found.withColumn("edge_ord", order).drop("at")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowloom.sources.estate import Estate
 
-VERSION = 1
+VERSION = 2
 TABLES = ("workflows", "triggers", "jobs", "actions", "steps", "annotations", "edges", "diagnostics")
 
 

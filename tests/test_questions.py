@@ -130,10 +130,10 @@ def test_trace(loaded):
         (0, f"workflow:{CI}", None, None, False),
         (1, "action:tools/lint", "uses", guarded, False),
         (2, f"workflow:{NIGHTLY}", "triggers", None, False),
-        (3, "external-action:a/b", "uses", None, False),
+        (3, "external-action:a/b@v1", "uses", None, False),
         (2, "action:tools/lint/deep", "uses", None, False),
         (1, f"workflow:{NIGHTLY}", "dispatches", "(github.ref == 'a') && (ok())", False),
-        (2, "external-action:a/b", "uses", None, False),
+        (2, "external-action:a/b@v1", "uses", None, False),
         (1, "action:tools/absent", "uses", "github.ref == 'a'", False),
         (1, f"workflow:{DEPLOY}", "call", None, False),
         (2, f"workflow:{LEAF}", "call", None, False),
