@@ -105,6 +105,53 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
+def knots(edges: DataFrame) -> DataFrame:
+    """Nodes on cycles of more than one node: node, knot (the smallest of those that it reaches and that reach it).
+
+    Every such cycle has an edge to a smaller node; where there is none, nothing is left
+    to do. Else nodes that nothing leads to or that lead nowhere are peeled off, and pairs are
+    made only of what stays: the cycles and what lies between them.
+    """
+    edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    if edges.where("dst < src").isEmpty():
+        return edges.select(F.col("src").alias("node"), F.col("dst").alias("knot")).limit(0)
+    before, left = -1, edges.count()
+    while left != before:
+        sources, ends = edges.select(F.col("src").alias("dst")), edges.select(F.col("dst").alias("src"))
+        edges = cut(edges.join(sources, "dst", "left_semi").join(ends, "src", "left_semi").select("src", "dst"))
+        before, left = left, edges.count()
+    ahead = reached(edges, edges.select(F.col("src").alias("node"))).where("root <> node")
+    back = ahead.select(F.col("node").alias("root"), F.col("root").alias("node"))
+    return cut(ahead.join(back, ["root", "node"]).groupBy(F.col("root").alias("node")).agg(F.least(F.min("node"), F.col("root")).alias("knot")))
+
+
+def with_knots(calls: DataFrame, src: str, dst: str) -> DataFrame:
+    """``calls`` between different ends, with ``within``: if both ends are of one knot. Only there can a way come back to where it was."""
+    found = knots(calls.select(F.col(src).alias("src"), F.col(dst).alias("dst")))
+    ends = [found.select(F.col("node").alias(end), F.col("knot").alias(name)) for end, name in ((src, "src_knot"), (dst, "dst_knot"))]
+    both = calls.where(F.col(src) != F.col(dst)).join(ends[0], src, "left").join(ends[1], dst, "left")
+    return both.withColumn("within", F.coalesce(F.col("src_knot") == F.col("dst_knot"), F.lit(False))).drop("src_knot", "dst_knot")
+
+
+def handed_down(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The labels of all nodes that lead to a node, its own too: node, labels (an array, sorted). ``seeds``: node, label.
+
+    Each round hands on only the labels that are new to a node, as one array, so cycles
+    end and a label crosses an edge once.
+    """
+    edges = cut(edges.select("src", F.col("dst").alias("node")).distinct())
+    state = fresh = cut(seeds.groupBy("node").agg(F.array_sort(F.collect_set("label")).alias("labels")))
+    while True:
+        step = fresh.select(F.col("node").alias("src"), "labels").join(edges, "src")
+        got = step.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("labels"))).alias("got"))
+        known = F.coalesce("labels", F.array().cast(state.schema["labels"].dataType))
+        both = cut(state.join(got, "node", "full").withColumn("fresh", F.array_except(F.coalesce("got", F.array().cast(state.schema["labels"].dataType)), known)).select("node", known.alias("labels"), "fresh"))
+        state = both.select("node", F.array_sort(F.concat("labels", "fresh")).alias("labels"))
+        fresh = both.where("size(fresh) > 0").select("node", F.col("fresh").alias("labels"))
+        if fresh.isEmpty():
+            return state
+
+
 def guard(job: Column, step: Column) -> Column:
     """The condition of an edge: both guards, or the one there is."""
     return F.when(job.isNotNull() & step.isNotNull(), F.concat(F.lit("("), job, F.lit(") && ("), step, F.lit(")"))).otherwise(F.coalesce(job, step))

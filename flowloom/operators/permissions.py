@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.functions.lineage import cut
 from flowloom.operators import graph
 from flowloom.sources.yaml_text import LINE
 
@@ -70,23 +71,52 @@ def capped(cap: Column, layer: Column) -> Column:
     return cap.bitwiseAND(F.coalesce(layer, F.lit(-1).cast("long")))
 
 
-def exceeds(declaration: Column, cap: Column) -> Column:
-    """If a packed set has a higher level than the cap in some scope."""
-    return F.coalesce(declaration.bitwiseAND(F.bitwise_not(cap)) != 0, F.lit(False))
+def exceeding(declaration: Column, cap: Column) -> Column:
+    """The bits in which a packed set goes beyond the cap; 0 if in none, or if it is undeclared."""
+    return F.coalesce(declaration.bitwiseAND(F.bitwise_not(cap)), F.lit(0).cast("long"))
 
 
-def escalations(calls: DataFrame, entries: DataFrame) -> DataFrame:
-    """Callees that declare more than what their callers may pass on, each by its shortest chain.
+def scopes_of(bits: Column) -> Column:
+    """The names of the scopes that have a bit, in the scopes' order."""
+    last = len(SCOPES) - 1
+    return F.array_compact(F.array(*[F.when(F.shiftrightunsigned(bits, 2 * (last - k)).bitwiseAND(F.lit(3).cast("long")) != 0, F.lit(s)) for k, s in enumerate(SCOPES)]))
+
+
+def escalation_chains(calls: DataFrame, entries: DataFrame) -> DataFrame:
+    """Callees that declare more than their callers may pass on: root, node, scopes, caller, chain (callers from the root on), key.
+
+    ``calls``: src, dst, ord, wf and job (the callee's levels), and, where several nodes are jobs
+    of one workflow, src_flow and dst_flow; ``entries``: node, cap (and flow); entries without a known
+    cap are skipped. What is compared is the callee's effective level; what is passed on is
+    the lower of both its layers. A way doesn't enter a workflow that it is in.
 
-    ``calls``: src, dst, ord, wf and job (the callee's levels); ``entries``: node, cap; entries
-    without a known cap are skipped. What is compared is the callee's effective level;
-    what is passed on is the lower of both its layers.
+    A row for each root, node and set of scopes, with its shortest chain, the first in
+    depth-first order of those. A level keeps a state once: root, node, cap and, on cycles, the
+    workflows of the cycle that the way has been in; so ways that meet don't multiply.
     """
-    known = entries.where("cap is not null").select("node", packed(F.col("cap")).alias("cap"))
-    calls = calls.select("src", "dst", "ord", packed(F.col("wf")).alias("wf"), packed(F.col("job")).alias("job"))
-    carried = {
-        "cap": (F.col("cap"), capped(capped(F.col("cap"), F.col("wf")), F.col("job"))),
-        "violated": (F.lit(False), exceeds(effective(F.col("job"), F.col("wf")), F.col("cap"))),
-    }
-    found = graph.paths(calls, known, carried).where("violated and not is_cycle")
-    return found.groupBy("root", "node").agg(F.min("depth").alias("chain"))
+    flow = lambda df, name, node: F.col(name) if name in df.columns else F.col(node)
+    known = entries.where("cap is not null").select("node", packed(F.col("cap")).alias("cap"), F.array(flow(entries, "flow", "node")).alias("around"))
+    calls = calls.select("src", "dst", F.col("ord").cast("long").alias("ord"), packed(F.col("wf")).alias("wf"), packed(F.col("job")).alias("job"), flow(calls, "src_flow", "src").alias("src_flow"), flow(calls, "dst_flow", "dst").alias("dst_flow"))
+    calls = cut(graph.with_knots(calls, "src_flow", "dst_flow").drop("src_flow"))
+    node = calls.schema["src"].dataType.simpleString()
+    level = known.select(F.col("node").alias("root"), "node", "cap", "around", F.array().cast("array<bigint>").alias("key"), F.array().cast(f"array<{node}>").alias("chain"))
+    found = None
+    while True:
+        step = level.withColumnRenamed("node", "src").join(calls, "src").where(~(F.col("within") & F.array_contains("around", F.col("dst_flow"))))
+        around = F.when(F.col("within"), F.array_sort(F.concat("around", F.array("dst_flow")))).otherwise(F.array("dst_flow"))
+        passed, more = capped(capped(F.col("cap"), F.col("wf")), F.col("job")), exceeding(effective(F.col("job"), F.col("wf")), F.col("cap"))
+        step = cut(step.select("root", F.col("dst").alias("node"), "src", passed.alias("cap"), more.alias("more"), around.alias("around"), F.concat("key", F.array("ord")).alias("key"), F.concat("chain", F.array("src")).alias("chain")))
+        if step.isEmpty():
+            break
+        hits = step.where("more <> 0").select("root", "node", "more", F.struct(F.size("chain").alias("n"), "key", F.col("src").alias("caller"), "chain").alias("way"))
+        found = hits if found is None else found.unionByName(hits)
+        level = step.groupBy("root", "node", "cap", "around").agg(F.min(F.struct("key", "chain")).alias("way")).select("root", "node", "cap", "around", "way.*")
+    if found is None:
+        found = step.select("root", "node", "more", F.struct(F.size("chain").alias("n"), "key", F.col("src").alias("caller"), "chain").alias("way"))
+    first = found.groupBy("root", "node", "more").agg(F.min("way").alias("way"))
+    return first.select("root", "node", scopes_of(F.col("more")).alias("scopes"), "way.caller", "way.chain", "way.key")
+
+
+def escalations(calls: DataFrame, entries: DataFrame) -> DataFrame:
+    """Of ``escalation_chains`` each root and node with the length of the shortest: root, node, chain."""
+    return escalation_chains(calls, entries).groupBy("root", "node").agg(F.min(F.size("chain")).alias("chain"))

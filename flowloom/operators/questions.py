@@ -275,15 +275,36 @@ def features(estate: Estate) -> DataFrame:
     return out.unionByName(steps.where("run is not null").select(F.col("owner_id").alias("doc"), *row("run", words)).where("token <> ''")).distinct()
 
 
-def escalations(estate: Estate) -> DataFrame:
-    """Jobs of called workflows that declare more than their callers may pass on: root, node (both ``<workflow>#<job>``), chain (the shortest)."""
+def _calls_and_caps(estate: Estate) -> tuple[DataFrame, DataFrame]:
+    """Calls between jobs (``<workflow>#<job>``) and the caps of the entries' jobs, as ``permissions.escalation_chains`` takes them."""
     levels = lambda c: permissions.normalised(*permissions.declared(F.col(c)))
     whole = estate.workflows.select("wf_id", levels("permissions").alias("wf"))
     jobs = estate.jobs.select("wf_id", "job_ord", F.concat_ws("#", "wf_id", "job_id").alias("node"), levels("permissions").alias("job"), "call").join(whole, "wf_id")
-    calls = jobs.where("call.kind = 'local-workflow'").select(F.col("node").alias("src"), F.col("call.id").alias("wf_id"))
-    calls = calls.join(jobs.select("wf_id", F.col("job_ord").alias("ord"), F.col("node").alias("dst"), "wf", "job"), "wf_id").drop("wf_id")
-    start = estate.triggers.where("is_entry").select("wf_id").distinct().join(jobs, "wf_id").select("node", permissions.effective(F.col("job"), F.col("wf")).alias("cap"))
-    return permissions.escalations(calls, start)
+    calls = jobs.where("call.kind = 'local-workflow'").select(F.col("node").alias("src"), F.col("wf_id").alias("src_flow"), F.col("call.id").alias("wf_id"))
+    calls = calls.join(jobs.select("wf_id", F.col("job_ord").alias("ord"), F.col("node").alias("dst"), "wf", "job"), "wf_id").withColumnRenamed("wf_id", "dst_flow")
+    start = estate.triggers.where("is_entry").select("wf_id").distinct().join(jobs, "wf_id").select("node", F.col("wf_id").alias("flow"), permissions.effective(F.col("job"), F.col("wf")).alias("cap"))
+    return calls, start
+
+
+def escalations(estate: Estate) -> DataFrame:
+    """Jobs of called workflows that declare more than their callers may pass on: root, node (both ``<workflow>#<job>``), scopes, caller, chain (from the root to the caller), key."""
+    return permissions.escalation_chains(*_calls_and_caps(estate))
+
+
+def permission_findings(estate: Estate) -> DataFrame:
+    """All findings about permissions: pos, kind, severity, file, job_id, scopes, caller, chain, jobs.
+
+    High before medium, then by file and job; of one place broad declarations before
+    escalations, those by their entry's workflow and job, then by depth-first order.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    entry = permissions.entry_findings(estate.workflows, estate.jobs, estate.triggers).select("kind", "severity", F.col("wf_id").alias("file"), "job_id", none("array<string>").alias("scopes"), none("string").alias("caller"), none("array<string>").alias("chain"), "jobs", none("array<bigint>").alias("key"))
+    jobs = estate.jobs.select(F.concat_ws("#", "wf_id", "job_id").alias("name"), "wf_id", "job_id", "job_ord")
+    found = escalations(estate).join(jobs.select(F.col("name").alias("node"), F.col("wf_id").alias("file"), "job_id"), "node").join(jobs.select(F.col("name").alias("root"), F.col("wf_id").alias("root_flow"), F.col("job_ord").alias("root_ord")), "root")
+    found = found.select(F.lit("Escalation").alias("kind"), F.lit("high").alias("severity"), "file", "job_id", "scopes", "caller", "chain", none("array<string>").alias("jobs"), "key", "root_flow", "root_ord")
+    every = entry.withColumn("root_flow", none("string")).withColumn("root_ord", none("int")).unionByName(found)
+    order = Window.orderBy("severity", F.concat_ws("::", "file", F.coalesce("job_id", F.lit(""))), F.col("kind") == "Escalation", "root_flow", "root_ord", "key")
+    return every.withColumn("pos", F.row_number().over(order)).select("pos", "kind", "severity", "file", "job_id", "scopes", "caller", "chain", "jobs")
 
 
 def secrets(estate: Estate) -> DataFrame:

@@ -191,7 +191,7 @@ def test_near_duplicates(loaded):
 
 
 def test_permissions_and_secrets(loaded):
-    assert {tuple(r) for r in questions.escalations(loaded).collect()} == {(f"{CI}#ship", f"{DEPLOY}#go", 1), (f"{CI}#ship", f"{DEPLOY}#down", 1)}
+    assert {(r["root"], r["node"], tuple(r["scopes"]), r["caller"], tuple(r["chain"])) for r in questions.escalations(loaded).collect()} == {(f"{CI}#ship", f"{DEPLOY}#{j}", ("contents",), f"{CI}#ship", (f"{CI}#ship",)) for j in ("go", "down")}
     rows = {(r["callee"], r["secret"], r["dropped_at"], r["kind"]) for r in questions.secrets(loaded).collect()}
     ci = f"workflow:{CI}"
     assert rows == {
