@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # Severities by rank, and the tools whose names are brought to one form.
 SEVERITIES = ("info", "low", "medium", "high", "error")
 SOURCES = ("zizmor", "actionlint", "flowloom")
+# Events that run with write tokens and secrets on foreign input, and scopes whose writing is sensitive.
+RISKY_TRIGGERS = ("pull_request_target", "workflow_run")
+SENSITIVE_SCOPES = ("contents", "id-token")
 
 
 def rank_of(severity: Column) -> Column:
@@ -67,5 +70,25 @@ def priority(source: Column, demoted: Column, promoted: Column) -> Column:
     return F.when(demoted, F.least(source, F.lit(1))).when(promoted, F.greatest(source, F.lit(3))).otherwise(source)
 
 
+def signals(events: Column, write_all: Column, write_scopes: Column, orphan: Column, fixtures: Column) -> Column:
+    """What speaks for or against acting on a finding, in a fixed order: an array of struct(reason, detail).
+
+    ``events`` are those that reach the node, sorted; unknown permissions say nothing.
+    """
+    kind = "array<struct<reason:string,detail:string>>"
+    each = lambda reason, found: F.transform(found, lambda x: F.struct(F.lit(reason).alias("reason"), x.alias("detail")))
+    one = lambda reason, said: F.when(F.coalesce(said, F.lit(False)), F.array(F.struct(F.lit(reason).alias("reason"), F.lit(None).cast("string").alias("detail")))).otherwise(F.array()).cast(kind)
+    among = lambda found, known: F.filter(F.coalesce(found, F.array().cast("array<string>")), lambda x: x.isin(*known))
+    return F.concat(
+        each("reachable_from_risky_trigger", among(events, RISKY_TRIGGERS)).cast(kind), one("write_all_available", write_all), each("sensitive_write_scope", among(write_scopes, SENSITIVE_SCOPES)).cast(kind), one("orphaned", orphan), one("under_test_fixtures", fixtures)
+    )
+
+
+def derived_priority(rank: Column, reasons: Column) -> Column:
+    """The rank to act on by ``signals``: orphans and fixtures demote, all others promote."""
+    demotes = F.exists(reasons, lambda r: r["reason"].isin("orphaned", "under_test_fixtures"))
+    return priority(rank, demotes, F.size(reasons) > 0)
+
+
 def colour(worst: Column) -> Column:
     return F.when(worst >= 3, "red").when(worst == 2, "amber").otherwise("grey")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions import text
-from flowloom.operators import graph, joins, permissions, triggers
+from flowloom.operators import findings, graph, joins, permissions, triggers
 from flowloom.operators import secrets as propagation
 from flowloom.sources.estate import Estate, plain
 
@@ -263,6 +263,89 @@ def attach(estate: Estate, found: DataFrame) -> DataFrame:
     return both.drop("place", "anchor_at").join(ids, ["node", "job_ord"], "left").select(*found.columns, "node", "job_id", F.when(F.col("node").startswith("workflow:"), F.col("job_ord")).alias("job_ord"), "step_ord", "confidence")
 
 
+def affected_entries(estate: Estate, nodes: DataFrame) -> DataFrame:
+    """The entry workflows that reach each of ``nodes`` (node), itself included: node, entries (sorted paths), events (theirs, sorted).
+
+    Only what leads to one of the nodes takes part; entries are handed down it as sets, so
+    ways and nodes that share entries don't multiply them. An action leads to a workflow by
+    its annotations only.
+    """
+    back = local(estate.edges).where("not (src_kind = 'action' and edge_kind = 'uses' and dst_kind = 'local-workflow')").select("src", "dst")
+    above = graph.closure(graph.reversed_(back), nodes).select("node")
+    within = back.join(above.withColumnRenamed("node", "dst"), "dst", "left_semi").join(above.withColumnRenamed("node", "src"), "src", "left_semi")
+    starts = estate.triggers.where("is_entry").select(named(F.lit("workflow"), "wf_id").alias("node"), F.col("wf_id").alias("label"), "event")
+    reaching = graph.handed_down(within, starts.join(above, "node", "left_semi").select("node", "label")).join(nodes.distinct(), "node", "left_semi")
+    events = reaching.select("node", F.explode("labels").alias("label")).join(starts.select("label", "event").distinct(), "label").groupBy("node").agg(F.array_sort(F.collect_set("event")).alias("events"))
+    return reaching.join(events, "node").select("node", F.col("labels").alias("entries"), "events")
+
+
+def neighbours(estate: Estate, nodes: DataFrame) -> DataFrame:
+    """Who calls or uses each of ``nodes`` (by annotations too), and what each calls and uses: node, callers, callees (sorted ids).
+
+    Ids are paths of workflows and actions; external ends are ``owner/repository/folder@ref``
+    (workflows without their path), images ``docker://image``.
+    """
+    wanted = nodes.distinct()
+    bare = lambda c: F.regexp_replace(c, "^(?:workflow|action):", "")
+    ids = lambda c: F.array_sort(F.collect_set(c))
+    callers_ = local(estate.edges).select(F.col("dst").alias("node"), bare(F.col("src")).alias("id")).join(wanted, "node", "left_semi").groupBy("node").agg(ids("id").alias("callers"))
+    end, ref = F.col("dst"), F.coalesce(F.concat(F.lit("@"), "dst_ref"), F.lit(""))
+    end = F.when(F.col("dst_kind") == "docker", F.concat(F.lit("docker://"), end)).when(F.col("dst_kind") == "external-workflow", F.concat(F.substring_index(end, "/", 2), ref)).otherwise(F.concat(end, ref))
+    out = estate.edges.where("tier = 1").select(named("src_kind", "src").alias("node"), end.alias("id"))
+    callees = out.join(wanted, "node", "left_semi").groupBy("node").agg(ids("id").alias("callees"))
+    none = F.array().cast("array<string>")
+    return wanted.join(callers_, "node", "left").join(callees, "node", "left").select("node", F.coalesce("callers", none).alias("callers"), F.coalesce("callees", none).alias("callees"))
+
+
+def postures(estate: Estate) -> tuple[DataFrame, DataFrame]:
+    """Of workflows (node) and of jobs that declare permissions (node, job_id): ``permission_context``; of workflows also ``secret_context``."""
+    coarse, scopes = permissions.declared(F.col("permissions"))
+    writes = F.array_sort(F.map_keys(F.map_filter(scopes, lambda _, level: level == "write")))
+    context = lambda source: F.struct(
+        F.coalesce(coarse == "write-all", F.lit(False)).alias("write_all"), F.coalesce(writes, F.array().cast("array<string>")).alias("write_scopes"), source.alias("source")
+    )
+    asks = estate.triggers.where("event = 'workflow_call'").groupBy("wf_id").agg(F.max(F.coalesce(F.size("secrets") > 0, F.lit(False))).alias("requires"))
+    calls = estate.jobs.where("call.kind is not null and call.kind <> 'error'")
+    given = F.map_keys(plain(F.from_json(F.when(F.col("secrets").startswith("{"), F.col("secrets")), "map<string,string>")))
+    passes = calls.groupBy("wf_id").agg(F.max(F.coalesce(F.col("secrets") == "inherit", F.lit(False))).alias("inherits"), F.max(F.coalesce(F.size(given) > 0, F.lit(False))).alias("passes"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    source = F.when(F.col("permissions").isNull(), "none-declared").otherwise("workflow")
+    flows = estate.workflows.join(asks, "wf_id", "left").join(passes, "wf_id", "left").select(
+        named(F.lit("workflow"), "wf_id").alias("node"),
+        context(source).alias("permission_context"),
+        F.struct(yes("requires").alias("requires_secrets"), yes("inherits").alias("inherits_secrets"), yes("passes").alias("passes_secrets")).alias("secret_context"),
+    )
+    jobs = estate.jobs.where("permissions is not null").select(named(F.lit("workflow"), "wf_id").alias("node"), "job_id", context(F.concat(F.lit("job:"), "job_id")).alias("job_context"))
+    return flows, jobs
+
+
+def enrich(estate: Estate, found: DataFrame) -> DataFrame:
+    """``found`` (findings with path, start_line and severity) with their place (``attach``), its context and what follows.
+
+    Context: reachable_from (events), callers, callees, affected_entrypoints, is_orphan,
+    permission_context (of the job if it declares any, else the workflow), secret_context
+    (both null for actions). Then priority (a severity) with its reasons. A finding of no
+    workflow or action has an empty context and keeps its severity; the severity itself
+    is never changed.
+    """
+    placed = attach(estate, found)
+    nodes = placed.where("node is not null").select("node").distinct()
+    flows, jobs = postures(estate)
+    unused = orphans(estate).where("kind in ('workflow', 'action')").select(F.col("owner").alias("node"), F.lit(True).alias("orphan"))
+    context = neighbours(estate, nodes).join(affected_entries(estate, nodes), "node", "left").join(unused.distinct(), "node", "left").join(flows, "node", "left")
+    both = placed.join(context, "node", "left").join(jobs, ["node", "job_id"], "left")
+    none = F.array().cast("array<string>")
+    out = both.select(
+        *found.columns, "node", "job_id", "job_ord", "step_ord", "confidence",
+        F.coalesce("events", none).alias("reachable_from"), F.coalesce("callers", none).alias("callers"), F.coalesce("callees", none).alias("callees"), F.coalesce("entries", none).alias("affected_entrypoints"),
+        F.coalesce("orphan", F.lit(False)).alias("is_orphan"), F.coalesce("job_context", "permission_context").alias("permission_context"), "secret_context",
+    )
+    fixtures = F.col("node").isNotNull() & text.has_segment(F.col("path"), "fixtures")
+    reasons = findings.signals(F.col("reachable_from"), F.col("permission_context.write_all"), F.col("permission_context.write_scopes"), F.col("is_orphan"), fixtures)
+    out = out.withColumn("priority_reasons", reasons)
+    return out.withColumn("priority", findings.label_of(findings.derived_priority(findings.rank_of(F.col("severity")), F.col("priority_reasons"))))
+
+
 def features(estate: Estate) -> DataFrame:
     """What near-duplicate workflows are compared by (``dedup.similar_pairs``): doc, kind, token. Steps count, calls of jobs don't."""
     steps = estate.steps.where("owner_kind = 'workflow'")
