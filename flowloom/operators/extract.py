@@ -5,11 +5,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.functions.lineage import cut
+
 
 def first_meaningful_line(text: Column, least: int = 1) -> Column:
-    """The first trimmed line of ``least`` characters that is no shebang and no ``set -`` preamble."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
-    return F.try_element_at(F.filter(lines, lambda s: (F.length(s) >= least) & ~s.startswith("#!") & ~s.startswith("set -")), F.lit(1))
+    """The first trimmed line of ``least`` characters that is no shebang and no preamble (``set -e``, ``set -eu``, ``set -euo pipefail``)."""
+    lines = F.transform(F.split(text, "\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    return F.try_element_at(F.filter(lines, lambda s: (F.length(s) >= least) & ~s.startswith("#!") & ~s.rlike(r"^set\s+-[eu]+(?:o\s+pipefail)?$")), F.lit(1))
+
+
+def grown(steps: DataFrame, min_length: int, min_occurrences: int) -> tuple[DataFrame, DataFrame]:
+    """Sequences of steps that occur often, level by level: (sequences, sites).
+
+    ``steps``: container, ord (without gaps), sig (null: nothing goes across). A sequence of n + 1 steps can
+    only be frequent if both its parts of n steps are, so each level joins the frequent
+    places of the level before to the places behind them; a sequence is the pair of its parts'
+    names, and its own name is its first place, one number in the order of containers and
+    steps, so no arrays and no n^2 windows arise.
+
+    sequences: id (the first place, a struct of container and start), length, occurrences,
+    kept (it has an occurrence that lies in no longer frequent sequence); sites: id, length, container, start.
+    Fewer than two occurrences or no steps asked for give nothing.
+    """
+    rows = steps.where("sig is not null").select("container", F.col("ord").cast("int").alias("start"), "sig")
+    if min_length < 1 or min_occurrences < 2:
+        rows, min_length = rows.limit(0), 1
+    places = cut(rows.repartitionByRange("container", "start").sortWithinPartitions("container", "start").withColumn("place", F.monotonically_increasing_id()))
+    behind = places.select("container", (F.col("start") - 1).alias("start"), F.col("place").alias("next"))
+    occ = places.join(behind, ["container", "start"], "left").select("place", "next", F.col("sig").alias("left"), F.lit(0).alias("right"))
+    found = at = below = None
+    length = 1
+    while True:
+        named = occ.groupBy("left", "right").agg(F.count(F.lit(1)).alias("occurrences"), F.min("place").alias("id")).where(F.col("occurrences") >= min_occurrences)
+        level = cut(occ.join(named, ["left", "right"]).select("place", "next", "id", "occurrences"))
+        if below is not None and length > min_length:
+            # Of the level before are kept: sequences with a place that is in none of this level's.
+            cover = level.select("place").unionByName(level.select(F.col("next").alias("place"))).withColumn("covered", F.lit(True)).distinct()
+            mine = below.join(cover, "place", "left").groupBy("id").agg(F.first("occurrences").alias("occurrences"), F.bool_or(F.col("covered").isNull()).alias("kept")).withColumn("length", F.lit(length - 1))
+            here = below.select("id", "place").withColumn("length", F.lit(length - 1))
+            found, at = (mine, here) if found is None else (found.unionByName(mine), at.unionByName(here))
+        if length > min_length and level.isEmpty():
+            break
+        right = level.select(F.col("place").alias("next"), F.col("id").alias("right"))
+        occ = level.select("place", "next", F.col("id").alias("left")).join(right, "next")
+        below, length = level, length + 1
+    names = places.select(F.col("place").alias("id"), F.struct("container", "start").alias("name"))
+    sequences = found.join(names, "id").select(F.col("name").alias("id"), "length", "occurrences", "kept")
+    sites = at.join(names, "id").join(places.select("place", "container", "start"), "place").select(F.col("name").alias("id"), "length", "container", "start")
+    return sequences, sites
+
+
+def spelled(sequences: DataFrame, steps: DataFrame) -> DataFrame:
+    """With ``sigs``, the steps of each sequence, read at its first place."""
+    at = sequences.select("id", "length", F.col("id.container").alias("container"), F.explode(F.expr("sequence(id.start, id.start + length - 1)")).alias("ord"))
+    read = at.join(steps.select("container", F.col("ord").cast("int").alias("ord"), "sig"), ["container", "ord"]).groupBy("id", "length").agg(F.array_sort(F.collect_list(F.struct("ord", "sig"))).alias("s"))
+    return sequences.join(read.select("id", "length", F.col("s.sig").alias("sigs")), ["id", "length"])
 
 
 def windows(steps: DataFrame, min_length: int) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions import text
-from flowloom.operators import findings, graph, joins, permissions, triggers
+from flowloom.functions.lineage import cut
+from flowloom.operators import extract, findings, graph, joins, permissions, triggers
 from flowloom.operators import secrets as propagation
 from flowloom.sources.estate import Estate, plain
 
@@ -406,3 +407,49 @@ def shadowed_environments(estate: Estate) -> DataFrame:
     calls = estate.jobs.where("call.kind = 'local-workflow'").select(named(F.lit("workflow"), "wf_id").alias("src"), named(F.lit("workflow"), "call.id").alias("dst"))
     jobs = estate.jobs.select(named(F.lit("workflow"), "wf_id").alias("node"), "job_id", part(F.col("environment"), "name").alias("environment"))
     return propagation.shadowed_environments(jobs, graph.closure(calls, entries(estate)))
+
+
+def extraction_steps(estate: Estate) -> DataFrame:
+    """Steps as ``extract.grown`` takes them, with what a sketch shows: container, ord, sig, text.
+
+    A container is a job or a composite action, in the estate's order: a struct of rank (0
+    for jobs), owner, job_ord, name. A call of a workflow as a step has no signature, nor
+    has a step without a meaningful line.
+    """
+    job = F.col("owner_kind") == "workflow"
+    name = F.when(job, F.concat_ws(":", "owner_id", "job_id")).otherwise(F.concat("owner_id", F.lit(":_composite")))
+    container = F.struct(F.when(job, 0).otherwise(1).alias("rank"), F.col("owner_id").alias("owner"), "job_ord", name.alias("name"))
+    kind, ref = F.col("target.kind"), F.coalesce(F.concat(F.lit("@"), "target.ref"), F.lit(""))
+    used = F.when(kind == "local-action", F.concat(F.lit("local-action:"), "target.id")).when(kind == "external-action", F.concat(F.lit("external:"), "target.id", ref)).when(kind == "docker", F.concat(F.lit("docker:"), "target.id"))
+    known = kind.isNotNull() & (kind != "error")
+    sig = F.when(known, F.concat(F.lit("uses:"), used)).otherwise(F.concat(F.lit("run:"), extract.first_meaningful_line(F.col("run"))))
+    shown = F.when(kind == "local-action", F.concat(F.lit("./"), "target.id")).when(kind == "docker", F.concat(F.lit("docker://"), "target.id")).otherwise(F.concat("target.id", ref))
+    asks = F.when(F.coalesce(F.size("with") > 0, F.lit(False)), "      # TODO: parametrize via inputs:\n").otherwise("")
+    body = F.array_join(F.transform(F.split(F.regexp_replace("run", "\r?\n$", ""), "\r?\n"), lambda line: F.concat(F.lit("        "), line, F.lit("\n"))), "")
+    text_ = F.when(known, F.concat(F.lit("    - uses: "), shown, F.lit("\n"), asks)).otherwise(F.concat(F.lit("    - shell: "), F.coalesce("shell", F.lit("bash")), F.lit("\n      run: |\n"), body))
+    return estate.steps.select(container.alias("container"), F.col("step_ord").alias("ord"), sig.alias("sig"), text_.alias("text"))
+
+
+#: How a proposed action begins.
+SKETCH = "name: extracted-bootstrap\ndescription: Extracted from duplicated step sequences. Review and parametrize before using.\nruns:\n  using: composite\n  steps:\n"
+
+
+def extraction(estate: Estate, min_length: int = 3, min_occurrences: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Step sequences worth an action of their own: (candidates, sites).
+
+    candidates: rank, id, length, occurrences, score (length times the occurrences that go), sketch (the
+    action as YAML, from the first occurrence); sites: id, container, start, end. Ranked by
+    score, length and occurrences, all falling, then by the text of the first site.
+    """
+    steps = cut(extraction_steps(estate))
+    sequences, sites = extract.grown(steps, min_length, min_occurrences)
+    kept = cut(sequences.where("kept").drop("kept"))
+    at = kept.select("id", "length", F.col("id.container").alias("container"), F.explode(F.expr("sequence(id.start, id.start + length - 1)")).alias("ord"))
+    said = at.join(steps.select("container", F.col("ord").cast("int").alias("ord"), "text"), ["container", "ord"]).groupBy("id", "length").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("t"))
+    score = F.col("length") * (F.col("occurrences") - 1)
+    place = F.format_string("%s:%d-%d", F.col("id.container.name"), F.col("id.start"), F.col("id.start") + F.col("length"))
+    order = Window.orderBy(F.desc("score"), F.desc("length"), F.desc("occurrences"), place)
+    sketch = F.concat(F.lit(SKETCH), F.array_join(F.col("t.text"), ""))
+    candidates = kept.join(said, ["id", "length"]).withColumn("score", score).select(F.row_number().over(order).alias("rank"), "id", "length", "occurrences", "score", sketch.alias("sketch"))
+    cited = sites.join(kept.select("id", "length"), ["id", "length"], "left_semi").select("id", "length", F.col("container.name").alias("container"), "start", (F.col("start") + F.col("length")).alias("end"))
+    return candidates, cited

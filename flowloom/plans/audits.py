@@ -88,9 +88,9 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("container"), (F.row_number().over(order) - 1).alias("ord"), sig.alias("sig"))
 
 
-def frequent(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    found = extract.windows(steps(spark, sf_dir), 2)
-    return found, extract.buckets(found, 3)
+def frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = steps(spark, sf_dir)
+    return extract.spelled(extract.grown(found, 2, 3)[0], found).select("sigs", "length", "occurrences", F.col("id.container").alias("container"), F.col("id.start").alias("start"), "kept")
 
 
 @on.query(f"WITH {SEQ} SELECT container, ord, sig FROM seq")
@@ -105,17 +105,17 @@ def extract_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @on.query(f"WITH {BUCKETS} SELECT sigs, length, occurrences, first // 1000 AS container, CAST(first % 1000 AS INTEGER) AS start FROM bk")
 def extract_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequent(spark, sf_dir)[1]
+    return frequent(spark, sf_dir).drop("kept")
 
 
 @on.query(f"WITH {MAXIMAL} SELECT sigs, length, occurrences FROM best")
 def extract_maximal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.maximal(*frequent(spark, sf_dir)).select("sigs", "length", "occurrences")
+    return frequent(spark, sf_dir).where("kept").select("sigs", "length", "occurrences")
 
 
 @on.query(f"WITH {MAXIMAL} SELECT sigs, length, occurrences, first // 1000 AS container, CAST(first % 1000 AS INTEGER) AS start, length * (occurrences - 1) AS score FROM best")
 def extract_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.ranked(extract.maximal(*frequent(spark, sf_dir)))
+    return extract.ranked(frequent(spark, sf_dir).where("kept").drop("kept"))
 
 
 # Near-duplicates: a document's language, source, distinct lines and distinct words.

@@ -280,8 +280,8 @@ def posexplode_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("conv_id", "turn", (F.col("p") + 1).alias("line_no"), "line")
 
 
-@on.query("""SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> '' AND NOT starts_with(l, '#!') AND NOT starts_with(l, 'set -')
- AND length(l) > 20)[1] AS line FROM conversations""")
+@on.query("""SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '^\\s+|\\s+$', '', 'g')), lambda l: NOT starts_with(l, '#!')
+ AND NOT regexp_matches(l, '^set\\s+-[eu]+(o\\s+pipefail)?$') AND length(l) > 20)[1] AS line FROM conversations""")
 def first_meaningful_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowloom.operators import extract
 
