@@ -90,8 +90,8 @@ def docker_display(host: Column, image: Column, tag: Column) -> Column:
 
 
 def escape_label(label: Column) -> Column:
-    """A label for a diagram: quotes, angle brackets, brackets and line feeds as character references."""
-    for raw, safe in (('"', "#quot;"), ("<", "#lt;"), (">", "#gt;"), ("]", "#93;"), ("\n", " ")):
+    """A label for a diagram: quotes, angle brackets, brackets as character references, line feeds as line breaks."""
+    for raw, safe in (('"', "#quot;"), ("<", "#lt;"), (">", "#gt;"), ("]", "&#93;"), ("\n", "<br/>")):
         label = F.replace(label, F.lit(raw), F.lit(safe))
     return label
 

@@ -216,7 +216,7 @@ def parse_remote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select("c_custkey", host.alias("host"), owner.alias("owner"), name.alias("name"))
 
 
-@on.query("""SELECT page_id, replace(replace(replace(replace(replace(html, '"', '#quot;'), '<', '#lt;'), '>', '#gt;'), ']', '#93;'), chr(10), ' ') AS label,
+@on.query("""SELECT page_id, replace(replace(replace(replace(replace(html, '"', '#quot;'), '<', '#lt;'), '>', '#gt;'), ']', '&#93;'), chr(10), '<br/>') AS label,
  regexp_replace(url, '[^A-Za-z0-9]', '_', 'g') AS node FROM pages""")
 def escape_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", text.escape_label(F.col("html")).alias("label"), text.node_id(F.col("url")).alias("node"))
