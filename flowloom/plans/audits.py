@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions import text
+from flowloom.functions.ranks import numbered
 from flowloom.operators import dedup, extract, findings, graph, search
-from flowloom.plans.graphs import HEAP, found_at, heap, risky
+from flowloom.plans.graphs import FOUND, HEAP, found_at, heap, risky
 from flowloom.plans.registry import Registry, read
 
 on = Registry()
@@ -350,13 +351,25 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heap(spark, sf_dir).join(inside, "src", "left_semi").select(F.concat(F.lit("wf_"), "src").alias("a"), F.concat(F.lit("wf_"), "dst").alias("b")).distinct()
 
 
-@on.query()
+@on.query(f"""WITH RECURSIVE {SCOPE}, n AS (SELECT 'wf_' || node AS id FROM f), e AS (SELECT DISTINCT 'wf_' || src AS a, 'wf_' || dst AS b FROM heap WHERE src IN (SELECT node FROM f)),
+lines AS (SELECT 0 AS part, '' AS key, 'flowchart LR' AS line UNION ALL SELECT 1, id, '  ' || id || '["' || id || '"]' FROM n UNION ALL SELECT 2, a || ' ' || b, '  ' || a || ' --> ' || b FROM e)
+SELECT row_number() OVER (ORDER BY part, key) - 1 AS pos, line FROM lines""")
 def graph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The diagram's lines with their order: header, nodes and edges by their ids as text."""
+    """The diagram's lines with their place: header, nodes and edges by their ids as text."""
     head = spark.range(1).select(F.lit(0).alias("part"), F.lit("").alias("key"), F.lit("flowchart LR").alias("line"))
     node = graph_nodes(spark, sf_dir).select(F.lit(1).alias("part"), F.col("id").alias("key"), F.concat(F.lit("  "), "id", F.lit('["'), text.escape_label(F.col("id")), F.lit('"]')).alias("line"))
     edge = graph_edges(spark, sf_dir).select(F.lit(2).alias("part"), F.concat_ws(" ", "a", "b").alias("key"), F.concat(F.lit("  "), "a", F.lit(" --> "), "b").alias("line"))
-    return head.unionByName(node).unionByName(edge).orderBy("part", "key")
+    return numbered(head.unionByName(node).unionByName(edge), ["part", "key"], "pos").select("pos", "line")
+
+
+@on.query(f"""WITH RECURSIVE {HEAP}, down AS (SELECT o_orderkey AS entry, o_orderkey AS node FROM orders WHERE o_orderkey < 10 UNION SELECT entry, dst FROM down JOIN heap ON src = node)
+SELECT node, list_sort(list(entry)) AS entries, list_sort(list_distinct(list(o_orderpriority))) AS events FROM down JOIN orders ON o_orderkey = entry WHERE node IN ({FOUND}) GROUP BY node""")
+def enrich_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries that reach each finding's node, handed down as sets, and their events."""
+    calls, orders = heap(spark, sf_dir).select("src", "dst"), read(spark, sf_dir, "orders").where("o_orderkey < 10")
+    reaching = graph.handed_down(calls, orders.select(F.col("o_orderkey").alias("node"), F.col("o_orderkey").alias("label"))).join(found_at(spark, sf_dir), "node", "left_semi")
+    events = reaching.select("node", F.explode("labels").alias("o_orderkey")).join(orders.select("o_orderkey", "o_orderpriority"), "o_orderkey").groupBy("node").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("events"))
+    return reaching.join(events, "node").select("node", F.col("labels").alias("entries"), "events")
 
 
 @on.query("SELECT 'wf:' || o_orderkey AS id, 'workflow' AS kind FROM orders UNION ALL SELECT 'la:' || p_partkey, 'local-action' FROM part UNION ALL SELECT 'ea:' || s_suppkey, 'external-action' FROM supplier")

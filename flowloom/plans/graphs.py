@@ -29,13 +29,6 @@ def uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), "l_linenumber", "l_suppkey")
 
 
-def ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as a graph with cycles."""
-    part = read(spark, sf_dir, "part")
-    n = part.agg((F.max("p_partkey") + 1).alias("n"))
-    return part.where("p_size % 3 = 0").crossJoin(F.broadcast(n)).select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7 + 3) % F.col("n")).alias("dst"))
-
-
 def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All parts as a graph with cycles: part p calls part (7 p + 3) mod N and part p div 2."""
     part = read(spark, sf_dir, "part")
@@ -45,7 +38,7 @@ def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HEAP = "heap AS (SELECT (o_orderkey - 10) // 5 AS src, o_orderkey AS dst, o_orderstatus, o_orderpriority, o_custkey FROM orders WHERE o_orderkey >= 10 AND o_orderstatus <> 'P')"
-RING = "ring AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % (SELECT max(p_partkey) + 1 FROM part) AS dst FROM part WHERE p_size % 3 = 0)"
+CYCLES = "cycles AS (SELECT p_partkey AS src, unnest([(p_partkey * 7 + 3) % (SELECT max(p_partkey) + 1 FROM part), p_partkey // 2]) AS dst FROM part)"
 SEEDS = "SELECT o_orderkey AS node FROM orders WHERE o_totalprice > 400000"
 RISKY = "SELECT o_orderkey AS node FROM orders WHERE o_orderpriority = '1-URGENT'"
 FOUND = "SELECT DISTINCT l_orderkey AS node FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45"
@@ -104,16 +97,10 @@ def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached.join(entries(spark, sf_dir), "node", "left_semi").join(changed, "node", "left_anti").orderBy("node")
 
 
-@on.query(f"""WITH RECURSIVE {RING}, s AS (SELECT p_partkey AS node FROM part WHERE p_size = 50),
-f AS (SELECT node FROM s UNION SELECT dst FROM f JOIN ring ON src = node), b AS (SELECT node FROM s UNION SELECT src FROM b JOIN ring ON dst = node)
+@on.query(f"""WITH RECURSIVE {CYCLES}, s AS (SELECT p_partkey AS node FROM part WHERE p_size = 50),
+f AS (SELECT node FROM s UNION SELECT dst FROM f JOIN cycles ON src = node), b AS (SELECT node FROM s UNION SELECT src FROM b JOIN cycles ON dst = node)
 SELECT node FROM f UNION SELECT node FROM b""")
 def bidirectional_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = read(spark, sf_dir, "part").where("p_size = 50").select(F.col("p_partkey").alias("node"))
-    return graph.both_ways(ring(spark, sf_dir), chosen)
-
-
-@on.query()
-def bidirectional_closure_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = read(spark, sf_dir, "part").where("p_size = 50").select(F.col("p_partkey").alias("node"))
     return graph.both_ways(cycles(spark, sf_dir), chosen)
 
@@ -132,14 +119,11 @@ def closure_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.between(heap(spark, sf_dir).select("src", "dst"), risky(spark, sf_dir), found_at(spark, sf_dir)).select("src", "dst")
 
 
-@on.query(f"""WITH RECURSIVE {RING}, e AS (SELECT src AS a, dst AS b FROM ring UNION SELECT dst, src FROM ring),
-r AS (SELECT a AS node, a AS other FROM e UNION SELECT node, b FROM r JOIN e ON a = other) SELECT node, min(other) AS root FROM r GROUP BY node""")
+# A component's smallest node reaches all of it: labels from each node that no smaller neighbour has, the least that arrives counts.
+@on.query(f"""WITH RECURSIVE {CYCLES}, e AS (SELECT src AS a, dst AS b FROM cycles UNION SELECT dst, src FROM cycles),
+low AS (SELECT a FROM e GROUP BY a HAVING min(b) >= a),
+r AS (SELECT a AS node, a AS root FROM low UNION SELECT b, root FROM r JOIN e ON a = node) SELECT node, min(root) AS root FROM r GROUP BY node""")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components(ring(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b")))
-
-
-@on.query()
-def connected_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(cycles(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
@@ -246,18 +230,26 @@ def permissions_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perm(spark, sf_dir).select("node", permissions.effective(F.col("job"), F.col("wf")).alias("cap"))
 
 
-BROAD = "SELECT 'OverlyBroad' AS kind, node, 'workflow' AS scope FROM perm WHERE list_min(wf) = 2 UNION ALL SELECT 'OverlyBroad', node, 'job' FROM perm WHERE list_min(job) = 2"
+# Entries: orders whose customer has an event other than a call.
+ENTRY = "node IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT user_id FROM events WHERE event_type <> 'error'))"
+BROAD = f"SELECT 'OverlyBroad' AS kind, node, 'workflow' AS scope FROM perm WHERE list_min(wf) = 2 AND {ENTRY} UNION ALL SELECT 'OverlyBroad', node, 'job' FROM perm WHERE list_min(job) = 2 AND {ENTRY}"
+
+
+def entry_perm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    started = read(spark, sf_dir, "events").where("event_type <> 'error'").select(F.col("user_id").alias("o_custkey"))
+    entry = read(spark, sf_dir, "orders").join(started, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("node"))
+    return perm(spark, sf_dir).join(entry, "node", "left_semi")
 
 
 @on.query(f"WITH {PERM} {BROAD}")
 def permissions_overly_broad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = perm(spark, sf_dir).select("node", F.explode(F.array(F.struct(F.lit("workflow").alias("scope"), F.col("wf").alias("p")), F.struct(F.lit("job").alias("scope"), F.col("job").alias("p")))).alias("l"))
+    each = entry_perm(spark, sf_dir).select("node", F.explode(F.array(F.struct(F.lit("workflow").alias("scope"), F.col("wf").alias("p")), F.struct(F.lit("job").alias("scope"), F.col("job").alias("p")))).alias("l"))
     return each.where("array_min(l.p) = 2").select(F.lit("OverlyBroad").alias("kind"), "node", "l.scope")
 
 
-@on.query(f"WITH {PERM} SELECT 'ImplicitDefault' AS kind, node, 'workflow' AS scope FROM perm WHERE wf IS NULL AND job IS NULL")
+@on.query(f"WITH {PERM} SELECT 'ImplicitDefault' AS kind, node, 'workflow' AS scope FROM perm WHERE wf IS NULL AND job IS NULL AND {ENTRY}")
 def permissions_implicit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return perm(spark, sf_dir).where("wf is null and job is null").select(F.lit("ImplicitDefault").alias("kind"), "node", F.lit("workflow").alias("scope"))
+    return entry_perm(spark, sf_dir).where("wf is null and job is null").select(F.lit("ImplicitDefault").alias("kind"), "node", F.lit("workflow").alias("scope"))
 
 
 ESCALATION = f"""{HEAP}, {PERM}, t AS (SELECT node AS root, node, 0 AS depth, coalesce(job, wf) AS cap, false AS violated FROM perm WHERE node < 10 AND coalesce(job, wf) IS NOT NULL
@@ -280,7 +272,7 @@ def permissions_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL = f"""WITH RECURSIVE {ESCALATION}, a AS (SELECT kind, node, scope, 'high' AS severity FROM ({BROAD}) UNION ALL
- SELECT 'ImplicitDefault', node, 'workflow', 'medium' FROM perm WHERE wf IS NULL AND job IS NULL UNION ALL
+ SELECT 'ImplicitDefault', node, 'workflow', 'medium' FROM perm WHERE wf IS NULL AND job IS NULL AND {ENTRY} UNION ALL
  SELECT DISTINCT 'Escalation', node, 'chain', 'high' FROM t WHERE violated)"""
 
 

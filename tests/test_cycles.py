@@ -14,6 +14,6 @@ def test_all_parts_and_both_edges(spark, tmp_path, keys):
     edges = [e for p in keys for e in ((p, (7 * p + 3) % (max(keys) + 1)), (p, p // 2))]
     back = [(b, a) for a, b in edges]
     want = {n: min(reach(edges + back, [n])) for e in edges for n in e}
-    assert {r["node"]: r["root"] for r in catalog.QUERIES["connected_components_all"](spark, str(tmp_path)).collect()} == want
+    assert {r["node"]: r["root"] for r in catalog.QUERIES["connected_components"](spark, str(tmp_path)).collect()} == want
     seeds = [p for p in keys if sizes[p] == 50]
-    assert {r["node"] for r in catalog.QUERIES["bidirectional_closure_all"](spark, str(tmp_path)).collect()} == reach(edges, seeds) | reach(back, seeds)
+    assert {r["node"] for r in catalog.QUERIES["bidirectional_closure"](spark, str(tmp_path)).collect()} == reach(edges, seeds) | reach(back, seeds)
