@@ -146,7 +146,7 @@ def asof_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comments attached to the next node below them."""
     events = read(spark, sf_dir, "events")
     nodes = events.where("event_type = 'click'").withColumnRenamed("event_id", "node_id")
-    found = joins.asof_forward(events.where("event_type = 'signup'"), nodes, "user_id", "ts", "event_id", "node_id")
+    found = joins.asof_forward(events.where("event_type = 'signup'"), nodes, "user_id", "ts", "event_id", "node_id", F.date_trunc("day", "ts"))
     return found.select("event_id", "user_id", "node_id")
 
 
@@ -158,7 +158,7 @@ def range_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = read(spark, sf_dir, "lineitem")
     ranges = line.where("l_quantity > 40").select("l_suppkey", F.col("l_partkey").alias("lo"), (F.col("l_partkey") + F.col("l_linenumber") * 2).alias("hi"))
     points = line.where("l_quantity <= 40").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber")
-    return joins.outside_ranges(points, ranges, "l_suppkey", "l_partkey", "lo", "hi")
+    return joins.outside_ranges(points, ranges, "l_suppkey", "l_partkey", "lo", "hi", 1000)
 
 
 @on.query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^[^ ]* (ring|bolt)$') AND NOT regexp_matches(p_name, '^red .*$')")

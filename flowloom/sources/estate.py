@@ -23,6 +23,8 @@ from flowloom.sources.yaml_text import LINE, to_json
 # Folders that are never searched.
 PRUNED = (".git", "target", "node_modules")
 PREFIX = "flowloom"
+#: Lines of a file that are swept together.
+LINES = 10_000
 
 STEP = f"id string, name string, uses string, run string, `if` string, `with` map<string,string>, env map<string,string>, shell string, `continue-on-error` string, `timeout-minutes` string, `working-directory` string, `{LINE}` int"
 JOB = f"""name string, needs string, `runs-on` string, `if` string, uses string, `with` map<string,string>, secrets string, permissions string, outputs map<string,string>,
@@ -217,13 +219,13 @@ def annotations(docs: DataFrame, jobs: DataFrame, steps: DataFrame, actions: Dat
     lines = known.select("path", F.posexplode(F.split("content", "\n")).alias("p", "l")).where(F.col("l").rlike(rf"^\s*#\s*{prefix}:\S+"))
     parts = lines.select("path", (F.col("p") + 1).alias("line"), F.regexp_extract("l", rf"#\s*{prefix}:(\S+)\s*(\S*)", 1).alias("verb"), F.regexp_replace(F.regexp_extract("l", rf"#\s*{prefix}:(\S+)\s*(\S*)", 2), r"^(?:\./)+|(?<=.)/+$", "").alias("target"))
     ranges = known.select("path", F.explode("t.__texts__").alias("r")).select("path", F.col("r")[0].alias("lo"), F.col("r")[1].alias("hi"))
-    free = joins.outside_ranges(parts, ranges, "path", "line", "lo", "hi")
+    free = joins.outside_ranges(parts, ranges, "path", "line", "lo", "hi", LINES)
     nodes = jobs.select(F.col("wf_id").alias("path"), "line", "job_ord", F.lit(-1).alias("step_ord")).unionByName(steps.where("owner_kind = 'workflow'").select(F.col("owner_id").alias("path"), "line", "job_ord", "step_ord"))
     inside = steps.where("owner_kind = 'action'").join(actions.select(F.col("act_id").alias("owner_id"), "file"), "owner_id")
     nodes = nodes.unionByName(inside.select(F.col("file").alias("path"), "line", "job_ord", "step_ord"))
     nodes = nodes.withColumn("node", F.struct("job_ord", "step_ord"))
     numbered = free.withColumn("note", F.col("line").cast("long"))
-    at = joins.asof_forward(numbered, nodes, "path", "line", "note", "node").select("path", "line", "node")
+    at = joins.asof_forward(numbered, nodes, "path", "line", "note", "node", F.floor(F.col("line") / LINES)).select("path", "line", "node")
     t = F.col("target")
     reason = (
         F.when(~F.col("verb").isin("dispatches", "triggers"), "unknown verb")

@@ -98,10 +98,10 @@ def test_ordered_joins_equal_nested_loops(spark):
     n = spark.createDataFrame(nodes, "node long, key long, at long, rank long")
     got = {x["row"]: x["node"] for x in joins.asof_backward(r, n, "key", "at", "row", "node", F.col("rank"), F.expr("at div 7")).collect()}
     assert got == {k: max(((a, rk, i) for i, q, a, rk in nodes if q == key and a <= at), default=(0, 0, None))[2] for k, key, at in rows}
-    got = {x["row"]: x["node"] for x in joins.asof_forward(r, n, "key", "at", "row", "node").collect()}
+    got = {x["row"]: x["node"] for x in joins.asof_forward(r, n, "key", "at", "row", "node", F.expr("at div 7")).collect()}
     assert got == {k: min(((a, i) for i, q, a, _ in nodes if q == key and a > at), default=(0, None))[1] for k, key, at in rows}
     ranges = [(key, at, at + chance.randrange(6)) for _, key, at, _ in nodes]
-    free = joins.outside_ranges(r, spark.createDataFrame(ranges, "key long, lo long, hi long"), "key", "at", "lo", "hi")
+    free = joins.outside_ranges(r, spark.createDataFrame(ranges, "key long, lo long, hi long"), "key", "at", "lo", "hi", 7)
     assert {x["row"] for x in free.collect()} == {k for k, key, at in rows if not any(q == key and lo <= at < hi for q, lo, hi in ranges)}
 
 
@@ -147,3 +147,18 @@ def test_incremental_refresh(spark, tmp_path):
     stream = spark.readStream.schema("value string").text(str(tmp_path / "in"))
     refresh.watch(stream, lambda batch: batch, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_a_key_of_most_rows_is_swept_in_parts(spark, seed):
+    """Nodes, ends and ranges of buckets far before or behind are carried, over empty buckets too; null keys are a key."""
+    chance = random.Random(seed)
+    key = lambda: chance.choice([1, 1, 1, 1, 2, None])
+    rows = [(k, key(), chance.randrange(2000)) for k in range(300)]
+    nodes = [(k, key(), chance.randrange(2000)) for k in range(12)]
+    r, n = spark.createDataFrame(rows, "row long, key long, at long"), spark.createDataFrame(nodes, "node long, key long, at long")
+    got = {x["row"]: x["node"] for x in joins.asof_forward(r, n, "key", "at", "row", "node", F.expr("at div 50")).collect()}
+    assert got == {k: min(((a, i) for i, q, a in nodes if q == key and a > at), default=(0, None))[1] for k, key, at in rows}
+    ranges = [(q, a, a + chance.choice([1, 40, 900])) for _, q, a in nodes]
+    free = joins.outside_ranges(r, spark.createDataFrame(ranges, "key long, lo long, hi long"), "key", "at", "lo", "hi", 50)
+    assert sorted(x["row"] for x in free.collect()) == [k for k, key, at in rows if not any(q == key and lo <= at < hi for q, lo, hi in ranges)]
