@@ -167,7 +167,11 @@ def docker_parts(image: Column) -> Column:
 
 def load(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), prefix: str = PREFIX) -> Estate:
     """All tables of the estate under ``root``. The files are read and parsed once, now, into the session's shared folder."""
-    docs = cut(parsed(scan(spark, root, exclude)))
+    return built(cut(parsed(scan(spark, root, exclude))), prefix)
+
+
+def built(docs: DataFrame, prefix: str = PREFIX) -> Estate:
+    """The tables of an estate from its parsed files (``parsed``)."""
     flows = docs.where("kind = 'workflow' and doc is not null").select("path", F.from_json("doc", WORKFLOW).alias("d"))
     acts = docs.where("kind = 'action' and doc is not null").select("path", F.from_json("doc", ACTION).alias("d"))
     workflows = flows.select(F.col("path").alias("wf_id"), "d.name", F.col("d.`run-name`").alias("run_name"), "d.permissions", plain(F.col("d.env")).alias("env"), "d.concurrency", "d.defaults")
