@@ -33,30 +33,70 @@ def similarity(x: str, y: str):
     return total.cast("float")
 
 
-def similar_pairs(features: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs a < b of similarity ``threshold`` or more, with it: exact.
-
-    As the weights sum to one, the ``use`` sets of such a pair have a Jaccard similarity of
-    at least 1 - (1 - threshold) / 0.4, so they share a token among the rarest ones (prefix
-    filter); empty sets get a sentinel token. Candidates come from an equality join on
-    those, are cut by set size, and are verified on the whole sets.
+def _weighted(kind: str, weight: float):
+    """A kind's tokens with what each counts; an empty set is one token (null) that counts all."""
+    tokens = F.when(F.size(kind) > 0, F.col(kind)).otherwise(F.array(F.lit(None).cast("string")))
+    counts = F.lit(weight) / F.greatest(F.size(kind), F.lit(1))
+    return F.transform(tokens, lambda t: F.struct(F.xxhash64(F.lit(kind), t.isNull(), t).alias("token"), counts.alias("counts")))
+
+
+def similar_classes(features: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, members, sets): documents of equal sets are one class, named by its smallest document; pairs a < b are of classes
+    of similarity ``threshold`` or more, any threshold above 0, and exact; members: doc, rep; sets: those of the classes.
+
+    A token of a kind counts its weight by the size of the document's set of that kind, and
+    an empty set is one token with the whole weight; then a pair shares tokens that count
+    the threshold at least, for each of the two. So of each document's shared tokens, the rarest first,
+    only those matter behind which (with themselves) that much is left: the rarest one that
+    a pair shares is among them for both. Pairs that meet there are cut by what the
+    sizes of their sets allow, and verified on the whole sets.
     """
-    bound = max(0.0, 1 - (1 - threshold) / 0.40 - 1e-6)
-    if bound <= 0:
-        raise ValueError("the threshold is too low for a prefix filter")
-    sets = sets_of(features)
-    used = features.where("kind = 'use'").select("doc", "token").distinct()
-    none = sets.where(F.size("use") == 0).select("doc", F.lit("\u0000").alias("token"))
-    tokens = used.unionByName(none).select("doc", F.xxhash64("token").alias("token"))
-    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    order = Window.partitionBy("doc").orderBy("df", "token")
-    placed = tokens.join(common, "token").where("df > 0").withColumn("pos", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc")))
-    prefix = placed.where(F.col("pos") <= F.col("n") - F.ceil(F.lit(bound) * F.col("n")) + 1).where("df > 1").select("doc", "token", "n")
-    x, y = (prefix.select(F.col("doc").alias(d), "token", F.col("n").alias(f"{d}_n")) for d in "ab")
-    sized = F.least("a_n", "b_n") >= F.lit(bound) * F.greatest("a_n", "b_n")
-    pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & sized).select("a", "b").distinct()
+    if threshold <= 0:
+        raise ValueError("all documents are similar to degree 0")
+    least = threshold - 1e-6
+    kinds = [k for k, _ in WEIGHTS]
+    whole = cut(sets_of(features).withColumn("same", F.sha2(F.to_json(F.struct(*kinds)), 256)))
+    first = whole.groupBy("same").agg(F.min("doc").alias("rep"))
+    members = cut(whole.select("doc", "same").join(first, "same").select("doc", "rep"))
+    sets = whole.join(first.select(F.col("rep").alias("doc")), "doc", "left_semi").drop("same")
+    sizes = F.struct(*[F.size(k).alias(k) for k in kinds])
+    tokens = sets.select("doc", sizes.alias("sizes"), F.inline(F.concat(*[_weighted(k, w) for k, w in WEIGHTS])))
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    left = F.sum("counts").over(Window.partitionBy("doc").orderBy(F.desc("df"), F.desc("token")).rowsBetween(Window.unboundedPreceding, 0))
+    prefix = cut(tokens.join(common, "token").withColumn("left", left).where(F.col("left") >= least).select("doc", "token", "sizes"))
+    x, y = (prefix.select(F.col("doc").alias(d), "token", F.col("sizes").alias(f"{d}_sizes")) for d in "ab")
+    most = lambda k, w: F.when(F.greatest(f"a_sizes.{k}", f"b_sizes.{k}") == 0, w).otherwise(w * F.least(f"a_sizes.{k}", f"b_sizes.{k}") / F.greatest(f"a_sizes.{k}", f"b_sizes.{k}"))
+    allowed = sum((most(k, w) for k, w in WEIGHTS[1:]), most(*WEIGHTS[0])) >= least
+    pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & allowed).select("a", "b").distinct()
     full = pairs.join(sets.alias("x"), F.col("a") == F.col("x.doc")).join(sets.alias("y"), F.col("b") == F.col("y.doc"))
-    return full.select("a", "b", similarity("x", "y").alias("similarity")).where(F.col("similarity") >= F.lit(threshold).cast("float"))
+    found = full.select("a", "b", similarity("x", "y").alias("similarity")).where(F.col("similarity") >= F.lit(threshold).cast("float"))
+    return cut(found), members, sets
+
+
+def equal_similarity(threshold: float):
+    """The similarity of equal sets, as a column over (doc, rep) rows; null if that is less than ``threshold``."""
+    total = None
+    for _, weight in WEIGHTS:
+        term = F.lit(weight).cast("float") * F.lit(1.0).cast("float")
+        total = term if total is None else total + term
+    return F.when(total.cast("float") >= F.lit(threshold).cast("float"), total.cast("float"))
+
+
+def similar_pairs(features: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Pairs a < b of documents of similarity ``threshold`` or more, with it: what ``similar_classes`` finds, for all members."""
+    pairs, members, _ = similar_classes(features, threshold)
+    x, y = (members.select(F.col("doc").alias(f"{d}_doc"), F.col("rep").alias(d)) for d in "ab")
+    ends = [F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b")]
+    between = pairs.join(x, "a").join(y, "b").select(*ends, "similarity")
+    within = x.join(y, F.col("a") == F.col("b")).where("a_doc < b_doc").select(*ends, equal_similarity(threshold).alias("similarity")).where("similarity is not null")
+    return between.unionByName(within)
+
+
+def similar_clusters(features: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``clusters`` of all similar pairs, found on classes: copies of a document are never paired with each other."""
+    pairs, members, _ = similar_classes(features, threshold)
+    copies = members.where("doc <> rep").where(equal_similarity(threshold).isNotNull())
+    return clusters(pairs.select("a", "b").unionByName(copies.select(F.col("rep").alias("a"), F.col("doc").alias("b"))), features)
 
 
 def clusters(pairs: DataFrame, features: DataFrame) -> DataFrame:

@@ -152,8 +152,7 @@ def similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = features(spark, sf_dir)
-    return dedup.clusters(dedup.similar_pairs(f), f)
+    return dedup.similar_clusters(features(spark, sf_dir))
 
 
 @on.query(f"WITH RECURSIVE {CLUSTERS} SELECT representative, m.doc, {SIM} AS similarity FROM members m JOIN f a ON a.doc = representative JOIN f b ON b.doc = m.doc")
