@@ -47,3 +47,19 @@ def test_llm_subpackage_is_optional():
     root = pathlib.Path(catalog.__file__).parents[1]
     users = [p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts and re.search(r"flowloom\.llm|from \.+llm", p.read_text())]
     assert not users
+
+
+def test_entry_without_the_subpackage(tmp_path):
+    """A copy without the training-data folders and the pipeline still imports and has all queries of the catalog."""
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(catalog.__file__).parents[2]
+    shutil.copytree(root / "flowloom", tmp_path / "flowloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert said.stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.ORACLE_SQL))], said.stderr
