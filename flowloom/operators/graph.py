@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.lineage import cut
+from flowloom.functions.ranks import numbered
 
 
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -87,6 +88,36 @@ def paths(edges: DataFrame, roots: DataFrame, carry: dict[str, tuple[Column, Col
         found = found.unionByName(level)
 
 
+def preorder(found: DataFrame) -> DataFrame:
+    """``paths`` with ``pos``, each row's place in its root's depth-first order, from 1.
+
+    Rows are ordered over all roots by ranges, so a root of very many rows is numbered in parts.
+    """
+    placed = numbered(found, ["root", "sort_key"], "_place")
+    first = placed.groupBy(F.col("root").alias("_root")).agg(F.min("_place").alias("_first"))
+    return placed.join(first, F.col("root") == F.col("_root")).withColumn("pos", (F.col("_place") - F.col("_first") + 1).cast("int")).drop("_place", "_root", "_first")
+
+
+def folded(found: DataFrame, inner: Column) -> DataFrame:
+    """Trees as texts, from the leaves up: root, text. ``found``: ``paths`` rows; ``inner``: a row's text, with its children's, joined by commas, in column ``children``."""
+    depth = found.agg(F.max("depth").alias("d")).first()["d"]
+    below = None
+    for d in range(-1 if depth is None else depth, -1, -1):
+        level = found.where(F.col("depth") == d)
+        if below is None:
+            level = level.withColumn("children", F.lit(""))
+        else:
+            level = level.join(below, (F.col("root") == F.col("_root")) & (F.col("sort_key") == F.col("_above")), "left").withColumn("children", F.coalesce("_texts", F.lit(""))).drop("_root", "_above", "_texts")
+        texts = level.select("root", "sort_key", inner.alias("text"))
+        above = F.slice("sort_key", 1, F.greatest(F.size("sort_key") - 1, F.lit(0)))
+        if d:
+            gathered = F.array_sort(F.collect_list(F.struct("sort_key", "text")))
+            below = cut(texts.groupBy(F.col("root").alias("_root"), above.alias("_above")).agg(F.array_join(F.transform(gathered, lambda c: c["text"]), ",").alias("_texts")))
+        else:
+            return texts.select("root", "text")
+    return found.select("root", F.lit("").alias("text")).limit(0)
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): node, root (the smallest node).
 

@@ -117,13 +117,58 @@ def trace(estate: Estate, event: str | None = None, types: list[str] = (), branc
 
     Nodes that several ways lead to stand at each; what isn't in the estate is a leaf.
     """
-    roots = started(estate, event, types, branches, tags, paths)
+    found = graph.preorder(_traced(estate, started(estate, event, types, branches, tags, paths)))
+    return found.select("root", "pos", "depth", "node", "edge_kind", "guard", "is_cycle", "types_line")
+
+
+def _traced(estate: Estate, roots: DataFrame) -> DataFrame:
     null = F.lit(None).cast("string")
     edges = linked(estate.edges).select("src", "dst", "ord", F.col("edge_kind").alias("via"), F.col("guard").alias("when"))
     carry = {"edge_kind": (null, F.col("via")), "guard": (null, F.col("when")), "types_line": (F.col("types_line"), null)}
-    found = graph.paths(edges, roots, carry)
-    pos = F.row_number().over(Window.partitionBy("root").orderBy("sort_key"))
-    return found.select("root", pos.alias("pos"), "depth", "node", "edge_kind", "guard", "is_cycle", "types_line")
+    return graph.paths(edges, roots, carry)
+
+
+def _quoted(text_: Column) -> Column:
+    """A text as JSON has it."""
+    said = F.to_json(F.struct(text_.alias("v")))
+    return F.substring(said, F.lit(6), F.length(said) - 6)
+
+
+def _object(**fields: Column) -> Column:
+    """A JSON object of given JSON values, without those that are null."""
+    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*[F.concat(F.lit(f'"{k}":'), v) for k, v in fields.items()])), ","), F.lit("}"))
+
+
+def trace_documents(estate: Estate, event: str | None = None, types: list[str] = (), branches: list[str] = (), tags: list[str] = (), paths: list[str] = ()) -> DataFrame:
+    """A JSON document for each entry workflow that ``started`` gives: root (its path), document.
+
+    ``{"root": node, "trigger": {"event", "types": {"kind", "values"}}}``, types only where the event has any. Nodes have
+    a kind (workflow, action, external-action, external-workflow, docker, annotated, cycle, guarded) and what belongs to
+    it; they are put together on the executors, from the leaves up.
+    """
+    begun = cut(started(estate, event, types, branches, tags, paths))
+    kind, name = F.substring_index("node", ":", 1), F.expr("substring(node, instr(node, ':') + 1)")
+    bare, ref = F.regexp_replace(name, "@[^@]*$", ""), F.regexp_extract(name, "@([^@]*)$", 1)
+    parts = F.split(bare, "/", 3)
+    owner, repo, rest = (_quoted(F.get(parts, F.lit(k))) for k in range(3))
+    more = F.when(F.size(parts) > 2, rest)
+    children = F.concat(F.lit("["), "children", F.lit("]"))
+    plain_node = (
+        F.when(F.col("is_cycle"), _object(kind=F.lit('"cycle"'), target_kind=_quoted(kind), target=_quoted(name)))
+        .when(kind == "external-action", _object(kind=_quoted(kind), owner=owner, repo=repo, subpath=more, gitref=_quoted(ref)))
+        .when(kind == "external-workflow", _object(kind=_quoted(kind), owner=owner, repo=repo, path=more, gitref=_quoted(ref)))
+        .when(kind == "docker", _object(kind=_quoted(kind), image=_quoted(name)))
+        .otherwise(_object(kind=_quoted(kind), id=_quoted(name), children=children))
+    )
+    dangling = kind == "unresolved"
+    note = _object(kind=F.lit('"annotated"'), verb=_quoted(F.col("edge_kind")), dangling=dangling.cast("string"), label=_quoted(name), children=F.concat(F.lit("["), F.when(dangling, "").otherwise(plain_node), F.lit("]")))
+    node = F.when(F.col("edge_kind").isin("dispatches", "triggers"), note).otherwise(plain_node)
+    whole = F.when(F.col("guard").isNotNull(), _object(kind=F.lit('"guarded"'), if_expr=_quoted(F.col("guard")), inner=node)).otherwise(node)
+    trees = graph.folded(cut(_traced(estate, begun)), whole)
+    said = F.when(F.col("types_kind").isNotNull(), _object(kind=_quoted(F.col("types_kind")), values=F.when(F.col("types_kind") != "implicit-all", F.to_json("types"))))
+    trigger = _object(event=_quoted(F.col("event")), types=said)
+    both = trees.join(begun.withColumnRenamed("node", "root"), "root")
+    return both.select(F.substring("root", 10, 1 << 20).alias("root"), _object(root=F.col("text"), trigger=trigger).alias("document"))
 
 
 def declarations(estate: Estate) -> DataFrame:

@@ -155,10 +155,9 @@ def trace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
  CASE WHEN depth = 0 THEN 'entry' WHEN is_cycle THEN 'cycle' ELSE 'workflow' END AS kind, coalesce(guard, CASE WHEN depth = 0 THEN 'entry, types: all' ELSE '' END) AS note FROM t""")
 def trace_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trace of each entry as rows in depth-first order."""
-    pos = F.row_number().over(Window.partitionBy("root").orderBy("sort_key")).cast("long")
     kind = F.when(F.col("depth") == 0, "entry").when(F.col("is_cycle"), "cycle").otherwise("workflow")
     note = F.coalesce("guard", F.when(F.col("depth") == 0, "entry, types: all").otherwise(""))
-    return traced(spark, sf_dir).select("root", pos.alias("pos"), F.expr("concat(repeat('  ', depth), node)").alias("dep"), kind.alias("kind"), note.alias("note"))
+    return graph.preorder(traced(spark, sf_dir)).select("root", F.col("pos").cast("long").alias("pos"), F.expr("concat(repeat('  ', depth), node)").alias("dep"), kind.alias("kind"), note.alias("note"))
 
 
 REACHED = f"{HEAP}, f AS ({RISKY} UNION SELECT dst FROM f JOIN heap ON src = node)"
