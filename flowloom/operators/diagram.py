@@ -10,7 +10,7 @@ from flowloom.functions.ranks import numbered
 from flowloom.functions.text import escape_label
 from flowloom.operators import graph
 from flowloom.operators.questions import linked, named, run_links
-from flowloom.sources.estate import Estate
+from flowloom.sources.estate import Estate, docker_parts
 
 # Events whose subgraphs come first, in this order; all others follow by name.
 FIRST_EVENTS = ("push", "pull_request", "schedule", "workflow_dispatch", "workflow_run")
@@ -38,9 +38,8 @@ def _externals(edges: DataFrame, kind: str, prefix: str) -> DataFrame:
     ends = edges.where(F.col("dst_kind") == kind).select("dst", "dst_ref").distinct()
     name = F.col("dst")
     if kind == "docker":
-        hosted = name.contains("/") & (F.substring_index(name, "/", 1).rlike("[.:]") | (F.substring_index(name, "/", 1) == "localhost"))
-        rest = F.when(hosted, F.regexp_replace(name, "^[^/]*/", "")).otherwise(name)
-        keys = [F.when(hosted, F.substring_index(name, "/", 1)), F.regexp_replace(rest, ":[^:/]*$", ""), F.nullif(F.regexp_extract(rest, ":([^:/]*)$", 1), F.lit("")), F.lit(None).cast("string")]
+        image = docker_parts(name)
+        keys = [image["host"], image["image"], image["tag"], F.lit(None).cast("string")]
     else:
         split = F.split(name, "/", 3)
         keys = [F.get(split, F.lit(0)), F.get(split, F.lit(1)), F.get(split, F.lit(2)), F.col("dst_ref")]
