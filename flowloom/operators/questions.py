@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.functions import jobs as fields
 from flowloom.functions import text
 from flowloom.functions.lineage import cut
 from flowloom.operators import extract, findings, graph, joins, permissions, triggers
 from flowloom.operators import secrets as propagation
-from flowloom.sources.estate import Estate, plain
+from flowloom.sources.estate import Estate, docker_parts, plain
 
 #: Lines of a file in one bucket of the as-of join.
 BUCKET = 10_000
@@ -189,6 +190,28 @@ def part(json: Column, key: str) -> Column:
     return F.when(json.startswith("{"), F.get_json_object(json, f"$.{key}")).otherwise(json)
 
 
+def job_fields(estate: Estate) -> DataFrame:
+    """The fields of jobs that come in several forms, typed: wf_id, job_ord, job_id, needs, runs_on, strategy, environment, container, services (``functions.jobs``)."""
+    typed = [getattr(fields, name)(F.col(f"`{column}`")).alias(name) for name, column in (("needs", "needs"), ("runs_on", "runs-on"), ("strategy", "strategy"), ("environment", "environment"), ("container", "container"), ("services", "services"))]
+    return estate.jobs.select("wf_id", "job_ord", "job_id", *typed)
+
+
+def matrix(estate: Estate) -> DataFrame:
+    """The members of the jobs' matrices: wf_id, job_id, dimension, pos (from 0), value (a variant)."""
+    dimensions = job_fields(estate).select("wf_id", "job_id", F.explode("strategy.matrix").alias("dimension", "members"))
+    return dimensions.select("wf_id", "job_id", "dimension", F.posexplode("members").alias("pos", "value"))
+
+
+def images(estate: Estate) -> DataFrame:
+    """Every image that the estate names: owner (a node), job_id, site (container, service, step), name (of the service, or the step's place), host, image, tag."""
+    typed = job_fields(estate)
+    flow, none = named(F.lit("workflow"), "wf_id").alias("owner"), F.lit(None).cast("string")
+    found = typed.where("container is not null").select(flow, "job_id", F.lit("container").alias("site"), none.alias("name"), F.col("container.image").alias("said"))
+    service = typed.select(flow, "job_id", F.explode("services").alias("name", "s")).select("owner", "job_id", F.lit("service").alias("site"), "name", F.col("s.image").alias("said"))
+    step = estate.steps.where("target.kind = 'docker'").select(named("owner_kind", "owner_id").alias("owner"), "job_id", F.lit("step").alias("site"), F.col("step_ord").cast("string").alias("name"), F.col("target.id").alias("said"))
+    return found.unionByName(service).unionByName(step).select("owner", "job_id", "site", "name", docker_parts(F.col("said")).alias("d")).select("owner", "job_id", "site", "name", "d.*")
+
+
 def container_texts(json: Column) -> Column:
     env = F.map_values(plain(F.from_json(F.get_json_object(json, "$.env"), "map<string,string>")))
     only = lambda key: F.when(json.startswith("{"), F.get_json_object(json, f"$.{key}"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import text
 from flowloom.functions.ranks import numbered
-from flowloom.operators import dedup, extract, findings, graph, search
+from flowloom.operators import browse, dedup, extract, findings, graph, search
 from flowloom.plans.graphs import FOUND, HEAP, found_at, heap, risky
 from flowloom.plans.registry import Registry, read
 
@@ -391,3 +391,13 @@ def browse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         known = line.join(read(spark, sf_dir, table).select(key), key, "left_semi")
         out = out.unionByName(known.select(F.concat(F.lit("wf:"), "l_orderkey").alias("a"), F.concat(F.lit(prefix), key).alias("b"), F.lit(kind).alias("kind")))
     return out
+
+
+@on.query(f"""WITH RECURSIVE {HEAP}, down AS (SELECT o_orderkey AS node FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT dst FROM down JOIN heap ON src = node),
+up AS (SELECT o_orderkey AS node FROM orders WHERE o_orderkey IN ({FOUND}) UNION SELECT src FROM up JOIN heap ON dst = node)
+SELECT src AS source, dst AS target, src IN (SELECT node FROM down) AND dst IN (SELECT node FROM up) AS on_dangerous_path FROM heap""")
+def browse_dangerous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges on a way from a risky entry to a node with findings."""
+    links = heap(spark, sf_dir).select(F.col("src").alias("source"), F.col("dst").alias("target"))
+    known = found_at(spark, sf_dir).join(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node")), "node", "left_semi")
+    return browse.dangerous(links, risky(spark, sf_dir), known)
