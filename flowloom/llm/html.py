@@ -51,6 +51,8 @@ _attributes = re.compile(r"(?<![^\s\"'/>])([^\s\"'>/=]++)\s*+=\s*+(?:\"([^\"]*)\
 UNREAD = frozenset("script style noscript textarea iframe title".split())
 SKIPPED = UNREAD | frozenset("template svg select object".split())
 _ends = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in SKIPPED}
+_bare_hidden = re.compile(r"(?<![^\s\"'/>])hidden(?![^\s/>])", re.I)
+_unseen = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _digits = re.compile(r"\d+")
 _space = re.compile(r"\s+")
 
@@ -67,7 +69,7 @@ CONTAINERS = frozenset("html body div section center table tbody tr td details f
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements, roles and name parts that are not main text.
 DROPPED = frozenset("head nav footer aside form menu dialog button fieldset".split())
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
+DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu hidden".split())
 DROPPED_NAMES = re.compile(
     r"ads?|advert\w*|adslot|adbox|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|foot|header|masthead|topbar"
     r"|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|comments?|commentlist"
@@ -76,8 +78,14 @@ DROPPED_NAMES = re.compile(
 )
 # What a name of such parts may hold besides.
 BESIDES = frozenset("site page main post posts entry article story content top bottom left right primary secondary global wrapper wrap container inner outer area box bar block section list links buttons form link to by".split())
-WHOLE = frozenset("html body main article".split())  # elements that no name drops
+# Parts of names that say so wherever they stand in a name, articles' names too for those of the second kind.
+ANYWHERE = re.compile(r"ads?|advert\w*|adslot|sponsor\w*|banner|nav|navbar|navigation|breadcrumbs?|sidebar|footer|masthead|cookies?|consent|gdpr|popup|newsletter|subscribe|pagination|pager", re.I)
+LESSER = re.compile(r"comments?|commentlist|cmts?|disqus|repl(?:y|ies)|teasers?|related|recommend\w*|promo\w*|sponsored", re.I)
+MODIFIERS = frozenset("has with no without is not show hide hides".split())  # such a name tells of what is inside
+WHOLE = frozenset("html body main article".split())  # elements that no name drops, but for the names of lesser articles
 ENCLOSING = frozenset("form fieldset".split())  # elements that may hold a whole page
+# What the name of a main element may hold besides, and headings inside it.
+MAIN_BESIDES = frozenset("body text page inner wrap wrapper container area section block box single full title headline header head heading lead intro summary blog news".split())
 MAIN_NAMES = re.compile(r"(?:^|[-_\s])(?:article|post|entry|story|content|main|maincontent|body-text|prose|text)(?:$|[-_\s])", re.I)
 
 
@@ -156,9 +164,18 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             yield "open", name, attributes
 
 
+def is_hidden(attributes: str) -> bool:
+    """If browsers don't show the element: hidden, aria-hidden="true" or such a style."""
+    low = attributes.lower()
+    if "hidden" not in low and "display" not in low:
+        return False
+    found = {key.lower(): "".join(values) for key, *values in _attributes.findall(attributes)}
+    return "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or bool(_unseen.search(found.get("style", ""))) or bool(_bare_hidden.search(_attributes.sub(" ", attributes)))
+
+
 def label_of(name: str, attributes: str) -> str:
-    """A tag with its class, id and role; numbers in class names don't matter."""
-    marks = []
+    """A tag with its class, id and role; numbers in class names don't matter. Hidden elements have the role 'hidden'."""
+    marks = ["@hidden"] if is_hidden(attributes) and name not in ("html", "body") else []
     for key, *values in _attributes.findall(attributes):
         if (key := key.lower()) in ("class", "id", "role"):
             value = entities.unescape("".join(values)).lower()
@@ -170,6 +187,7 @@ def parse(page: str | None) -> Node:
     """The element tree of a page: block elements, and text slots with their whole text."""
     root = Node("root")
     stack, places, parts, links, in_link = [("", root)], defaultdict(list), [], 0, 0
+    muted, depth = "", 0  # the inline element that hides what is read, and how many of its name are open
 
     def flush() -> None:
         nonlocal links
@@ -190,7 +208,12 @@ def parse(page: str | None) -> Node:
             del stack[inner:]
 
     for kind, name, more in tokens(page or ""):
-        if kind == "text":
+        if muted and name not in BLOCKS:
+            depth += {"open": 1, "close": -1}.get(kind, 0) if name == muted else 0
+            muted = muted if depth else ""
+        elif kind == "open" and name not in BLOCKS and name not in VOID and is_hidden(more):
+            muted, depth = name, 1
+        elif kind == "text":
             parts.append(more)
             links += len(more.strip()) if in_link else 0
         elif kind == "skip":
@@ -200,6 +223,7 @@ def parse(page: str | None) -> Node:
         elif name == "br":
             parts.append(" ")
         elif name in BLOCKS:
+            muted = ""  # no block is inside an inline element that hides text
             if kind == "close":
                 close((name,))
                 continue
@@ -374,9 +398,11 @@ def wrapper_of(page: Node) -> Node:
 
 @lru_cache(100_000)
 def _named_dropped(token: str) -> bool:
-    """If a class or id as a whole says that it isn't main text: all its parts do, or may stand beside one that does."""
+    """If a class or id says that it isn't main text: some part always does, or all parts do or may stand beside one that does."""
     parts = [p for p in re.split(r"[-_\d]+", token) if p]
-    return any(DROPPED_NAMES.fullmatch(p) for p in parts) and all(p in BESIDES or DROPPED_NAMES.fullmatch(p) for p in parts)
+    if parts and parts[0] in MODIFIERS:
+        return False
+    return any(ANYWHERE.fullmatch(p) or LESSER.fullmatch(p) for p in parts) or any(DROPPED_NAMES.fullmatch(p) for p in parts) and all(p in BESIDES or DROPPED_NAMES.fullmatch(p) for p in parts)
 
 
 @lru_cache(100_000)
@@ -387,7 +413,21 @@ def _dropped(label: str) -> bool:
         return True
     if parts and parts[-1] == SPARED:
         return False
-    return name in DROPPED or (name not in WHOLE and any(_named_dropped(t) for p in parts if not p.startswith("@") for t in p.split()))
+    names = [t for p in parts if not p.startswith("@") for t in p.split()]
+    if name == "article":
+        return any(LESSER.fullmatch(p[-1]) for t in names if (p := [p for p in re.split(r"[-_\d]+", t) if p]))
+    return name in DROPPED or (name not in WHOLE and any(map(_named_dropped, names)))
+
+
+@lru_cache(100_000)
+def _main_named(marks: str) -> int:
+    """2 if a class or id is made of names of main elements and what may stand beside them, 1 if it holds one among other words, else 0."""
+    best = 0
+    for token in marks.replace(".", " ").split():
+        if MAIN_NAMES.search(token):
+            parts = [p for p in re.split(r"[-_\d]+", token) if p]
+            best = max(best, 2 if all(p in MAIN_BESIDES or MAIN_NAMES.search(p) for p in parts) else 1)
+    return best
 
 
 def _spare(root: Node) -> None:
@@ -417,10 +457,13 @@ def _spare(root: Node) -> None:
 def choose(wrapper: Node) -> None:
     """Mark the slots and elements of main text: ``pages`` becomes the sum of their levels' bits, 0 for others.
 
-    Level by level, a page's main element is an article inside a main element, an article
-    or main element, or one named like it, outside everything that is dropped; without any,
-    the smallest element that holds most of the text outside links that isn't the same on
-    all pages. The first level has the lowest bit.
+    Level by level, a page's main element is an article inside a main element (if such hold
+    at least half of its text outside links), an article or main element, or one named like it,
+    outside everything that is dropped; without any, the smallest element that holds most of
+    the text outside links that isn't the same on all pages. The first level has the lowest
+    bit. Of elements named like one, those with other words in their names only count if the
+    others hold less than half of all. A slot that is the same on nearly all pages of a
+    host of at least three is part of the template, unless most of what was chosen is.
     """
 
     def find(node: Node, strong: bool) -> list[Node]:
@@ -430,7 +473,7 @@ def choose(wrapper: Node) -> None:
                 continue
             name, _, marks = item.label.partition(".")
             named = name in ("article", "main") or "@main" in marks.split(".") or "@article" in marks.split(".")
-            if named if strong else any(MAIN_NAMES.search(p) for p in marks.split(".") if p):
+            if named if strong else _main_named(marks):
                 found.append(item)
             else:
                 found += find(item, strong)
@@ -441,8 +484,32 @@ def choose(wrapper: Node) -> None:
             return 0.0 if node.text is not None and node.pages >= 3 else node.chars - 2.0 * node.links
         return 0.0 if id(node) in taken or _dropped(node.label) or node.label.startswith("header") else sum(weight(i) for i in node.items)
 
+    def likely(regions: list[Node]) -> list[Node]:
+        sure = [r for r in regions if _main_named(r.label.partition(".")[2]) == 2]
+        return sure if 2 * sum(map(weight, sure)) >= sum(map(weight, regions)) else regions
+
+    def inner(region: Node) -> list[Node]:
+        articles = _articles(region)
+        return articles if 2 * sum(map(weight, articles)) >= weight(region) else []
+
+    pages = wrapper.pages
+
+    def common_slot(item: Node) -> bool:
+        return item.label == "#" and item.text is not None and pages >= 3 and 10 * item.pages >= 9 * pages
+
+    def sizes(node: Node, total: list[int]) -> list[int]:
+        """The characters of slots by whether they are common."""
+        for item in node.items:
+            if item.label == "#":
+                total[common_slot(item)] += item.chars
+            elif not _dropped(item.label):
+                sizes(item, total)
+        return total
+
     def mark(node: Node, bit: int, headed: bool) -> None:
         for item in node.items:
+            if id(item) in template:
+                continue
             header = item.label.partition(".")[0] == "header"
             if headed if header else item.label == "#" or not _dropped(item.label):
                 item.pages |= bit
@@ -457,7 +524,7 @@ def choose(wrapper: Node) -> None:
     strong = find(wrapper, True)
     if not any(weight(r) > 0 for r in strong):
         strong = []
-    levels = [[i for r in strong for i in _articles(r)], strong, find(wrapper, False)]
+    levels = [[i for r in strong for i in inner(r)], strong, likely(find(wrapper, False))]
     taken |= {id(r) for regions in levels for r in regions}  # pages of the last level have none of these
     node = wrapper
     while True:
@@ -465,8 +532,14 @@ def choose(wrapper: Node) -> None:
         if best is None or weight(best) < 0.6 * max(weight(node), 1.0):
             break
         node = best
+    levels.append([node])
+    template: set[int] = set()
+    for regions in levels:
+        for region in regions:
+            differing, same = sizes(region, [0, 0])
+            template |= {id(slot) for slot in _slots(region) if same <= differing and common_slot(slot)}
     clear(wrapper)
-    for level, regions in enumerate([*levels, [node]]):
+    for level, regions in enumerate(levels):
         for region in regions:
             region.pages |= 1 << level
             mark(region, 1 << level, region.label.partition(".")[0] in ("article", "main"))  # their headers hold the title
