@@ -147,7 +147,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     sources = planned_sources(rows, weights, share, cap, block_words, seed)
     total = sources.agg(F.sum("slots").alias("slots"), F.sum("source_size").alias("words"), F.sum("n").alias("n")).first()
     # Documents of a source are dealt to hash buckets, and neighbouring buckets to parts of some PART_WORDS words.
-    buckets = max(1, (total["n"] or 0) // BUCKET_DOCS)
+    buckets = bucket_count(total["n"] or 0, total["words"] or 0)
     parts = F.expr(f"least({buckets}L, source_size div {PART_WORDS} + 1)").alias("parts")
     named = sources.select("number", F.col("source").alias("name"), "source_size", "target", parts)
     hash_ = F.xxhash64("id", "key")
@@ -173,6 +173,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     return Mix(placed, sources, slots, _written(texts, spans, slots, block_words, seed))
 
 
+def bucket_count(documents: int, words: int) -> int:
+    """Hash buckets of a source: some BUCKET_DOCS documents each, and enough of them to split any source at PART_WORDS words."""
+    return max(1, documents // BUCKET_DOCS, 2 * words // PART_WORDS)
+
+
 def planned_sources(rows: DataFrame, weights: tuple[float, ...], share: float, cap: float, block_words: int, seed: int) -> DataFrame:
     """The sources by code point, null last, with their targets, blocks and slots, stored."""
     order = F.col("source").asc_nulls_last()

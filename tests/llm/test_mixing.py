@@ -93,3 +93,10 @@ def test_shards_hold_the_drawn_words(spark, odd, monkeypatch, block_words, part_
             for p in got["pieces"]:
                 taken[s["number"], p["start"]] += p["words"]
         assert sorted(((r["id"], r["taken"]) for r in mixing.taken_words(mixed).collect()), key=str) == sorted(((r["id"], taken[r["number"], r["start"]]) for r in rows), key=str)
+
+
+def test_parts_are_bounded_by_words_however_few_documents():
+    part = mixing.PART_WORDS
+    for documents, words in ((1, 10), (999, 999 * part), (5_000_000, part), (10, 3 * part), (0, 0)):
+        parts = min(mixing.bucket_count(documents, words), words // part + 1)
+        assert words / parts <= part
