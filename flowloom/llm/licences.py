@@ -9,7 +9,8 @@ training: models that haven't seen a third of the families must take their notic
 unknown. A paragraph that speaks of licences but gets no family with that probability, or
 one of whose templates it holds next to nothing, is of the unknown class. Every family counts as confirmed of which a window holds enough
 of the word triples of one template, in any order, and the words that tell it from its
-siblings, or which an SPDX identifier names; the classifier judges the rest.
+siblings, or which an SPDX identifier names, unless the window denies it, doesn't name its version
+or holds words of a rival with a like text; the classifier judges the rest, under the same conditions.
 """
 
 from __future__ import annotations
@@ -59,22 +60,43 @@ BODIES = {
     "BSD-2-Clause": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
     "MIT": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."],
 }
-_3, _2 = ("version 3", "v3.0", "v3"), ("version 2", "v2.0", "v2")
 # Words that tell a family from those of like templates; one of each group is needed.
 MARKS = {
-    "AGPL-3.0": (("affero",), _3),
+    "AGPL-3.0": (("affero",),),
+    "Apache-2.0": (("apache",),),
     "BSD-2-Clause": (("bsd 2 clause", "redistribution and use"),),
     "BSD-3-Clause": (("bsd 3 clause", "bsd style", "neither the name"),),
     "CC-BY-4.0": (("cc by 4.0", "attribution 4.0"),),
     "CC-BY-NC-4.0": (("cc by nc 4.0", "attribution noncommercial 4.0"),),
     "CC-BY-SA-4.0": (("cc by sa 4.0", "attribution sharealike 4.0"),),
-    "GPL-2.0": (("gnu general",), _2),
-    "GPL-3.0": (("gnu general",), _3),
-    "LGPL-3.0": (("lesser",), _3),
+    "GPL-2.0": (("gnu general",),),
+    "GPL-3.0": (("gnu general",),),
+    "ISC": (("isc license", "with or without fee is hereby granted"),),
+    "LGPL-3.0": (("lesser",),),
     "MIT": (("mit", "hereby granted free"),),
+    "MPL-2.0": (("mozilla",),),
+    "Unlicense": (("unlicense", "free and unencumbered"),),
 }
+# The name after which a family's version stands, and that version.
+VERSIONS = {
+    "AGPL-3.0": ("affero general public license", "3"),
+    "Apache-2.0": ("apache license", "2"),
+    "GPL-2.0": ("gnu general public license", "2"),
+    "GPL-3.0": ("gnu general public license", "3"),
+    "LGPL-3.0": ("lesser general public license", "3"),
+    "MPL-2.0": ("mozilla public license", "2"),
+}
+VERSION_WORDS = 14  # behind the name, in which the version stands
+# Words of other licences with a like text, and of those that say no to a notice.
+RIVALS = {
+    "BSD-2-Clause": ("bsd 4 clause", "all advertising materials", "bsd 1 clause"),
+    "BSD-3-Clause": ("bsd 4 clause", "all advertising materials"),
+    "ISC": ("zero clause", "0bsd"),
+    "MIT": ("mit no attribution", "mit 0", "boost software", "person or organization obtaining"),
+}
+DENIALS = frozenset("not isn never longer neither nor".split())
 # What every paragraph about licences holds one of, lower case.
-ANCHORS = ("licen", "copyright", "permission", "public domain", "warrant", "redistribut", "spdx", "governed by")
+ANCHORS = ("licen", "copyright", "permission", "public domain", "warrant", "redistribut", "spdx", "governed by", "distributed under")
 # Sentences that hold such words and are no licences.
 DECOYS = [
     "He renewed his driver's license before the journey.",
@@ -130,6 +152,35 @@ def spdx_of(text: str) -> set[str]:
     return {_spdx_ids[n] for n in names if n in _spdx_ids}
 
 
+_number = re.compile(r"v?(\d+)(?:\.(\d+))*")
+
+
+def version_said(words: list[str], family: str) -> bool | None:
+    """If the first number behind some place of the family's name is its version; None if no number is there, or it has no versions."""
+    if family not in VERSIONS:
+        return None
+    name, version = VERSIONS[family]
+    own, k = name.split(), len(name.split())
+    met = [next((m for w in words[at + k : at + k + VERSION_WORDS] if (m := _number.fullmatch(w))), None) for at in range(len(words) - k + 1) if words[at : at + k] == own]
+    return any(m[1] == version and int(m[2] or 0) == 0 for m in met if m) if any(met) else None
+
+
+def contradicted(words: list[str], family: str) -> bool:
+    """If a window speaks of another licence with a like text, or of another version only."""
+    said = f" {' '.join(words)} "
+    return any(f" {r} " in said for r in RIVALS.get(family, ())) or version_said(words, family) is False
+
+
+def denied(words: list[str], at: int) -> bool:
+    """If what begins at a place of a window is denied right before it."""
+    return bool(DENIALS & set(words[max(0, at - 2) : at]))
+
+
+def denied_notice(words: list[str]) -> bool:
+    """If a window says that something isn't under a licence."""
+    return any(w in ("licensed", "released", "distributed", "available", "covered") and denied(words, k) for k, w in enumerate(words))
+
+
 def confirmed_in(words: list[str]) -> dict[str, tuple[int, int]]:
     """Each family that a window confirms, with where the triples of its template begin and end."""
     places: dict[tuple[str, ...], list[int]] = {}
@@ -140,7 +191,9 @@ def confirmed_in(words: list[str]) -> dict[str, tuple[int, int]]:
         best = max(templates, key=lambda t: len(t & places.keys()) / len(t))
         if len(best & places.keys()) >= MIN_CONTAINED * len(best) and all(any(f" {m} " in said for m in group) for group in MARKS.get(family, ())):
             at = [k for t in best & places.keys() for k in places[t]]
-            found[family] = (min(at), max(at) + 3)
+            named = family not in VERSIONS or version_said(words, family)
+            if named and not contradicted(words, family) and not denied(words, min(at)):
+                found[family] = (min(at), max(at) + 3)
     return found
 
 
@@ -244,11 +297,12 @@ def unknown_threshold(labelled: list[tuple[list[str], int]]) -> float:
 
 
 def train(docs: DataFrame, text_col: str = "text", bound: int = MAX_NEGATIVES) -> LicenceModel:
-    """Train on the templates and on at most ``bound`` corpus paragraphs (one of each document, smallest text hashes):
+    """Train on the templates and on at most ``bound`` corpus paragraphs (one drawn from each document, smallest text hashes):
     400 characters from a drawn place of the whole paragraph."""
     text = F.col(text_col).cast("string")
-    last = F.element_at(F.split(text, _blank.pattern), -1)
-    each = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("h"), last.alias("p"))
+    paragraphs = F.split(text, _blank.pattern)
+    drawn = F.get(paragraphs, F.pmod(F.xxhash64(text, F.lit("paragraph")), F.size(paragraphs)).cast("int"))
+    each = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("h"), drawn.alias("p"))
     each = each.select("h", F.expr("substring(p, cast(1 + pmod(h, greatest(1, length(p) - 399)) as int), 400)").alias("p"))
     chosen = each.select("h").distinct().orderBy("h").limit(bound)  # hashes alone go to the driver from all tasks
     found = sorted(each.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("p").alias("p")).collect())
@@ -302,7 +356,7 @@ def scan_text(text: str | None, model: LicenceModel) -> tuple[int, list[tuple[in
             top = int(p.argmax())
             if top == 0 or any(begin < end and first < begin + len(window) for first, end in spans) or (window[:3] == spdx and spdx_of(paragraph)):
                 continue  # no licence, or part of a notice that is confirmed
-            known = top > 1 and p[top] >= model.threshold and contained(window, CLASSES[top]) >= MIN_SUPPORT
+            known = top > 1 and p[top] >= model.threshold and contained(window, CLASSES[top]) >= MIN_SUPPORT and not contradicted(window, CLASSES[top]) and not denied_notice(window)
             note(CLASSES[top] if known else "unknown", p[top], False)
         found += [(k, name, p, sure) for name, (p, sure) in sorted(best.items())]
     # The 2- and the 3-clause text open alike.

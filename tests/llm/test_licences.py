@@ -120,3 +120,69 @@ def test_notices_of_families_left_out_are_unknown(spark):
     known, strange = licences.left_out(licences.examples(plain, seed=11, copies=8), out)
     first = licences.THRESHOLDS[0]
     assert least > first and (known >= least).mean() > 0.8 and (strange < least).mean() > max(0.8, (strange < first).mean())
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Licensed under the Apache License, Version 1.1.",
+        "Licensed under the Mozilla Public License, version 1.1.",
+        "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License).",
+        "MIT No Attribution License (MIT-0)",
+        "Released under the MIT No Attribution License (MIT-0).",
+        "This is not licensed under the MIT License.",
+        "It is no longer released under the ISC License.",
+        "Licensed under the GNU Lesser General Public License v2.1.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use it. Boost Software License.",
+    ],
+)
+def test_other_versions_rivals_and_denials(model, text):
+    found = licences.scan_text(text, model)[1]
+    assert found and all(name == "unknown" and not ok for _, name, _, ok in found), found
+
+
+def test_versions_are_those_behind_the_name(model):
+    assert confirmed("Licensed under the Apache License, Version 2.0. The Mozilla Public License, version 1.1 is another one.", model) == ["Apache-2.0"]
+    assert confirmed("Licensed under the Mozilla Public License, version 2.0. See Apache 1.1.", model) == ["MPL-2.0"]
+    assert confirmed("You may not use this otherwise than as said below in full. Released under the ISC License.", model) == ["ISC"]
+
+
+def test_versions_said():
+    said = lambda text, family: licences.version_said(licences.words_of(text), family)
+    assert said("GNU General Public License, version 3.", "GPL-3.0") is True and said("GNU General Public License, version 3.", "GPL-2.0") is False
+    assert said("the GNU General Public License", "GPL-2.0") is None and said("GNU Lesser General Public License v3", "GPL-3.0") is None
+    assert said("Apache License 1.1 or Apache License 2.0", "Apache-2.0") is True and said("Mozilla Public License, v. 2.0", "MPL-2.0") is True
+    assert said("GNU Lesser General Public License v2.1", "LGPL-3.0") is False and said("MIT License", "MIT") is None
+
+
+def plainly_confirmed(text):
+    """Families by templates, from the definition: parts of 60 words, one by one, each template's triples counted."""
+    words, out = licences.words_of(text), set()
+    for at in range(0, max(1, len(words) - 30), 30):
+        part = words[at : at + 60]
+        have = [tuple(part[k : k + 3]) for k in range(len(part) - 2)]
+        said = " " + " ".join(part) + " "
+        for family, templates in licences.TEMPLATES.items():
+            shares = []
+            for template in templates:
+                own = licences.words_of(template)
+                triples = {tuple(own[k : k + 3]) for k in range(len(own) - 2)}
+                shares.append((sum(t in have for t in triples) / len(triples), -len(shares), triples))
+            share, _, triples = max(shares, key=lambda s: s[:2])
+            marked = all(any(f" {m} " in said for m in group) for group in licences.MARKS.get(family, ()))
+            if share >= licences.MIN_CONTAINED and marked and not licences.contradicted(part, family) and (family not in licences.VERSIONS or licences.version_said(part, family)):
+                begin = min(k for k, t in enumerate(have) if t in triples)
+                if not set(part[max(0, begin - 2) : begin]) & licences.DENIALS:
+                    out.add(family)
+    return out
+
+
+def test_templates_as_counted_one_by_one():
+    chance = random.Random(8)
+    filler = "river stone under the license not of version 2.0 public and".split()
+    every = [t for texts in licences.TEMPLATES.values() for t in texts] + licences.OTHERS
+    for _ in range(150):
+        text = " ".join(" ".join(licences.altered(licences.words_of(chance.choice(every)), filler, chance)) for _ in range(chance.randint(1, 4)))
+        words = licences.words_of(text)
+        got = {f for _, w in licences.windows_of(words) for f in licences.confirmed_in(w)}
+        assert got == plainly_confirmed(text), text
