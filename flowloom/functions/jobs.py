@@ -86,6 +86,12 @@ def environment(json: Column) -> Column:
     return F.when(name.isNotNull(), F.struct(name.alias("name"), _text(_part(value, "url")).alias("url")))
 
 
+def _bare(image: Column) -> Column:
+    """A container of which only the image is said."""
+    none = F.lit(None)
+    return F.struct(image.alias("image"), none.alias("credentials"), F.create_map().alias("env"), F.array().alias("ports"), F.array().alias("volumes"), none.alias("options")).cast(CONTAINER)
+
+
 def _container(value: Column) -> Column:
     image, user, password = _text(_part(value, "image")), _text(_part(value, "credentials.username")), _text(_part(value, "credentials.password"))
     credentials = F.when(user.isNotNull() & password.isNotNull(), F.struct(user.alias("username"), password.alias("password")))
@@ -99,18 +105,11 @@ def _container(value: Column) -> Column:
 
 def container(json: Column) -> Column:
     """The container of a job (``CONTAINER``): an image's name, or a mapping with one; null without. Credentials need both parts."""
-    none = F.lit(None)
-    bare = F.struct(json.alias("image"), none.alias("credentials"), F.create_map().alias("env"), F.array().alias("ports"), F.array().alias("volumes"), none.alias("options")).cast(CONTAINER)
-    return F.coalesce(F.when(_plain(json).isNotNull(), bare), _container(_value(json)))
+    return F.coalesce(F.when(_plain(json).isNotNull(), _bare(json)), _container(_value(json)))
 
 
 def services(json: Column) -> Column:
     """The service containers of a job by name; a text as a service is an image."""
-    none = F.lit(None)
-
-    def one(value: Column) -> Column:
-        bare = F.struct(_text(value).alias("image"), none.alias("credentials"), F.create_map().alias("env"), F.array().alias("ports"), F.array().alias("volumes"), none.alias("options")).cast(CONTAINER)
-        return F.coalesce(F.when(_text(value).isNotNull(), bare), _container(value))
-
+    one = lambda v: F.coalesce(F.when(_text(v).isNotNull(), _bare(_text(v))), _container(v))
     found = F.map_filter(F.transform_values(_fields(_value(json)), lambda _, v: one(v)), lambda _, v: v.isNotNull())
     return F.coalesce(found, F.create_map().cast(f"map<string,{CONTAINER}>"))
