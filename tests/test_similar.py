@@ -51,3 +51,22 @@ def test_no_threshold_refused_but_none(spark):
     with pytest.raises(ValueError):
         dedup.similar_pairs(spark.createDataFrame([], "doc long, kind string, token string"), 0.0)
     assert dedup.similar_pairs(spark.createDataFrame([], "doc long, kind string, token string"), 0.2).count() == 0
+
+
+def test_rows_of_whole_documents_equal_features(spark, monkeypatch):
+    """Only hashes move; with lists of any length, repeated rows, null arrays and documents without tokens."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(dedup, "LONG", 2)
+    kinds = [k for k, _ in dedup.WEIGHTS]
+    docs = [(d, *[sorted(sets[k]) for k in kinds]) for d, sets in corpus(5).items()]
+    again = [*docs, docs[0], (docs[1][0], ["t"], ["j"], ["u", "u"], []), (1000, [], [], [], []), (1001, ["t"], None, ["u"], ["r"])]
+    table = spark.createDataFrame(again, "doc long, " + ", ".join(f"{k} array<string>" for k in kinds)).repartition(3)
+    sets = dedup.hashed_rows(table, {k: F.col(k) for k in kinds})
+    assert {t for n, t in sets.dtypes if n != "doc"} == {"array<bigint>"}
+    features = spark.createDataFrame([(r[0], k, t) for r in again[:-1] for k, tokens in zip(kinds, r[1:]) for t in tokens], "doc long, kind string, token string")
+    want, got = (sorted(map(tuple, dedup.similar_pairs(x).collect())) for x in (features, sets))
+    assert got == want and want
+    members, whole = dedup.clustered(sets)
+    uses = {(r[0], r[2]) for r in dedup.uses_by_cluster(members, whole).groupBy("representative", "common").count().select("representative", "count", "common").collect()}
+    assert {r["representative"] for r in members.collect()} >= {u for u, _ in uses}
