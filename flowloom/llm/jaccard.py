@@ -35,6 +35,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,14 +49,15 @@ MAX_MATCHES = 4
 VERIFY_COST = 8.0
 MIN_COUNT = 4  # tokens of fewer documents count as rare alike
 MAX_COMMON = 1_000_000  # tokens whose counts are broadcast; the least count is raised until they fit
-FLUSH_TOKENS = 1_000_000
-PIECE_CHARS = 1_000_000
+FLUSH_TOKENS = 400_000  # tokens that a task holds at once, some 150 bytes each while they are sorted and packed
+PIECE_BYTES = 1_000_000
 MAX_FILTER_BITS = 27
 SKETCH = 8  # words of 64 bits
 SKETCHES = [f"s{k}" for k in range(SKETCH)]
 GROUP = 48
 ROUNDS = 1
 HOT = 20_000  # documents on a token's list, above which it is dealt over groups
+LEAST = 8  # tokens of a class by which the first one that a pair shares is known
 BLOCK = 2_000  # classes of a list that a class meets in one task
 SALTS = 32
 DOUBT = 20  # two sets hold a pair of tokens that only look equal with a chance of 2^-DOUBT at most
@@ -151,11 +153,12 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.
     """Parts of batches of bounded text size, with the shingle sets of their column ``text``."""
     for batch in batches:
         size, first = 0, 0
-        texts = batch.column("text").to_pylist()
-        for k, text in enumerate(texts):
-            size += len(text or "")
-            if size >= PIECE_CHARS or k + 1 == len(texts):
-                yield batch.slice(first, k + 1 - first), shingle_sets(texts[first : k + 1], shingle)
+        texts = batch.column("text")
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        for k, n in enumerate(sizes):
+            size += n
+            if size >= PIECE_BYTES or k + 1 == len(sizes):
+                yield batch.slice(first, k + 1 - first), shingle_sets(texts.slice(first, k + 1 - first).to_pylist(), shingle)
                 size, first = 0, k + 1
 
 
@@ -434,28 +437,30 @@ class Join:
         x, y = (dealt.select("token", "g", F.col("cls").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
         return x.join(by_shuffle(y), ["token", "g"]).where("a < b and a_root <> b_root").select("a", "b")
 
-    def all_pairs(self, open_: DataFrame, sketches: DataFrame, short: DataFrame) -> DataFrame:
-        """Every pair between components that shares an open list, may link by its sketches and shares as many
-        tokens as it needs, those of ``short`` (pairs of short lists: a, b, short) included.
+    def all_pairs(self, open_: DataFrame, sketches: DataFrame) -> DataFrame:
+        """Every pair (a, b) between components that shares an open list and may link by its sketches.
 
-        Of a list, the classes outside the component that most of it is in meet all others, those of like size in
+        A pair is made at the first token that it shares, not at each: every class carries its LEAST least
+        tokens, and where two have one in common, lists behind that one leave the pair out. Of a list, the classes outside the component that most of it is in meet all others, those of like size in
         blocks of BLOCK, so a list of very many near copies isn't squared.
         """
-        size, needs = F.expr(f"shape div {MAX_MATCHES}"), F.expr(f"shape % {MAX_MATCHES} + 1")
+        size = F.expr(f"shape div {MAX_MATCHES}")
         # Sizes of 80 % and more lie in the same or in neighbouring bands.
         band = F.floor(F.log(100 / self.percent + 0.01, size)) if self.percent > 50 else F.lit(0)
-        rows = open_.withColumn("needs", needs).withColumn("band", band.cast("long"))
+        rows = open_.withColumn("band", band.cast("long"))
+        first = open_.groupBy("cls").agg(F.slice(F.array_sort(F.collect_set("token")), 1, LEAST).alias("first"))
         roots = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
         lists = roots.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.ceil(F.sum("n") / BLOCK).cast("long").alias("blocks"))
-        rich = by_salts(rows, lists, "token").join(by_shuffle(sketches.drop("long")), "cls")
+        known = sketches.drop("long").join(by_shuffle(first), "cls")
+        rich = by_salts(rows, lists, "token").join(by_shuffle(known), "cls")
         y = rich.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))).alias("y")
         x = rich.where("root <> main").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("band", F.explode(F.expr("sequence(band - 1, band + 1)"))).alias("x")
         same = (F.col("x.token") == F.col("y.token")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.band") == F.col("y.band"))
         apart = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls")))
-        met = x.join(by_shuffle(y), same & apart & may_link("x.n", "x.", "y.n", "y.", self.percent))
-        pairs = met.groupBy(F.expr("least(x.cls, y.cls)").alias("a"), F.expr("greatest(x.cls, y.cls)").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.expr("least(x.needs, y.needs)")).alias("need"))
-        known = pairs.join(by_shuffle(short.select("a", "b", "short")), ["a", "b"], "left")
-        return known.where("shared + coalesce(short, 0) >= need").select("a", "b")
+        # Evaluated last: the tokens of both ascend, so what they have in common is the least of it.
+        here = F.coalesce(F.get(F.array_intersect("x.first", "y.first"), F.lit(0)) >= F.col("x.token"), F.lit(True))
+        met = x.join(by_shuffle(y), same & apart & may_link("x.n", "x.", "y.n", "y.", self.percent) & here)
+        return met.select(F.expr("least(x.cls, y.cls)").alias("a"), F.expr("greatest(x.cls, y.cls)").alias("b"))
 
 
 class Common(NamedTuple):
@@ -574,7 +579,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     short = pairs.where("short is not null and n >= need").select("a", "b")
     for number in range(ROUNDS + 1):
         open_ = join.open_lists(lists, found)
-        drawn = join.drawn_pairs(open_, number) if number < ROUNDS else join.all_pairs(open_, sketches, pairs.where("short is not null"))
+        drawn = join.drawn_pairs(open_, number) if number < ROUNDS else join.all_pairs(open_, sketches).distinct()
         if number == 0:
             x, y = (found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
             apart = short.join(by_shuffle(x), "a", "left").join(by_shuffle(y), "b", "left").where("not coalesce(a_root = b_root, false)")

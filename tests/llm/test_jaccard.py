@@ -123,3 +123,18 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 102), (102, 101)], "a long, b long")
     found = {r["node"]: r["root"] for r in jaccard.components(links).collect()}
     assert found == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_a_pair_is_made_once_for_all_its_tokens(spark):
+    """Classes of three components share 40 of 60 tokens; their pairs are made at one of these, not at each."""
+    import random
+
+    dice = random.Random(3)
+    tokens = {c: {dice.randrange(-(1 << 62), 1 << 62) for _ in range(20)} for c in range(9)}
+    shared = [dice.randrange(-(1 << 62), 1 << 62) for _ in range(40)]
+    open_ = spark.createDataFrame([(t, c, 60 * jaccard.MAX_MATCHES, c % 3) for c, own in tokens.items() for t in [*shared, *own]], "token long, cls long, shape long, root long")
+    sketches = spark.createDataFrame([(c, 60, None, *[0] * jaccard.SKETCH) for c in tokens], "cls long, n long, long binary, " + ", ".join(f"{s} long" for s in jaccard.SKETCHES))
+    join = object.__new__(jaccard.Join)
+    join.percent = 80
+    found = [(r["a"], r["b"]) for r in join.all_pairs(open_, sketches).collect()]
+    assert sorted(found) == [(a, b) for a in range(9) for b in range(a + 1, 9) if a % 3 != b % 3]
