@@ -6,7 +6,7 @@ import math
 import operator
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -116,12 +116,11 @@ def spread(weights: np.ndarray, used: np.ndarray, scale: np.ndarray) -> np.ndarr
     return out
 
 
-def labelled(docs: DataFrame, labels: DataFrame, columns: list[str], id_col: str, text_col: str, bound: int, share: bool) -> tuple[Rows, np.ndarray]:
-    """Features and labels of at most ``bound`` labelled rows (the smallest hashes of id and labels), for the driver.
+def labelled(docs: DataFrame, labels: DataFrame, columns: list[str], id_col: str, text_col: str, bound: int) -> DataFrame:
+    """Features and labels of at most ``bound`` labelled rows (the smallest hashes of id and labels): numbers, counts, place, y0, y1, ...
 
     Rows with a null among their labels are left out; of several texts of an id the one
-    with the least hash counts. Texts stay on the executors; the driver gets their features,
-    ordered by a hash of id and labels, so partitions don't matter.
+    with the least hash counts. ``place`` is a hash of id and labels.
     """
     known = labels.select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(f"y{k}") for k, c in enumerate(columns)]).dropna()
     known = known.orderBy(F.xxhash64("id", *[f"y{k}" for k in range(len(columns))])).limit(bound)
@@ -137,11 +136,30 @@ def labelled(docs: DataFrame, labels: DataFrame, columns: list[str], id_col: str
             yield pa.RecordBatch.from_arrays([numbers, counts, *batch.columns[1:]], ["numbers", "counts", *batch.schema.names[1:]])
 
     kinds = ", ".join(f"{y} double" for y in ys)
-    found = both.mapInArrow(run, f"numbers array<int>, counts array<float>, place long, {kinds}").toArrow().sort_by([(c, "ascending") for c in ("place", *ys)]).combine_chunks()
-    values = share_values if share else presence_values
-    rows = [(np.asarray(n.values), values(np.asarray(c.values))) for n, c in zip(found.column("numbers"), found.column("counts"))]
-    y = np.array([found.column(f"y{k}").to_numpy() for k in range(len(columns))]).T.reshape(-1, len(columns))
-    return Rows.of(rows), y
+    return both.mapInArrow(run, f"numbers array<int>, counts array<float>, place long, {kinds}")
+
+
+def fitted(rows: DataFrame, fit: Callable[[Rows, np.ndarray], list[tuple[np.ndarray, ...]]], share: bool) -> list[tuple[np.ndarray, ...]]:
+    """What ``fit`` makes of the rows of ``labelled``: tuples of arrays of floats. It is called in one task; only the arrays come to the driver.
+
+    Rows are ordered by ``place``, so partitions don't matter.
+    """
+    ys, values = [c for c in rows.columns if c.startswith("y")], share_values if share else presence_values
+
+    def fit_table(found: pa.Table) -> list[tuple[np.ndarray, ...]]:
+        found = found.sort_by([(c, "ascending") for c in ("place", *ys)]).combine_chunks()
+        x = Rows.of([(np.asarray(n.values), values(np.asarray(c.values))) for n, c in zip(found.column("numbers"), found.column("counts"))])
+        return fit(x, np.array([found.column(y).to_numpy() for y in ys]).T.reshape(-1, len(ys)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if all_ := list(batches):
+            parts = [pa.array([np.asarray(p, np.float64) for p in model], pa.list_(pa.float64())) for model in fit_table(pa.Table.from_batches(all_))]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.list_(pa.list_(pa.float64())))], ["parts"])
+
+    made = rows.repartition(1).mapInArrow(run, "parts array<array<double>>").toArrow().column("parts")
+    if not len(made):  # no labelled rows
+        return fit(Rows.of([]), np.zeros((0, len(ys))))
+    return [tuple(np.array(p.values) for p in model.values) for model in made]
 
 
 def share_values(counts: np.ndarray) -> np.ndarray:

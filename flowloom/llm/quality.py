@@ -71,8 +71,9 @@ def fit(rows: features.Rows, ratings: np.ndarray, l2: float = 1e-4, steps: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, rating_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", bound: int = MAX_LABELLED) -> OrdinalModel:
-    rows, ratings = features.labelled(docs, labels, [rating_col], id_col, text_col, bound, share=True)
-    return fit(rows, ratings[:, 0])
+    """The model of the ratings, fitted in one task on at most ``bound`` rated rows; only the model comes to the driver."""
+    rows = features.labelled(docs, labels, [rating_col], id_col, text_col, bound)
+    return OrdinalModel(*features.fitted(rows, lambda x, y: [tuple(fit(x, y[:, 0]))], share=True)[0])
 
 
 def scorer(docs: DataFrame, model: OrdinalModel, grade: float | None = None):

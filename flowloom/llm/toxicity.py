@@ -76,8 +76,10 @@ def predict_chain(chain: list[Link], scores: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", bound: int = MAX_LABELLED) -> list[Link]:
-    rows, y = features.labelled(docs, labels, categories, id_col, text_col, bound, share=False)
-    return fit_chain(rows, y)
+    """The chain for ``categories``, fitted in one task on at most ``bound`` labelled rows; only the links come to the driver."""
+    rows = features.labelled(docs, labels, categories, id_col, text_col, bound)
+    made = features.fitted(rows, lambda x, y: [(c.weights, c.earlier, np.array([c.constant])) for c in fit_chain(x, y)], share=False)
+    return [Link(weights, earlier, float(constant[0])) for weights, earlier, constant in made]
 
 
 def scorer(docs: DataFrame, chain: list[Link], categories: list[str]):

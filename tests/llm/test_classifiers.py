@@ -62,3 +62,15 @@ def test_odd_rows_and_empty_tables(spark, odd, empty):
 def test_queries_run(spark):
     assert queries.op2_quality_classifier(spark, "/root/testdata/sf0.001").columns == ["doc_id", "expected_grade", "tail_probability", "keep"]
     assert queries.op5_toxicity(spark, "/root/testdata/sf0.001").columns == ["doc_id", "p_unfit", "p_toxic", "toxic"]
+
+
+def test_models_are_fitted_off_the_driver(spark):
+    import os
+
+    docs = spark.createDataFrame([(k, f"word {k} and word", k % 2) for k in range(9)], "doc_id long, text string, y long").repartition(3)
+    rows = features.labelled(docs, docs, ["y"], "doc_id", "text", 5)
+    plainly = rows.orderBy("place", "y0").collect()
+    process, labels, numbers = features.fitted(rows, lambda x, y: [(np.array([os.getpid()]), y[:, 0], x.numbers)], share=True)[0]
+    assert process[0] != os.getpid()
+    assert labels.tolist() == [r["y0"] for r in plainly] and numbers.tolist() == [n for r in plainly for n in r["numbers"]]
+    assert features.fitted(rows.limit(0), lambda x, y: [(np.array([len(x.numbers)]), y[:, 0])], share=False)[0][1].shape == (0,)
