@@ -137,3 +137,15 @@ def test_a_cycle_of_workflows_is_no_way_back(spark, tmp_path):
         ("OverlyBroad", "high", f"{w}a.yml", "two", None, None),
         ("Escalation", "high", f"{w}c.yml", "go", ["contents", "packages"], [f"{w}a.yml#one", f"{w}b.yml#deep"]),
     ]
+
+
+def test_permission_layers_are_made_after_the_join_and_levels_of_any_size_agree(spark, monkeypatch):
+    from flowloom.operators import permissions
+    from flowloom.plans import graphs
+
+    sf = "/root/testdata/sf0.001"
+    plan = graphs.entry_perm(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array(" not in plan.split("Join LeftSemi", 1)[1]  # below the join are orders as they were read
+    sent = sorted(map(tuple, graphs.escalated(spark, sf).collect()))
+    monkeypatch.setattr(permissions, "SMALL_LEVEL", 0)
+    assert sent and sent == sorted(map(tuple, graphs.escalated(spark, sf).collect()))
