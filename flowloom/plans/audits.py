@@ -379,7 +379,9 @@ SELECT 'wf:' || l_orderkey, 'ea:' || l_suppkey, 'uses-external-action' FROM line
 def browse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All edges between known nodes; several between two nodes stay several."""
     line = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey"))
-    line = line.join(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    # Orders are hashed, so that a task need not sort its share of the much larger line items.
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    line = line.join(orders.hint("shuffle_hash"), "l_orderkey", "left_semi")
     out = heap(spark, sf_dir).select(F.concat(F.lit("wf:"), "src").alias("a"), F.concat(F.lit("wf:"), "dst").alias("b"), F.lit("calls-workflow").alias("kind"))
     for prefix, table, key, kind in (("la:", "part", "p_partkey", "uses-local-action"), ("ea:", "supplier", "s_suppkey", "uses-external-action")):
         known = line.join(read(spark, sf_dir, table).select(key), key, "left_semi")

@@ -133,3 +133,10 @@ def test_dangerous_equals_a_walk(spark, tmp_path, seed):
     down = reach({f"wf:{f}" for f in flows if {"pull_request_target", "workflow_run"} & set(model[f]["events"])}, pairs)
     up = reach({f"wf:{hit}"}, {(t, s) for s, t in pairs})
     assert rows and all(r["on_dangerous_path"] == (r["source"] in down and r["target"] in up) for r in rows)
+
+
+def test_line_items_are_not_sorted_to_find_their_orders(spark):
+    from flowloom.plans import audits
+
+    plan = audits.browse_edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ShuffledHashJoin [l_orderkey") == 2
