@@ -41,6 +41,30 @@ def test_levels_equal_all_windows(spark, seed, min_length, min_occurrences):
     assert cited == {(min(v), len(k), *place) for k, v in often.items() for place in v}
 
 
+@pytest.mark.parametrize("seed, min_length, ahead, chunk", [(5, 1, 1, 4096), (6, 2, 2, 2), (7, 2, 3, 5), (8, 3, 2, 1)])
+def test_runs_counted_at_once_go_on_in_levels(spark, monkeypatch, seed, min_length, ahead, chunk):
+    monkeypatch.setattr(extract, "CHUNK", chunk)
+    dice = random.Random(seed)
+    containers = {c: [dice.choice(["a", "b", "a", "a", None]) for _ in range(dice.randint(0, 14))] for c in range(9)}
+    steps = spark.createDataFrame([(c, k, s) for c, sigs in containers.items() for k, s in enumerate(sigs)], "container long, ord int, sig string").repartition(3)
+    sequences, sites = extract.grown(steps, min_length, 2, ahead)
+    often, kept = by_hand(containers, min_length, 2)
+    got = extract.spelled(sequences, steps).collect()
+    assert {tuple(r["sigs"]): (r["occurrences"], tuple(r["id"])) for r in got} == {k: (len(v), min(v)) for k, v in often.items()} and len(got) == len(often)
+    assert {tuple(r["sigs"]) for r in got if r["kept"]} == kept
+    cited = [(tuple(r["id"]), r["length"], r["container"], r["start"]) for r in sites.collect()]
+    assert sorted(cited) == sorted((min(v), len(k), *place) for k, v in often.items() for place in v)
+
+
+def test_short_containers_take_no_level(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(extract, "cut", lambda df, cut=extract.cut: cuts.append(df.columns) or cut(df))
+    steps = spark.range(21).select((F.col("id") % 3).alias("container"), F.expr("cast(id div 3 as int)").alias("ord"), F.lit("a").alias("sig"))
+    sequences, _ = extract.grown(steps, 2, 3)
+    assert {(r["length"], r["occurrences"], r["kept"]) for r in sequences.collect()} == {(n, 3 * (8 - n), n == 7) for n in range(2, 8)}
+    assert len(cuts) <= 4 and not any("place" in c for c in cuts)  # a cut a level, of all places, before
+
+
 def test_a_container_of_very_many_steps(spark):
     rows = spark.range(100_000).select(F.lit(1).alias("container"), F.col("id").cast("int").alias("ord"), F.concat(F.lit("s"), F.col("id") % 49_999).alias("sig"))
     sequences, _ = extract.grown(rows.where("ord < 50002"), 2, 2)
